@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from gridtally.llm import bpe
+from gridtally.llm import bpe, mixing
 from gridtally.llm.common import table
 
 
+def op3_mixing(spark, sf_dir):
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digest(bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
 def queries():
-    return {"op5_bpe": op5_bpe}
+    return {"op3_mixing": op3_mixing, "op5_bpe": op5_bpe}
 
 
 def oracle_sql():
-    return {}
+    return {"op3_mixing": mixing.report_sql()}
