@@ -32,8 +32,9 @@ NONE = 1 << 60
 ID_BITS = 20
 ID_MASK = (1 << ID_BITS) - 1
 LONG_WORD = 256
-#: Entries that a worker's word table may hold before it starts afresh.
-WORD_TABLE = 400_000
+#: Entries in each of a worker's two word tables: when the young one is full it
+#: becomes the old one, and what is still in use moves back on its next sight.
+WORD_TABLE = 100_000
 
 
 #: White space as Unicode defines it; str.split() also cuts at SEPARATORS, which are not.
@@ -130,11 +131,12 @@ class WordCodec(dict):
     """Encoder and decoder of one tokenizer file with word ends.
 
     As a mapping it takes a piece of a text that holds no white space to its
-    ids (int32 bytes); unknown pieces are encoded on first sight.
+    ids (int32 bytes); unknown pieces are encoded on first sight, word by word.
     """
 
     def __init__(self, path: str):
         super().__init__()
+        self.old: dict[str, bytes] = {}
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"]
@@ -158,10 +160,17 @@ class WordCodec(dict):
         self.specials = re.compile(f"({any_special})") if self.special else None
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > WORD_TABLE:
+        found = self.old.get(piece)
+        if found is None:
+            words = self.words(piece)
+            if words == [piece]:
+                found = array("i", self.word_ids(piece)).tobytes()
+            else:
+                found = b"".join([self[word] for word in words])
+        if len(self) >= WORD_TABLE:
+            self.old = dict(self)
             self.clear()
-        ids = [i for word in self.words(piece) for i in self.word_ids(word)]
-        self[piece] = found = array("i", ids).tobytes()
+        self[piece] = found
         return found
 
     def word_ids(self, word: str) -> list[int]:
@@ -222,7 +231,7 @@ def encode(
 
     def step(batch: pa.RecordBatch) -> pa.Array:
         own = codec(tokenizer)
-        ids = [own.encode(x) for x in batch.column(text_col).to_pylist()]
+        ids = [own.encode(x.as_py()) for x in batch.column(text_col)]
         ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
         flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
@@ -237,9 +246,10 @@ def decode(
 
     def step(batch: pa.RecordBatch) -> pa.Array:
         own, column = codec(tokenizer), batch.column(ids_col)
-        flat = column.flatten().to_pylist()
+        flat = column.flatten().to_numpy()
         ends = np.cumsum([0, *column.value_lengths().fill_null(0).to_pylist()])
-        return pa.array([own.decode(flat[a:b]) for a, b in zip(ends, ends[1:])], pa.string())
+        texts = (own.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:]))
+        return pa.array(texts, pa.string())
 
     return _with(df, out_col, T.StringType(), step)
 
