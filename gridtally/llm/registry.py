@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from gridtally.llm import bpe, mixing
+from gridtally.llm import bpe, mixing, token_counts
 from gridtally.llm.common import table
 
 
@@ -17,8 +17,13 @@ def op5_bpe(spark, sf_dir):
     return bpe.digest(bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op6_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.length_report(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries():
-    return {"op3_mixing": op3_mixing, "op5_bpe": op5_bpe}
+    return {"op3_mixing": op3_mixing, "op5_bpe": op5_bpe, "op6_token_counts": op6_token_counts}
 
 
 def oracle_sql():
