@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from gridtally.llm import bpe, mixing, token_counts
+from gridtally.llm import bpe, mixing, pii, token_counts
 from gridtally.llm.common import table
 
 
@@ -12,6 +13,13 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark, sf_dir):
+    """documents with personal data replaced, and n_found, the number of replaced values."""
+    found = F.aggregate(F.map_values("pii_found"), F.lit(0), lambda n, k: n + k)
+    docs = pii.pseudonymise(table(spark, sf_dir, "documents"))
+    return docs.withColumn("n_found", found.cast("long")).drop("pii_found")
+
+
 def op5_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digest(bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json")))
@@ -23,7 +31,12 @@ def op6_token_counts(spark, sf_dir):
 
 
 def queries():
-    return {"op3_mixing": op3_mixing, "op5_bpe": op5_bpe, "op6_token_counts": op6_token_counts}
+    return {
+        "op3_mixing": op3_mixing,
+        "op4_pii": op4_pii,
+        "op5_bpe": op5_bpe,
+        "op6_token_counts": op6_token_counts,
+    }
 
 
 def oracle_sql():
