@@ -5,10 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridtally.llm import bpe, mixing, pii, token_counts
+from gridtally.llm import bpe, mixing, pii, token_counts, url_filter
 from gridtally.llm.common import table
 
 
+def op1_url_filter(spark, sf_dir):
+    weights, bias = url_filter.fit(url_filter.labelled_table(spark))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, weights, bias).select(
+        "page_id", "host", "path", "rule", "verdict", "block_probability"
+    )
+
+
 def op3_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -32,6 +40,7 @@ def op6_token_counts(spark, sf_dir):
 
 def queries():
     return {
+        "op1_url_filter": op1_url_filter,
         "op3_mixing": op3_mixing,
         "op4_pii": op4_pii,
         "op5_bpe": op5_bpe,
