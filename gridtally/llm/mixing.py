@@ -36,7 +36,9 @@ ROUNDS = 16
 PRIME = 2_147_483_647
 #: Rows of a source that one window task orders at most, on average.
 BUCKET_ROWS = 20_000
+#: Slots that one row stands for before they are written out, and that one task writes out.
 CHUNK_SLOTS = 4096
+TASK_SLOTS = 50_000
 
 
 def round_keys(seed: int, rounds: int = ROUNDS) -> list[tuple[int, int]]:
@@ -44,29 +46,35 @@ def round_keys(seed: int, rounds: int = ROUNDS) -> list[tuple[int, int]]:
     return [(draw.randrange(1, PRIME), draw.randrange(PRIME)) for _ in range(rounds)]
 
 
-def permuted(index: Column, size: Column, key: Column, seed: int) -> Column:
-    """The place that index takes in the permutation of 0..size-1 named by key.
+def permutation(size: Column, key: Column, seed: int) -> Column:
+    """The rounds of the permutation of 0..size-1 named by key: an array of pivot, a, b."""
+    prime = F.lit(PRIME).cast("long")
 
-    The rounds are one higher-order expression: as a chain of projections they
-    would double in size each time the optimizer inlines one.
-    """
-    rounds = F.array(
-        *(
-            F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"))
-            for a, b in round_keys(seed)
+    def one(a: int, b: int) -> Column:
+        mixed = ((key % prime) * a + b) % prime
+        return F.struct(
+            ((mixed * prime + (mixed * a + b) % prime) % size).alias("pivot"),
+            F.lit(a).cast("long").alias("a"),
+            (((key % prime) * a + b) % prime).alias("b"),
         )
-    )
+
+    return F.array(*(one(a, b) for a, b in round_keys(seed)))
+
+
+def permuted(index: Column, size: Column, rounds: Column) -> Column:
+    """The place that index takes.
+
+    The rounds run in one higher-order expression: as a chain of projections
+    they would double in size each time the optimizer inlines one.
+    """
     prime = F.lit(PRIME).cast("long")
 
     def traded(place: Column, k: Column) -> Column:
-        mixed = ((key % prime) * k["a"] + k["b"]) % prime
-        pivot = (mixed * prime + (mixed * k["a"] + k["b"]) % prime) % size
-
         def either(mirror: Column) -> Column:
-            pair = (F.greatest(place, mirror) % prime + key % prime) % prime
+            pair = F.greatest(place, mirror) % prime
             return F.when((pair * k["a"] + k["b"]) % prime % 2 == 1, mirror).otherwise(place)
 
-        return F.get(F.transform(F.array(F.pmod(pivot - place, size)), either), F.lit(0))
+        return F.get(F.transform(F.array(F.pmod(k["pivot"] - place, size)), either), F.lit(0))
 
     return F.aggregate(rounds, index, traded)
 
@@ -180,30 +188,40 @@ def placed(sizes: DataFrame, rows: int) -> DataFrame:
 
 
 def draw_slots(sources: DataFrame, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """shard, slot, source_key, epoch, block: which block fills each slot of each shard."""
-    last = F.floor((F.col("n_slots") - 1) / F.lit(CHUNK_SLOTS)).cast("long")
-    chunk_end = F.least((F.col("chunk") + 1) * CHUNK_SLOTS, F.col("n_slots")) - 1
+    """shard, slot, source_key, epoch, block: which block fills each slot of each shard.
+
+    A row per source and epoch carries the keys of its permutation; it is cut
+    into chunks of slots, which are dealt to enough tasks before they are
+    written out as rows.
+    """
+    zero = F.lit(0).cast("long")
+    total = sources.agg(F.coalesce(F.sum("n_slots"), zero)).first()[0]
+    last = F.floor((F.col("epoch_slots") - 1) / F.lit(CHUNK_SLOTS)).cast("long")
+    chunk_end = F.least((F.col("chunk") + 1) * CHUNK_SLOTS, F.col("epoch_slots")) - 1
+    epochs = F.sequence(zero, F.floor((F.col("n_slots") - 1) / F.col("n_blocks")).cast("long"))
     slots = (
         sources.where("n_slots > 0")
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-        .repartition("source_key", "chunk")
+        .withColumn("epoch", F.explode(epochs))
+        .withColumn(
+            "epoch_slots",
+            F.least("n_blocks", F.col("n_slots") - F.col("epoch") * F.col("n_blocks")),
+        )
+        .withColumn("chunk", F.explode(F.sequence(zero, last)))
+        .repartition(max(1, -(-total // TASK_SLOTS)), "source_key", "epoch", "chunk")
+        .withColumn("deal", permutation(F.col("all_slots"), zero, seed))
+        .withColumn(
+            "rounds",
+            permutation(
+                F.col("n_blocks"), F.col("source_no") * REPEATS + F.col("epoch") + 1, seed + 1
+            ),
+        )
         .withColumn("turn", F.explode(F.sequence(F.col("chunk") * CHUNK_SLOTS, chunk_end)))
-        .withColumn("epoch", F.floor(F.col("turn") / F.col("n_blocks")).cast("long"))
     )
+    place = F.col("first_slot") + F.col("epoch") * F.col("n_blocks") + F.col("turn")
     slots = slots.withColumns(
         {
-            "place": permuted(
-                F.col("first_slot") + F.col("turn"),
-                F.col("all_slots"),
-                F.lit(0).cast("long"),
-                seed,
-            ),
-            "block": permuted(
-                F.col("turn") % F.col("n_blocks"),
-                F.col("n_blocks"),
-                F.col("source_no") * REPEATS + F.col("epoch") + 1,
-                seed + 1,
-            ),
+            "place": permuted(place, F.col("all_slots"), F.col("deal")),
+            "block": permuted(F.col("turn"), F.col("n_blocks"), F.col("rounds")),
         }
     )
     return slots.select(
@@ -255,6 +273,9 @@ class Mix:
     def taken_blocks(self) -> DataFrame:
         """The blocks of every document with the number of times the mix takes each."""
         times = self.slots.groupBy("source_key", "block").agg(F.count("*").alias("times"))
+        # Spark's size estimate ignores how many slots a row explodes to, so it must not
+        # choose to broadcast here.
+        times = times.hint("merge")
         return self.blocks.join(times, ["source_key", "block"], "left").withColumn(
             "times", F.coalesce("times", F.lit(0)).cast("long")
         )
@@ -264,7 +285,7 @@ class Mix:
         pieces = self.blocks.select(
             "source_key", "block", "source", "doc_id", "text_hash", "from_word", "n_words"
         )
-        return self.slots.join(pieces, ["source_key", "block"]).drop("source_key")
+        return self.slots.hint("merge").join(pieces, ["source_key", "block"]).drop("source_key")
 
     def documents(self) -> DataFrame:
         """doc_id, source_key, size, taken: words taken from each document, repeats counted."""
@@ -343,7 +364,7 @@ def mixed_documents(docs: DataFrame, block_words: int, seed: int = SEED) -> Data
     )
     mixed = (
         keyed.join(
-            taken,
+            taken.hint("merge"),
             keyed["doc_id"].eqNullSafe(taken["_doc_id"])
             & (keyed["text_hash"] == taken["_text_hash"])
             & (keyed["_no"] == taken["_copy"]),
@@ -360,11 +381,11 @@ def report_sql(block_words: int = BLOCK_WORDS, seed: int = SEED) -> str:
     """mix_report(documents) for DuckDB, round by round as permuted() has it."""
     rounds = []
     for i, (a, b) in enumerate(round_keys(seed + 1)):
-        mixed = f"((key * {a} + {b}) % {PRIME})"
+        mixed = f"((key % {PRIME} * {a} + {b}) % {PRIME})"
         pivot = f"(({mixed} * {PRIME} + ({mixed} * {a} + {b}) % {PRIME}) % n_blocks)"
         mirror = f"((({pivot} - block) % n_blocks + n_blocks) % n_blocks)"
         pair = f"greatest(block, {mirror})"
-        bit = f"((({pair} % {PRIME} + key) % {PRIME}) * {a} + {b}) % {PRIME} % 2"
+        bit = f"({pair} % {PRIME} * {a} + {mixed}) % {PRIME} % 2"
         rounds.append(
             f"r{i + 1} AS (SELECT source_key, n_blocks, key,"
             f" CASE WHEN {bit} = 1 THEN {mirror} ELSE block END AS block FROM r{i})"
