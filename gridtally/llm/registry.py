@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridtally.llm import bpe, mixing, pii, token_counts, url_filter
+from gridtally.llm import ann, bpe, mixing, pii, token_counts, url_filter
 from gridtally.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op1_url_filter(spark, sf_dir):
     )
 
 
+def op2_ann(spark, sf_dir):
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op6_token_counts(spark, sf_dir):
 def queries():
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_ann": op2_ann,
         "op3_mixing": op3_mixing,
         "op4_pii": op4_pii,
         "op5_bpe": op5_bpe,

@@ -26,7 +26,7 @@ STEPS = 30
 RIDGE = 0.02
 #: The labelled table is small by contract; a larger one is refused, not sampled.
 MOST_LABELLED = 100_000
-THRESHOLD = 0.5
+THRESHOLD = 0.55
 
 #: Production rules, as (verdict, host, path).
 RULES = [
