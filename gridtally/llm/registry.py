@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridtally.llm import ann, bpe, mixing, pii, token_counts, url_filter
+from gridtally.llm import ann, bpe, mixing, pii, token_counts, toxicity, url_filter
 from gridtally.llm.common import table
 
 
@@ -42,6 +42,23 @@ def op6_token_counts(spark, sf_dir):
     return token_counts.length_report(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def fold(n: int):
+    """crc32 of the doc_id's digits, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = table(spark, sf_dir, "labels").where(fold(3) != 1)
+    scored = toxicity.toxicity_scores(docs, toxicity.train(docs, learned), "score")
+    return scored.select(
+        "doc_id",
+        (fold(3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def queries():
     return {
         "op1_url_filter": op1_url_filter,
@@ -50,6 +67,7 @@ def queries():
         "op4_pii": op4_pii,
         "op5_bpe": op5_bpe,
         "op6_token_counts": op6_token_counts,
+        "op8_toxicity": op8_toxicity,
     }
 
 
