@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridtally.llm import ann, bpe, mixing, pii, token_counts, toxicity, url_filter
+from gridtally.llm import ann, bpe, mixing, near_dedup, pii, token_counts, toxicity, url_filter
 from gridtally.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op6_token_counts(spark, sf_dir):
     return token_counts.length_report(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_near_dedup(spark, sf_dir):
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 def fold(n: int):
     """crc32 of the doc_id's digits, modulo n."""
     return F.crc32(F.col("doc_id").cast("string")) % n
@@ -67,6 +71,7 @@ def queries():
         "op4_pii": op4_pii,
         "op5_bpe": op5_bpe,
         "op6_token_counts": op6_token_counts,
+        "op7_near_dedup": op7_near_dedup,
         "op8_toxicity": op8_toxicity,
     }
 
