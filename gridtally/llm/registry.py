@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridtally.llm import ann, bpe, mixing, near_dedup, pii, token_counts, toxicity, url_filter
+from gridtally.llm import ann, bpe, lm_score, mixing, near_dedup, pii, token_counts, toxicity, url_filter
 from gridtally.llm.common import table
 
 
@@ -63,6 +63,11 @@ def op8_toxicity(spark, sf_dir):
     )
 
 
+def op9_lm_score(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.scores(docs, fold(7) == 2, fold(7) == 3)
+
+
 def queries():
     return {
         "op1_url_filter": op1_url_filter,
@@ -73,6 +78,7 @@ def queries():
         "op6_token_counts": op6_token_counts,
         "op7_near_dedup": op7_near_dedup,
         "op8_toxicity": op8_toxicity,
+        "op9_lm_score": op9_lm_score,
     }
 
 
