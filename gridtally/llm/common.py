@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,6 +35,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_slices(batches, column: str = "text", most_bytes: int = 2 << 20):
+    """Arrow batches cut so that column holds about most_bytes in each, one row at least.
+
+    A worker then holds the objects of one slice only, and hands results back
+    as it goes.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+        ends = pc.cumulative_sum(sizes.cast("int64")).to_numpy()
+        a = 0
+        while a < batch.num_rows:
+            start = ends[a - 1] if a else 0
+            b = max(a + 1, int(ends.searchsorted(start + most_bytes, side="right")))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

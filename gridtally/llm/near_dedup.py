@@ -15,9 +15,9 @@ the largest buckets elsewhere is the hub, and every other member is compared
 with it: pairs grow with the members, not with their square.  Compared means
 verified: the weighted Jaccard similarity of the two shingle multisets must
 reach the threshold.  Where a bucket then still spans several components, its
-members from different components are compared with each other too, if their
-signatures leave the threshold possible.  So no link between members of a
-bucket is lost that could join two classes.  Classes are the connected
+members are compared across components too, by an exact prefix filter on
+shingles.  So no link between members of a bucket is lost that could join two
+classes.  Classes are the connected
 components of the verified links.
 
 Defined results: words are runs between white space; a text of fewer than five
@@ -28,22 +28,23 @@ null doc_id has no class.  An empty table has no classes.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtally.llm.common import stored
+from gridtally.llm.common import stored, text_slices
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
-#: Agreement below which a pair of signatures cannot come from similar texts: five
-#: standard deviations under the threshold.
-LEAST_AGREEMENT = 0.58
-#: Words of text whose signatures are computed side by side.
-SLICE_WORDS = 300_000
+#: Ratio of neighbouring size classes in the comparison across components.
+STEP = 1.05
+#: Bytes of text whose signatures are computed side by side.
+SLICE_BYTES = 2 << 20
 SEED = 5
 ODD, MASK = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
 
@@ -132,34 +133,22 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, bands (array of long), signature (array of int) of each text."""
+    """doc_id, digest, bands (array of long) of each text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in text_slices(batches, most_bytes=SLICE_BYTES):
             texts = [x.as_py() for x in batch.column("text")]
-            a = 0
-            while a < len(texts):
-                b, size = a, 0
-                while b < len(texts) and (b == a or size < SLICE_WORDS * 6):
-                    size, b = size + len(texts[b] or ""), b + 1
-                found = signatures(b - a, *shingle_counts(texts[a:b]))
-                bits = found.view(np.uint64)
-                bands = np.zeros((b - a, BANDS), np.uint64)
-                for k in range(ROWS):
-                    bands = mixed((bands + bits[:, k::ROWS]) * ODD)
-                bands = mixed(bands + np.arange(BANDS, dtype=np.uint64) * ODD).view(np.int64)
-                small = mixed(bits).astype(np.uint32).view(np.int32)
-                known = np.isfinite(found[:, 0])  # texts without words are in no bucket
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(a, b - a),
-                        batch.column("digest").slice(a, b - a),
-                        lists(bands, known, pa.int64()),
-                        lists(small, known, pa.int32()),
-                    ],
-                    names=["doc_id", "digest", "bands", "signature"],
-                )
-                a = b
+            found = signatures(len(texts), *shingle_counts(texts))
+            bits = found.view(np.uint64)
+            bands = np.zeros((len(texts), BANDS), np.uint64)
+            for k in range(ROWS):
+                bands = mixed((bands + bits[:, k::ROWS]) * ODD)
+            bands = mixed(bands + np.arange(BANDS, dtype=np.uint64) * ODD).view(np.int64)
+            known = np.isfinite(found[:, 0])  # texts without words are in no bucket
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("digest"), lists(bands, known, pa.int64())],
+                names=["doc_id", "digest", "bands"],
+            )
 
     def lists(rows: np.ndarray, known: np.ndarray, kind: pa.DataType) -> pa.Array:
         ends = np.append(0, np.cumsum(np.where(known, rows.shape[1], 0))).astype(np.int32)
@@ -170,9 +159,7 @@ def signed(docs: DataFrame) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("text"),
         F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"),
     )
-    return texts.mapInArrow(
-        run, "doc_id long, digest binary, bands array<long>, signature array<int>"
-    )
+    return texts.mapInArrow(run, "doc_id long, digest binary, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -236,6 +223,129 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
 
 
+def hub_pairs(members: DataFrame, shared: int = 1) -> DataFrame:
+    """Pairs (a, b): each member (bucket, node) with its bucket's hub, if they share enough buckets.
+
+    A bucket's hub is its best connected member, by the sizes of the buckets it
+    is in: among edited copies that is the original or one close to it, which
+    the others resemble more than they do each other.
+    """
+    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    weighed = members.join(weight, "node").select("bucket", "node", "weight")
+    hubs = weighed.groupBy("bucket").agg(
+        F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("hub")
+    )
+    return (
+        members.select("bucket", F.col("node").alias("a"))
+        .join(hubs.select("bucket", (-F.col("hub.node")).alias("b")), "bucket")
+        .where("a <> b")
+        .groupBy("a", "b")
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") >= shared)
+        .select("a", "b")
+    )
+
+
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, node, weight, label of the members of buckets that still span components."""
+    labelled = members.join(labels, "node", "left").withColumn(
+        "label", F.coalesce("label", "node")
+    )
+    split = (
+        labelled.groupBy("bucket")
+        .agg(F.min("label").alias("least"), F.max("label").alias("most"))
+        .where("least <> most")
+        .select("bucket")
+    )
+    return labelled.join(split, "bucket")
+
+
+def shingle_rows(texts: DataFrame) -> DataFrame:
+    """node, label, n, token: a row for every shingle of a multiset, copies told apart."""
+
+    def run(batches):
+        for batch in text_slices(batches):
+            owner, value, count = shingle_counts([x.as_py() for x in batch.column("text")])
+            copy = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            token = mixed(np.repeat(value, count) + copy.astype(np.uint64) * ODD)
+            at = np.repeat(owner, count)
+            n = np.bincount(at, minlength=batch.num_rows)
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("node").take(take),
+                    batch.column("label").take(take),
+                    pa.array(n[at], pa.int64()),
+                    pa.array(token.view(np.int64)),
+                ],
+                names=["node", "label", "n", "token"],
+            )
+
+    return texts.select("node", "label", "text").mapInArrow(
+        run, "node long, label long, n long, token long"
+    )
+
+
+def prefix_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different label whose multisets may reach the threshold: none is missed.
+
+    Two multisets of sizes m and n that reach the threshold share at least
+    threshold / (1 + threshold) * (m + n) members, so in any common order of
+    shingles the first that they share is near the front of both.  Here rare
+    shingles come first.  A document that differs from a crowd's centre by too
+    much differs in so many rare shingles that the common ones are out of reach,
+    and it meets only documents with the same changes, not the crowd.  Sizes are
+    classed in steps of STEP, and the reach is taken per pair of classes.
+    """
+    part = threshold / (1 + threshold)
+    span = math.ceil(math.log(1 / threshold) / math.log(STEP))
+    tokens = stored(shingle_rows(texts), "open-shingles")
+    held = tokens.groupBy("token").agg(
+        F.count("*").alias("holders"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    by_rarity = Window.partitionBy("node").orderBy("holders", "token")
+    least = F.ceil(F.pow(F.lit(STEP), F.col("partner")) - 1e-9)
+    reach = F.col("n") - F.ceil(F.lit(part) * (F.col("n") + least) - 1e-9)
+    rows = (
+        tokens.join(held, "token")
+        .withColumn("place", F.row_number().over(by_rarity) - 1)
+        .where("low <> high")  # a shingle of one component leads nowhere
+        .withColumn("own", F.floor(F.log("n") / math.log(STEP) + 1e-9))
+        .withColumn(
+            "partner", F.explode(F.sequence(F.col("own") - span, F.col("own") + span))
+        )
+        .where(F.col("place") <= reach)
+        .select("node", "label", "n", "token", "place", "own", "partner")
+    )
+    rows = stored(rows, "open-prefixes")
+    per_label = rows.groupBy("token", "own", "partner", "label").agg(F.count("*").alias("n"))
+    crowd = per_label.groupBy("token", "own", "partner").agg(
+        F.max(F.struct("n", "label")).getField("label").alias("crowd")
+    )
+    x = rows.join(crowd, ["token", "own", "partner"]).alias("x")
+    y = rows.alias("y")
+    needed = F.ceil(F.lit(part) * (F.col("x.n") + F.col("y.n")) - 1e-9)
+    # Of two crowds the greater label's rows look for the other; within one key only rows
+    # outside its crowd look for partners, so a crowd is never held against itself.
+    return (
+        x.join(
+            y,
+            (F.col("x.token") == F.col("y.token"))
+            & (F.col("x.own") == F.col("y.partner"))
+            & (F.col("x.partner") == F.col("y.own"))
+            & (F.col("x.label") != F.col("y.label"))
+            & ((F.col("x.own") != F.col("y.own")) | (F.col("x.label") != F.col("crowd")))
+            & ((F.col("x.own") == F.col("y.own")) | (F.col("x.own") > F.col("y.own")))
+            & (F.col("x.place") <= F.col("x.n") - needed)
+            & (F.col("y.place") <= F.col("y.n") - needed),
+        )
+        .select(
+            F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")
+        )
+        .distinct()
+    )
+
+
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, copies: the class of each document, named by its least doc_id.
 
@@ -247,25 +357,13 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = (
         marks.join(same.select("digest", "node"), "digest")
         .where("doc_id = node")
-        .select("node", "bands", "signature")
+        .select("node", "bands")
         .dropDuplicates(["node"])
     )
     places = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = places.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(places.join(sizes, "bucket"), "bag-members")
-    # The best connected member of each bucket is its hub.
-    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    weighed = members.join(weight, "node").select("bucket", "node", "weight")
-    hubs = weighed.groupBy("bucket").agg(
-        F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("hub")
-    ).select("bucket", (-F.col("hub.node")).alias("b"))
-    pairs = (
-        members.select("bucket", F.col("node").alias("a"))
-        .join(hubs, "bucket")
-        .where("a <> b")
-        .select("a", "b")
-        .distinct()
-    )
+    pairs = hub_pairs(members)
     wanted = members.select("node").distinct()
     texts = stored(
         docs.select(F.col("doc_id").cast("long").alias("node"), "text")
@@ -276,36 +374,11 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = stored(verified(pairs, texts, threshold), "bag-links")
     labels = stored(components(links), "bag-labels")
 
-    # Buckets that still span components: compare across them.
-    labelled = members.join(labels, "node", "left").select(
-        "bucket", "node", F.coalesce("label", "node").alias("label")
-    )
-    split = (
-        labelled.groupBy("bucket")
-        .agg(F.min("label").alias("least"), F.max("label").alias("most"))
-        .where("least <> most")
-        .select("bucket")
-    )
-    open_nodes = stored(
-        labelled.join(split, "bucket").join(nodes.select("node", "signature"), "node"),
-        "bag-open",
-    )
-    left, right = open_nodes.alias("x"), open_nodes.alias("y")
-    agreed = F.size(
-        F.filter(F.zip_with("x.signature", "y.signature", lambda p, q: p == q), lambda e: e)
-    )
-    across = (
-        left.join(
-            right,
-            (F.col("x.bucket") == F.col("y.bucket"))
-            & (F.col("x.node") < F.col("y.node"))
-            & (F.col("x.label") != F.col("y.label"))
-            & (agreed >= int(LEAST_AGREEMENT * BANDS * ROWS)),
-        )
-        .select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
-        .distinct()
-    )
-    across = stored(across.join(pairs, ["a", "b"], "left_anti"), "bag-across")
+    # Members of buckets that still span components: compare across them.
+    still = open_members(members, labels).groupBy("node").agg(F.min("label").alias("label"))
+    across = prefix_pairs(texts.join(still, "node"), threshold)
+    both = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    across = stored(across.join(both, ["a", "b"], "left_anti"), "bag-across")
     if across.limit(1).count():
         more = verified(across, texts, threshold)
         labels = stored(components(links.unionByName(more)), "bag-labels")
