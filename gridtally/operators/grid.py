@@ -1,11 +1,55 @@
-"""Spatial grid aggregation, straight from the incidents."""
+"""Spatial grid aggregation: from incidents, and from a monthly pre-aggregate."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import calendar
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridtally.operators.filters import Box, Filters, filter_incidents
+
 CELL_LIMIT = 5000
+CATEGORY_LIMIT = 20
+ROLLUP_GRIDS = (0.05, 0.02)
+BREAKDOWN_GRID = 0.05
+SNAP = 0.1
+
+
+def grid_for_zoom(zoom: float) -> float:
+    """Degrees per cell at a map zoom level from 0 to 22."""
+    if not 0 <= zoom <= 22:
+        raise ValueError("zoom must be from 0 to 22")
+    steps = ((10, 0.05), (12, 0.02), (14, 0.005))
+    return next((size for most, size in steps if zoom <= most), 0.001)
+
+
+def snapped(box: Box | None) -> Box | None:
+    """The box widened to a coarse lattice, so that panned viewports share cache entries.
+
+    The far edge always moves a step on, also from a place on the lattice.
+    """
+    if box is None:
+        return None
+    low = [x // SNAP * SNAP for x in (box.west, box.south)]
+    high = [(x // SNAP + 1) * SNAP for x in (box.east, box.north)]
+    return Box(max(low[0], -180), max(low[1], -90), min(high[0], 180), min(high[1], 90))
+
+
+def whole_months(start: dt.date | None, end: dt.date | None) -> bool:
+    """Whether a range, open ends allowed, consists of calendar months."""
+    starts = start is None or start.day == 1
+    return starts and (end is None or end.day == calendar.monthrange(end.year, end.month)[1])
+
+
+def steady(mean: Column) -> Column:
+    """Six digits of a mean.
+
+    Coordinates of few digits often average to an exact half of the last digit,
+    where the order of summation would decide; a nudge decides instead.
+    """
+    return F.round(mean + F.lit(1e-9), 6)
 
 
 def grid_aggregate(incidents: DataFrame, grid: float, limit: int | None = CELL_LIMIT) -> DataFrame:
@@ -23,10 +67,129 @@ def grid_aggregate(incidents: DataFrame, grid: float, limit: int | None = CELL_L
         )
         .agg(
             F.count("*").alias("incident_count"),
-            F.round(F.avg("lon"), 6).alias("lon"),
-            F.round(F.avg("lat"), 6).alias("lat"),
+            steady(F.avg("lon")).alias("lon"),
+            steady(F.avg("lat")).alias("lat"),
         )
     )
     if limit is None:
         return cells
     return cells.orderBy(F.desc("incident_count"), "cell_x", "cell_y").limit(limit)
+
+
+def cell_centre(degrees: Column, grid: Column) -> Column:
+    return F.floor(degrees / grid) * grid + grid / 2
+
+
+def build_rollup(incidents: DataFrame, offenses: DataFrame, grids=ROLLUP_GRIDS) -> DataFrame:
+    """The pre-aggregate: (source, grid, cell, month[, category]) with count and mean place.
+
+    Rows of null category count incidents; the others count incident-offense
+    pairs of a known category.  Only located, dated incidents enter, so a
+    breakdown from here leaves out what has no place.  Both grids come from one
+    scan: each incident is expanded to its cells, then counted twice.
+    """
+    cells = (
+        incidents.where("lon IS NOT NULL AND lat IS NOT NULL AND occurred_at IS NOT NULL")
+        .select(
+            "id",
+            "source_id",
+            "lon",
+            "lat",
+            F.date_trunc("month", "occurred_at").cast("date").alias("month"),
+            F.explode(F.array(*map(F.lit, grids))).alias("grid"),
+        )
+        .withColumns({f"cell_{c}": cell_centre(F.col(c), F.col("grid")) for c in ("lon", "lat")})
+    )
+    key = ["source_id", "grid", "cell_lon", "cell_lat", "month"]
+    measures = [
+        F.count("*").alias("n"), F.avg("lon").alias("mean_lon"), F.avg("lat").alias("mean_lat")
+    ]
+    whole = cells.groupBy(*key).agg(*measures).withColumn("category", F.lit(None).cast("string"))
+    known = offenses.where(F.col("source_category").isNotNull()).select(
+        F.col("incident_id").alias("id"), F.col("source_category").alias("category")
+    )
+    parts = cells.join(known, "id").groupBy(*key, "category").agg(*measures)
+    return whole.unionByName(parts)
+
+
+def _months(rollup: DataFrame, start: dt.date | None, end: dt.date | None) -> DataFrame:
+    if start is not None:
+        rollup = rollup.where(F.col("month") >= F.lit(start.replace(day=1)))
+    if end is not None:
+        rollup = rollup.where(F.col("month") <= F.lit(end.replace(day=1)))
+    return rollup
+
+
+def query_rollup(
+    rollup: DataFrame,
+    grid: float,
+    start: dt.date | None = None,
+    end: dt.date | None = None,
+    category: str | None = None,
+    box: Box | None = None,
+    limit: int = CELL_LIMIT,
+) -> DataFrame:
+    """Cells from the pre-aggregate; means of several months are weighted by their counts.
+
+    A box takes whole cells, by their centre.
+    """
+    kind = F.col("category").isNull() if category is None else F.col("category") == F.lit(category)
+    rows = _months(rollup.where((F.col("grid") == F.lit(grid)) & kind), start, end)
+    if box is not None:
+        rows = rows.where(box.holds(F.col("cell_lon"), F.col("cell_lat")))
+    return (
+        rows.groupBy("cell_lon", "cell_lat")
+        .agg(
+            F.sum("n").alias("incident_count"),
+            steady(F.sum(F.col("mean_lon") * F.col("n")) / F.sum("n")).alias("lon"),
+            steady(F.sum(F.col("mean_lat") * F.col("n")) / F.sum("n")).alias("lat"),
+        )
+        .orderBy(F.desc("incident_count"), "cell_lon", "cell_lat")
+        .limit(limit)
+        .select(
+            F.round("cell_lon", 6).alias("cell_lon"),
+            F.round("cell_lat", 6).alias("cell_lat"),
+            "incident_count",
+            "lon",
+            "lat",
+        )
+    )
+
+
+def rollup_breakdown(
+    rollup: DataFrame,
+    start: dt.date | None = None,
+    end: dt.date | None = None,
+    limit: int = CATEGORY_LIMIT,
+) -> DataFrame:
+    """Pairs per category from the pre-aggregate's coarse grid."""
+    rows = rollup.where(
+        (F.col("grid") == F.lit(BREAKDOWN_GRID)) & F.col("category").isNotNull()
+    )
+    counted = _months(rows, start, end).groupBy("category").agg(F.sum("n").alias("offense_count"))
+    return counted.orderBy(F.desc("offense_count"), "category").limit(limit)
+
+
+def goes_to_rollup(by: Filters, grid: float) -> bool:
+    """Whether the pre-aggregate can answer: no area filter, a known grid, whole months."""
+    plain = by.neighborhood is None and by.district is None
+    return plain and grid in ROLLUP_GRIDS and whole_months(by.start, by.end)
+
+
+def aggregate(
+    incidents: DataFrame, offenses: DataFrame, rollup: DataFrame, zoom: float, by: Filters
+) -> DataFrame:
+    """Map cells for a viewport: lon, lat, incident_count, grid_degrees, answered_by.
+
+    The box is snapped only where the pre-aggregate answers.
+    """
+    grid = grid_for_zoom(zoom)
+    if goes_to_rollup(by, grid):
+        cells = query_rollup(rollup, grid, by.start, by.end, by.category, snapped(by.box))
+        path = "rollup"
+    else:
+        cells, path = grid_aggregate(filter_incidents(incidents, offenses, by), grid), "raw"
+    return cells.select(
+        "lon", "lat", "incident_count", F.lit(grid).alias("grid_degrees"),
+        F.lit(path).alias("answered_by"),
+    )

@@ -2,28 +2,475 @@
 
 from __future__ import annotations
 
-from gridtally.operators import grid
-from gridtally.sources.tables import VIEWS_SQL, incidents
+import datetime as dt
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridtally.functions import display
+from gridtally.operators import grid, listing, reconcile, summary
+from gridtally.operators.filters import Box, Filters, filter_incidents, in_days
+from gridtally.plans import reconcile_queries
+from gridtally.sources.tables import VIEWS_SQL, incidents, offenses, table
+
+START, END = dt.date(1997, 1, 1), dt.date(1998, 6, 30)
+YEAR = (dt.date(1998, 1, 1), dt.date(1998, 12, 31))
+BOX = Box(-87.8, 41.7, -87.5, 41.95)
+CATEGORY, AREA, DISTRICT = "AF", "7", "1-URGENT"
 GRIDS = {"0_05": 0.05, "0_02": 0.02, "0_005": 0.005, "0_001": 0.001}
 
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query; its SQL continues the views."""
+
+    def keep(function):
+        QUERIES[name] = function
+        if sql is not None:
+            ORACLES[name] = VIEWS_SQL + sql
+        return function
+
+    return keep
+
+
+def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return incidents(spark, sf_dir), offenses(spark, sf_dir)
+
+
+# -- filters -------------------------------------------------------------------------
+
+SQL_DAYS = "occurred_at >= DATE '1997-01-01' AND occurred_at < DATE '1998-07-01'"
+SQL_YEAR = "occurred_at >= DATE '1998-01-01' AND occurred_at < DATE '1999-01-01'"
+SQL_CATEGORY = f"id IN (SELECT incident_id FROM offense WHERE source_category = '{CATEGORY}')"
+SQL_BOX = (
+    "lon BETWEEN -87.8::DOUBLE AND -87.5::DOUBLE AND lat BETWEEN 41.7::DOUBLE AND 41.95::DOUBLE"
+)
+SHOWN = ["id", "occurred_at", "neighborhood", "district"]
+SQL_SHOWN = "SELECT id, occurred_at, neighborhood, district FROM incident WHERE "
+
+FILTERED = {
+    "filter_source": (Filters(source_id="demo"), "source_id = 'demo'"),
+    "filter_date_inclusive": (Filters(start=START, end=END), SQL_DAYS),
+    "filter_neighborhood": (Filters(neighborhood=AREA), f"neighborhood = '{AREA}'"),
+    "filter_district": (Filters(district=DISTRICT), f"district = '{DISTRICT}'"),
+    "filter_category_semi": (Filters(category=CATEGORY), SQL_CATEGORY),
+    "filter_bbox": (Filters(box=BOX), SQL_BOX),
+    "filter_all_combined": (
+        Filters("demo", START, END, CATEGORY, AREA, DISTRICT, BOX),
+        f"{SQL_DAYS} AND neighborhood = '{AREA}' AND district = '{DISTRICT}'"
+        f" AND {SQL_CATEGORY} AND {SQL_BOX}",
+    ),
+}
+
+
+def _filtered(by: Filters):
+    return lambda spark, sf_dir: filter_incidents(*both(spark, sf_dir), by).select(*SHOWN)
+
+
+for _name, (_by, _where) in FILTERED.items():
+    query(_name, SQL_SHOWN + _where)(_filtered(_by))
+
+
+# -- lists, counts, categories, status -------------------------------------------------
+
+
+@query("incident_count", f"SELECT count(*) AS incident_count FROM incident WHERE {SQL_CATEGORY}")
+def incident_count(spark, sf_dir):
+    return listing.count(filter_incidents(*both(spark, sf_dir), Filters(category=CATEGORY)))
+
+
+@query(
+    "incident_count_capped",
+    "SELECT count(*) AS incident_count FROM (SELECT 1 FROM incident LIMIT 10000)",
+)
+def incident_count_capped(spark, sf_dir):
+    return listing.capped_count(incidents(spark, sf_dir))
+
+
+@query(
+    "incident_list_page",
+    f"{SQL_SHOWN} {SQL_DAYS} ORDER BY occurred_at DESC NULLS LAST, id LIMIT 100 OFFSET 200",
+)
+def incident_list_page(spark, sf_dir):
+    found = filter_incidents(*both(spark, sf_dir), Filters(start=START, end=END))
+    return listing.page(found, 100, 200).select(*SHOWN)
+
 
-def _raw_grid(size):
-    return lambda spark, sf_dir: grid.grid_aggregate(incidents(spark, sf_dir), size)
+@query(
+    "incident_list_nested",
+    f"""
+, page AS (SELECT id FROM incident WHERE {SQL_DAYS}
+           ORDER BY occurred_at DESC NULLS LAST, id LIMIT 50)
+SELECT page.id, count(incident_id) AS offense_count,
+       count(source_category) AS categorised_count
+FROM page LEFT JOIN offense ON id = incident_id GROUP BY page.id""",
+)
+def incident_list_nested(spark, sf_dir):
+    found, crimes = both(spark, sf_dir)
+    page = listing.page(filter_incidents(found, crimes, Filters(start=START, end=END)), 50)
+    known = F.filter("offenses", lambda o: o["source_category"].isNotNull())
+    return listing.with_offenses(page, crimes).select(
+        "id",
+        F.size("offenses").cast("long").alias("offense_count"),
+        F.size(known).cast("long").alias("categorised_count"),
+    )
 
 
-def _raw_grid_sql(size):
-    return VIEWS_SQL + f"""
+@query(
+    "categories_distinct",
+    "SELECT DISTINCT source_category FROM offense WHERE source_category IS NOT NULL ORDER BY 1",
+)
+def categories_distinct(spark, sf_dir):
+    return listing.categories(offenses(spark, sf_dir))
+
+
+@query(
+    "incident_categories_array",
+    "SELECT incident_id, string_agg(DISTINCT source_category, ',' ORDER BY source_category)"
+    " AS categories FROM offense WHERE source_category IS NOT NULL GROUP BY incident_id",
+)
+def incident_categories_array(spark, sf_dir):
+    return listing.incident_categories(offenses(spark, sf_dir))
+
+
+@query(
+    "coverage_range",
+    "SELECT source_id, min(occurred_at)::DATE AS first_day, max(occurred_at)::DATE AS last_day"
+    " FROM incident GROUP BY source_id",
+)
+def coverage_range(spark, sf_dir):
+    return listing.coverage(incidents(spark, sf_dir))
+
+
+@query(
+    "offense_count",
+    "SELECT source_id, count(*) AS offense_count FROM offense GROUP BY source_id",
+)
+def offense_count(spark, sf_dir):
+    return listing.offense_count(offenses(spark, sf_dir))
+
+
+@query(
+    "dataset_status",
+    """
+SELECT 'demo' AS source_id, (SELECT count(*) FROM incident) AS incident_count,
+       (SELECT count(*) FROM offense) AS offense_count,
+       (SELECT min(occurred_at)::DATE FROM incident) AS first_day,
+       (SELECT max(occurred_at)::DATE FROM incident) AS last_day,
+       DATE '2024-01-02' AS last_run_day, true AS is_complete""",
+)
+def dataset_status(spark, sf_dir):
+    runs = spark.sql("""
+        SELECT * FROM VALUES
+          ('demo', 'completed', TIMESTAMP '2024-01-02 00:00:00', true),
+          ('demo', 'failed', TIMESTAMP '2024-01-03 00:00:00', false)
+        AS r(source_id, status, completed_at, is_complete)""")
+    shown = listing.status(*both(spark, sf_dir), runs)
+    return shown.withColumn("last_run_day", F.col("last_run").cast("date")).drop("last_run")
+
+
+@query(
+    "key_uniqueness_census",
+    "SELECT count(*) AS total, count(DISTINCT l_orderkey) AS distinct_keys,"
+    " count(*) FILTER (l_orderkey IS NULL) AS null_keys,"
+    " count(*) FILTER (trim(l_orderkey::VARCHAR) = '') AS blank_keys FROM lineitem",
+)
+def key_uniqueness_census(spark, sf_dir):
+    return listing.key_census(table(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
+@query(
+    "offenses_per_incident_histogram",
+    "SELECT n AS rows_per_key, count(*) AS keys FROM"
+    " (SELECT incident_id, count(*) AS n FROM offense GROUP BY 1) GROUP BY n",
+)
+def offenses_per_incident_histogram(spark, sf_dir):
+    return listing.group_size_histogram(offenses(spark, sf_dir), "incident_id")
+
+
+# -- grid ------------------------------------------------------------------------------
+
+
+def _grid_sql(size: float, where: str = "true") -> str:
+    return f"""
 SELECT CAST(floor(lon / {size}::DOUBLE) AS BIGINT) AS cell_x,
        CAST(floor(lat / {size}::DOUBLE) AS BIGINT) AS cell_y,
-       count(*) AS incident_count, round(avg(lon), 6) AS lon, round(avg(lat), 6) AS lat
-FROM incident WHERE lon IS NOT NULL AND lat IS NOT NULL
+       count(*) AS incident_count, round(avg(lon) + 1e-9::DOUBLE, 6) AS lon, round(avg(lat) + 1e-9::DOUBLE, 6) AS lat
+FROM incident WHERE lon IS NOT NULL AND lat IS NOT NULL AND {where}
 GROUP BY 1, 2 ORDER BY incident_count DESC, cell_x, cell_y LIMIT 5000"""
 
 
+def _raw_grid(size: float, by: Filters):
+    return lambda spark, sf_dir: grid.grid_aggregate(
+        filter_incidents(*both(spark, sf_dir), by), size
+    )
+
+
+for _label, _size in GRIDS.items():
+    query(f"grid_raw_{_label}", _grid_sql(_size))(_raw_grid(_size, Filters()))
+query("grid_raw_category", _grid_sql(0.05, SQL_CATEGORY))(
+    _raw_grid(0.05, Filters(category=CATEGORY))
+)
+query("grid_raw_bbox", _grid_sql(0.005, SQL_BOX))(_raw_grid(0.005, Filters(box=BOX)))
+
+SQL_ROLLUP = """
+, cells AS (
+  SELECT id, source_id, lon, lat, date_trunc('month', occurred_at)::DATE AS month, g AS grid,
+         floor(lon / g) * g + g / 2 AS cell_lon, floor(lat / g) * g + g / 2 AS cell_lat
+  FROM incident, (VALUES (0.05::DOUBLE), (0.02::DOUBLE)) AS grids(g)
+  WHERE lon IS NOT NULL AND lat IS NOT NULL AND occurred_at IS NOT NULL),
+rollup_rows AS (
+  SELECT source_id, grid, cell_lon, cell_lat, month, NULL AS category, count(*) AS n,
+         avg(lon) AS mean_lon, avg(lat) AS mean_lat FROM cells GROUP BY ALL
+  UNION ALL
+  SELECT c.source_id, grid, cell_lon, cell_lat, month, source_category, count(*),
+         avg(lon), avg(lat)
+  FROM cells c JOIN offense ON id = incident_id WHERE source_category IS NOT NULL GROUP BY ALL)
+"""
+
+
+def _rollup(spark, sf_dir):
+    return grid.build_rollup(*both(spark, sf_dir))
+
+
+@query(
+    "rollup_build",
+    SQL_ROLLUP + "SELECT source_id, grid, round(cell_lon, 6) AS cell_lon,"
+    " round(cell_lat, 6) AS cell_lat, month, category, n,"
+    " round(mean_lon + 1e-9::DOUBLE, 6) AS mean_lon,"
+    " round(mean_lat + 1e-9::DOUBLE, 6) AS mean_lat FROM rollup_rows",
+)
+def rollup_build(spark, sf_dir):
+    centres = {c: F.round(c, 6) for c in ("cell_lon", "cell_lat")}
+    means = {c: grid.steady(F.col(c)) for c in ("mean_lon", "mean_lat")}
+    return _rollup(spark, sf_dir).withColumns(centres | means)
+
+
+def _rollup_sql(grid_size: float, where: str) -> str:
+    return SQL_ROLLUP + f"""
+SELECT round(cell_lon, 6) AS cell_lon, round(cell_lat, 6) AS cell_lat,
+       sum(n)::BIGINT AS incident_count, round(sum(mean_lon * n) / sum(n) + 1e-9::DOUBLE, 6) AS lon,
+       round(sum(mean_lat * n) / sum(n) + 1e-9::DOUBLE, 6) AS lat
+FROM rollup_rows WHERE grid = {grid_size}::DOUBLE AND {where}
+GROUP BY rollup_rows.cell_lon, rollup_rows.cell_lat
+ORDER BY incident_count DESC, rollup_rows.cell_lon, rollup_rows.cell_lat LIMIT 5000"""
+
+
+ROLLED = {
+    "rollup_query_all": (0.05, {}, "category IS NULL"),
+    "rollup_query_month_range": (
+        0.02,
+        {"start": YEAR[0], "end": YEAR[1]},
+        "category IS NULL AND month BETWEEN DATE '1998-01-01' AND DATE '1998-12-01'",
+    ),
+    "rollup_query_category": (0.05, {"category": CATEGORY}, f"category = '{CATEGORY}'"),
+    "rollup_query_bbox": (
+        0.02,
+        {"box": BOX},
+        "category IS NULL AND cell_lon BETWEEN -87.8::DOUBLE AND -87.5::DOUBLE"
+        " AND cell_lat BETWEEN 41.7::DOUBLE AND 41.95::DOUBLE",
+    ),
+}
+
+
+def _rolled(size: float, more: dict):
+    return lambda spark, sf_dir: grid.query_rollup(_rollup(spark, sf_dir), size, **more)
+
+
+for _name, (_size, _more, _where) in ROLLED.items():
+    query(_name, _rollup_sql(_size, _where))(_rolled(_size, _more))
+
+
+@query(
+    "rollup_category_breakdown",
+    SQL_ROLLUP + """
+SELECT category, sum(n)::BIGINT AS offense_count FROM rollup_rows
+WHERE grid = 0.05::DOUBLE AND category IS NOT NULL
+  AND month BETWEEN DATE '1998-01-01' AND DATE '1998-12-01'
+GROUP BY category ORDER BY offense_count DESC, category LIMIT 20""",
+)
+def rollup_category_breakdown(spark, sf_dir):
+    return grid.rollup_breakdown(_rollup(spark, sf_dir), *YEAR)
+
+
+@query(
+    "grid_router",
+    SQL_ROLLUP + f"""
+, coarse AS (
+  SELECT round(sum(mean_lon * n) / sum(n) + 1e-9::DOUBLE, 6) AS lon, round(sum(mean_lat * n) / sum(n) + 1e-9::DOUBLE, 6) AS lat,
+         sum(n)::BIGINT AS incident_count, 0.05::DOUBLE AS grid_degrees, 'rollup' AS answered_by
+  FROM rollup_rows WHERE grid = 0.05::DOUBLE AND category IS NULL
+    AND month BETWEEN DATE '1998-01-01' AND DATE '1998-12-01'
+  GROUP BY cell_lon, cell_lat),
+fine AS (
+  SELECT round(avg(lon) + 1e-9::DOUBLE, 6) AS lon, round(avg(lat) + 1e-9::DOUBLE, 6) AS lat, count(*) AS incident_count,
+         0.05::DOUBLE AS grid_degrees, 'raw' AS answered_by
+  FROM incident WHERE lon IS NOT NULL AND lat IS NOT NULL AND {SQL_DAYS}
+    AND neighborhood = '{AREA}'
+  GROUP BY floor(lon / 0.05::DOUBLE), floor(lat / 0.05::DOUBLE))
+SELECT * FROM coarse UNION ALL SELECT * FROM fine""",
+)
+def grid_router(spark, sf_dir):
+    """One request that the pre-aggregate answers and one that it cannot."""
+    tables = (*both(spark, sf_dir), _rollup(spark, sf_dir))
+    coarse = grid.aggregate(*tables, 9, Filters(start=YEAR[0], end=YEAR[1]))
+    return coarse.unionByName(
+        grid.aggregate(*tables, 9, Filters(start=START, end=END, neighborhood=AREA))
+    )
+
+
+# -- summary -----------------------------------------------------------------------------
+
+PERIOD = summary.Period(*YEAR, False, "month")
+
+
+@query(
+    "period_comparison",
+    f"""
+, counted AS (
+  SELECT count(*) FILTER ({SQL_YEAR}) AS current_count,
+         count(*) FILTER (occurred_at >= DATE '1997-01-01' AND occurred_at < DATE '1998-01-01')
+           AS previous_count FROM incident WHERE {SQL_CATEGORY})
+SELECT *, CASE WHEN previous_count <> 0 THEN
+       round((current_count - previous_count)::DOUBLE / previous_count * 100, 1) END
+       AS percent_change FROM counted""",
+)
+def period_comparison(spark, sf_dir):
+    found = filter_incidents(*both(spark, sf_dir), Filters(category=CATEGORY))
+    return summary.compare(found, PERIOD)
+
+
+def _breakdown_sql(where: str) -> str:
+    return f"""
+SELECT source_category AS category, count(*) AS offense_count
+FROM offense JOIN incident ON incident_id = id WHERE {where}
+GROUP BY 1 ORDER BY offense_count DESC, category NULLS FIRST LIMIT 20"""
+
+
+@query("category_breakdown", _breakdown_sql(SQL_YEAR))
+def category_breakdown(spark, sf_dir):
+    found, crimes = both(spark, sf_dir)
+    return summary.breakdown(in_days(found, *YEAR), crimes)
+
+
+@query("category_breakdown_filtered", _breakdown_sql(f"{SQL_YEAR} AND {SQL_CATEGORY}"))
+def category_breakdown_filtered(spark, sf_dir):
+    found, crimes = both(spark, sf_dir)
+    by = Filters(start=YEAR[0], end=YEAR[1], category=CATEGORY)
+    return summary.breakdown(filter_incidents(found, crimes, by), crimes)
+
+
+def _series_sql(kind: str) -> str:
+    return (
+        f"SELECT date_trunc('{kind}', occurred_at)::DATE AS bucket_start,"
+        f" count(*) AS incident_count FROM incident WHERE {SQL_YEAR} GROUP BY 1 ORDER BY 1"
+    )
+
+
+def _series(kind: str):
+    return lambda spark, sf_dir: summary.series(in_days(incidents(spark, sf_dir), *YEAR), kind)
+
+
+query("series_week", _series_sql("week"))(_series("week"))
+query("series_month", _series_sql("month"))(_series("month"))
+
+
+@query(
+    "series_partial_flag",
+    """
+, counted AS (SELECT date_trunc('month', occurred_at)::DATE AS bucket_start,
+              count(*) AS incident_count FROM incident GROUP BY 1)
+SELECT bucket_start, incident_count,
+       bucket_start = (SELECT max(bucket_start) FROM counted)
+       AND last_day(bucket_start) > DATE '2001-07-20' AS is_partial
+FROM counted ORDER BY bucket_start""",
+)
+def series_partial_flag(spark, sf_dir):
+    return summary.series(incidents(spark, sf_dir), "month", dt.date(2001, 7, 20))
+
+
+SQL_AREAS = """
+SELECT neighborhood, count(*) AS incident_count FROM incident
+WHERE neighborhood IS NOT NULL GROUP BY 1 ORDER BY incident_count DESC, neighborhood LIMIT 10"""
+
+
+@query("top_neighborhoods", SQL_AREAS)
+def top_neighborhoods(spark, sf_dir):
+    return summary.top_areas(incidents(spark, sf_dir))
+
+
+@query(
+    "top_neighborhoods_named",
+    f"""
+SELECT neighborhood, incident_count, n_name AS area_name FROM ({SQL_AREAS})
+LEFT JOIN nation ON neighborhood = n_nationkey::VARCHAR""",
+)
+def top_neighborhoods_named(spark, sf_dir):
+    names = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("name")
+    )
+    return summary.top_areas(incidents(spark, sf_dir), names)
+
+
+# -- display -------------------------------------------------------------------------------
+
+
+@query(
+    "bar_chart_width",
+    f"""
+, areas AS ({SQL_AREAS})
+SELECT neighborhood, greatest(
+         incident_count::DOUBLE / greatest((SELECT max(incident_count) FROM areas), 1) * 100, 2.0)
+       AS bar_width FROM areas""",
+)
+def bar_chart_width(spark, sf_dir):
+    areas = display.bar_width(summary.top_areas(incidents(spark, sf_dir)), "incident_count")
+    return areas.select("neighborhood", "bar_width")
+
+
+@query(
+    "display_labels",
+    f"""
+SELECT CASE WHEN n_name IS NULL THEN 'Unknown' ELSE n_name END || ' (' || neighborhood || ')'
+       AS label, CASE WHEN incident_count <= 50 THEN 3 + (incident_count - 1) * (2.0::DOUBLE / 49)
+            WHEN incident_count <= 500 THEN 5 + (incident_count - 50) * (2.0::DOUBLE / 450)
+            ELSE 7 + (incident_count - 500) * (2.0::DOUBLE / 4500) END AS radius
+FROM ({SQL_AREAS}) LEFT JOIN nation ON neighborhood = n_nationkey::VARCHAR""",
+)
+def display_labels(spark, sf_dir):
+    return top_neighborhoods_named(spark, sf_dir).select(
+        display.area_label(F.col("neighborhood"), F.col("area_name")).alias("label"),
+        display.circle_radius(F.col("incident_count")).alias("radius"),
+    )
+
+
+@query("geojson_features")
+def geojson_features(spark, sf_dir):
+    return display.geojson_points(incidents(spark, sf_dir), ["id", "district"])
+
+
+@query(
+    "events_per_day",
+    "SELECT date_trunc('day', ts)::DATE AS window_day, event_type, count(*) AS event_count"
+    " FROM events GROUP BY 1, 2",
+)
+def events_per_day(spark, sf_dir):
+    from gridtally.streaming.incremental import event_windows
+
+    counted = event_windows(table(spark, sf_dir, "events"))
+    return counted.select(
+        F.col("window_start").cast("date").alias("window_day"), "event_type", "event_count"
+    )
+
+
+reconcile_queries.register(query, reconcile)
+
+
 def queries():
-    return {f"grid_raw_{k}": _raw_grid(v) for k, v in GRIDS.items()}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {f"grid_raw_{k}": _raw_grid_sql(v) for k, v in GRIDS.items()}
+    return dict(ORACLES)
