@@ -7,8 +7,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import types as T
 
 
+TYPES = {
+    "STRING": T.StringType(), "BOOLEAN": T.BooleanType(), "INT": T.IntegerType(),
+    "BIGINT": T.LongType(), "DOUBLE": T.DoubleType(), "TIMESTAMP": T.TimestampType(),
+}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A flat schema from "name TYPE, ..."; needs no session."""
+    pairs = (field.split() for field in text.split(","))
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in pairs])
 
 
 #: A raw record as the source publishes it: every value is text or a flag.
