@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridtally.llm import ann, bpe, lm_score, mixing, near_dedup, pii, token_counts, toxicity, url_filter
+from gridtally.llm import ann, bpe, lm_score, media, mixing, near_dedup, pii, token_counts, toxicity, url_filter
 from gridtally.llm.common import table
 
 
@@ -68,6 +68,12 @@ def op9_lm_score(spark, sf_dir):
     return lm_score.scores(docs, fold(7) == 2, fold(7) == 3)
 
 
+def op10_media(spark, sf_dir):
+    """No table holds media, so vectors are drawn as images; near vectors are edited copies."""
+    images = media.vector_images(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return media.image_classes(images).withColumnRenamed("id", "vec_id")
+
+
 def queries():
     return {
         "op1_url_filter": op1_url_filter,
@@ -79,6 +85,7 @@ def queries():
         "op7_near_dedup": op7_near_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_lm_score": op9_lm_score,
+        "op10_media": op10_media,
     }
 
 
