@@ -197,3 +197,30 @@ def test_labels(spark):
     assert [tuple(r) for r in shown] == [("One (1)", "+12.5%"), ("—", "—"), ("Unknown (9)", "-3.0%")]
     sizes = spark.createDataFrame([(0,), (1,), (50,), (275,), (10**6,)], "n long")
     assert [r[0] for r in sizes.select(display.circle_radius(F.col("n"))).collect()] == [3, 3, 5, 6, 21]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_reach_the_scan(spark, small):
+    from gridtally.sources.tables import incidents, offenses
+
+    by = Filters(start=dt.date(1997, 1, 1), end=dt.date(1997, 12, 31), category="AF")
+    plan = plan_of(filter_incidents(incidents(spark, small), offenses(spark, small), by).select("id"))
+    assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan
+    assert "LeftSemi" in plan and "o_totalprice" not in plan and "CartesianProduct" not in plan
+
+
+def test_top_k_is_one_operator(spark, small):
+    from gridtally.sources.tables import incidents
+
+    plan = plan_of(grid.grid_aggregate(incidents(spark, small), 0.05))
+    assert "TakeOrderedAndProject" in plan and "partial_count" in plan
+
+
+def test_rollup_is_one_scan_per_shape(spark, small):
+    from gridtally.sources.tables import incidents, offenses
+
+    plan = plan_of(grid.build_rollup(incidents(spark, small), offenses(spark, small)))
+    assert plan.count("orders.parquet") <= 4  # two shapes, both grids from the same scan
