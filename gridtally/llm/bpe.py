@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridtally.llm.common import text_slices
+
 NONE = 1 << 60
 ID_BITS = 20
 ID_MASK = (1 << ID_BITS) - 1
@@ -208,20 +210,23 @@ def codec(path: str) -> WordCodec:
     return WordCodec(path)
 
 
-def _with(df: DataFrame, name: str, kind: T.DataType, step) -> DataFrame:
-    """df with a column that step makes from each Arrow batch; a clashing one is replaced."""
-    kept = [c for c in df.columns if c.lower() != name.lower()]
+def _mapped(df: DataFrame, made: dict[str, T.DataType], step, text_col: str | None) -> DataFrame:
+    """df with the columns that step makes from each Arrow batch; clashing ones are replaced."""
+    kept = [c for c in df.columns if c.lower() not in {m.lower() for m in made}]
 
     def run(batches):
-        for batch in batches:
-            column = step(batch)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.get_field_index(c)) for c in kept), column],
-                names=[*kept, name],
-            )
+        for batch in text_slices(batches, text_col) if text_col else batches:
+            own = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*own, *step(batch)], names=[*kept, *made])
+
+    fields = [df.schema[c] for c in kept] + [T.StructField(n, kind) for n, kind in made.items()]
+    return df.mapInArrow(run, T.StructType(fields))
+
 
-    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(name, kind)])
-    return df.mapInArrow(run, schema)
+def id_lists(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+    flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
 def encode(
@@ -229,14 +234,11 @@ def encode(
 ) -> DataFrame:
     """df with out_col, the token ids (array of int) of the whole text."""
 
-    def step(batch: pa.RecordBatch) -> pa.Array:
+    def step(batch: pa.RecordBatch) -> list[pa.Array]:
         own = codec(tokenizer)
-        ids = [own.encode(x.as_py()) for x in batch.column(text_col)]
-        ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-        flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+        return [id_lists([own.encode(x.as_py()) for x in batch.column(text_col)])]
 
-    return _with(df, out_col, T.ArrayType(T.IntegerType()), step)
+    return _mapped(df, {out_col: T.ArrayType(T.IntegerType())}, step, text_col)
 
 
 def decode(
@@ -244,19 +246,24 @@ def decode(
 ) -> DataFrame:
     """df with out_col, the text that the ids stand for; null ids decode to ''."""
 
-    def step(batch: pa.RecordBatch) -> pa.Array:
-        own, column = codec(tokenizer), batch.column(ids_col)
-        flat = column.flatten().to_numpy()
-        ends = np.cumsum([0, *column.value_lengths().fill_null(0).to_pylist()])
-        texts = (own.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:]))
-        return pa.array(texts, pa.string())
+    def step(batch: pa.RecordBatch) -> list[pa.Array]:
+        own = codec(tokenizer)
+        texts = (own.decode(x.as_py() or []) for x in batch.column(ids_col))
+        return [pa.array(texts, pa.string())]
 
-    return _with(df, out_col, T.StringType(), step)
+    return _mapped(df, {out_col: T.StringType()}, step, None)
 
 
-def round_trip(df: DataFrame, tokenizer: str) -> DataFrame:
-    """df with token_ids and decoded, in one pass through Python."""
-    return decode(encode(df, tokenizer), tokenizer)
+def round_trip(df: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
+    """df with token_ids and what they decode to, in one pass and one worker per task."""
+
+    def step(batch: pa.RecordBatch) -> list[pa.Array]:
+        own = codec(tokenizer)
+        ids = [own.encode(x.as_py()) for x in batch.column(text_col)]
+        return [id_lists(ids), pa.array((own.decode(x.tolist()) for x in ids), pa.string())]
+
+    made = {"token_ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}
+    return _mapped(df, made, step, text_col)
 
 
 def digest(df: DataFrame) -> DataFrame:

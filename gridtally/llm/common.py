@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +37,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give a worker's free memory back: it lives on, and the next operator runs beside it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def text_slices(batches, column: str = "text", most_bytes: int = 2 << 20):
     """Arrow batches cut so that column holds about most_bytes in each, one row at least.
 
@@ -50,6 +60,7 @@ def text_slices(batches, column: str = "text", most_bytes: int = 2 << 20):
             b = max(a + 1, int(ends.searchsorted(start + most_bytes, side="right")))
             yield batch.slice(a, b - a)
             a = b
+    release_memory()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

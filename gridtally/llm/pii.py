@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from gridtally.llm.common import text_slices
+
 #: The default key pseudonymises tests; production passes its own.
 DEMO_KEY = b"not a secret: replace me"
 ROUNDS = 8
@@ -258,7 +260,7 @@ def pseudonymise(
 
     def run(batches):
         own = cipher(key, back)
-        for batch in batches:
+        for batch in text_slices(batches, text_col):
             fresh = [
                 (None, {}) if x is None else pseudonymised(x, own)
                 for x in (v.as_py() for v in batch.column(text_col))

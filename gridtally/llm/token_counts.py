@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridtally.llm.bpe import ID_BITS, byte_letters, merge_parts
+from gridtally.llm.common import text_slices
 
 #: Bytes of text read side by side at once, and the length of a chunk.
 SLICE_BYTES = 8 << 20
@@ -334,7 +335,7 @@ def token_counts(
     kept = [c for c in df.columns if c.lower() != out_col.lower()]
 
     def run(batches):
-        for batch in batches:
+        for batch in text_slices(batches, text_col, SLICE_BYTES):
             column = batch.column(text_col).cast(pa.large_binary())
             texts = [x.as_py() or b"" for x in column]
             found = pa.array(counts(texts, merger(tokenizer)), pa.int64())

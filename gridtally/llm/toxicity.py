@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridtally.llm.common import text_slices
+
 WINDOW, STRIDE = 24, 12
 HIDDEN = 8
 WORD_SIZE, CHAR_SIZE = 8, 4
@@ -395,7 +397,7 @@ def toxicity_scores(df: DataFrame, model: Model, out_col: str = "toxicity") -> D
     kept = [c for c in df.columns if c.lower() != out_col.lower()]
 
     def run(batches):
-        for batch in batches:
+        for batch in text_slices(batches):
             scores = shared.value.scores([x.as_py() for x in batch.column("text")])
             yield pa.RecordBatch.from_arrays(
                 [
