@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtally.llm import bpe, mixing, near_dedup, pii, toxicity
-from gridtally.llm.common import stored, table
+from gridtally.llm.common import stored, table, unused
 
 #: Blocks of the mix: a training context, so most documents stay whole.
 BLOCK_WORDS = 512
@@ -21,8 +21,9 @@ BLOCK_WORDS = 512
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose worst window scores under the threshold.  Labels are the table's."""
     labels = table(spark, sf_dir, "labels")
-    scored = toxicity.toxicity_scores(docs, toxicity.train(docs, labels), "_toxicity")
-    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    score = unused(docs, "toxicity")
+    scored = toxicity.toxicity_scores(docs, toxicity.train(docs, labels), score)
+    return scored.where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

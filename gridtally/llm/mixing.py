@@ -26,7 +26,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtally.llm.common import stored
+from gridtally.llm.common import stored, unused
 
 BLOCK_WORDS = 32
 SHARD_SLOTS = 4096
@@ -322,6 +322,7 @@ def mixed_documents(docs: DataFrame, block_words: int, seed: int = SEED) -> Data
     one, follows the text.
     """
     mix = Mix(docs, block_words, seed)
+    by_text = Window.partitionBy("doc_id", "text_hash")
     taken = (
         mix.taken_blocks()
         .where("times > 0")
@@ -332,46 +333,41 @@ def mixed_documents(docs: DataFrame, block_words: int, seed: int = SEED) -> Data
             F.first("size").alias("size"),
             F.sort_array(F.collect_list(F.struct("from_word", "n_words", "times"))).alias("parts"),
         )
-        .withColumn(
-            "copy",
-            F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("first_word")),
-        )
+        .withColumn("copy", F.row_number().over(by_text.orderBy("first_word")))
         .withColumn("turns", F.sequence(F.lit(1).cast("long"), F.array_max("parts.times")))
-        .select(
-            F.col("doc_id").alias("_doc_id"),
-            F.col("text_hash").alias("_text_hash"),
-            F.col("copy").alias("_copy"),
-            F.col("size").alias("_size"),
-            "parts",
-            F.explode("turns").alias("turn"),
-        )
+        .withColumn("turn", F.explode("turns"))
         .withColumn("parts", F.filter("parts", lambda p: p["times"] >= F.col("turn")))
+        .select("doc_id", "text_hash", "copy", F.struct("size", "parts").alias("take"))
     )
-    copies = Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(1))
-    keyed = docs.withColumn("text_hash", F.xxhash64("text")).withColumn(
-        "_no", F.row_number().over(copies)
+    # Equal rows are told apart by a number; the names are none of the input's.
+    key, copy, take = (unused(docs, n) for n in ("_text_hash", "_copy", "_take"))
+    same = Window.partitionBy("doc_id", key).orderBy(F.lit(1))
+    keyed = docs.withColumn(key, F.xxhash64("text")).withColumn(copy, F.row_number().over(same))
+    taken = taken.toDF("_mix_doc_id", "_mix_hash", "_mix_copy", take)
+    joined = keyed.join(
+        taken.hint("merge"),
+        keyed["doc_id"].eqNullSafe(taken["_mix_doc_id"])
+        & (keyed[key] == taken["_mix_hash"])
+        & (keyed[copy] == taken["_mix_copy"]),
     )
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    whole = F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["n_words"]) == F.col(
-        "_size"
-    )
-    cut = F.transform(
-        "parts",
-        lambda p: F.array_join(
-            F.slice(F.col("_words"), (p["from_word"] + 1).cast("int"), p["n_words"].cast("int")),
+    parts, size = F.col(f"{take}.parts"), F.col(f"{take}.size")
+    whole = F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n + p["n_words"]) == size
+
+    def cut(words: Column) -> Column:
+        return F.array_join(
+            F.transform(
+                parts,
+                lambda p: F.array_join(
+                    F.slice(words, (p["from_word"] + 1).cast("int"), p["n_words"].cast("int")), " "
+                ),
+            ),
             " ",
-        ),
-    )
-    mixed = (
-        keyed.join(
-            taken.hint("merge"),
-            keyed["doc_id"].eqNullSafe(taken["_doc_id"])
-            & (keyed["text_hash"] == taken["_text_hash"])
-            & (keyed["_no"] == taken["_copy"]),
         )
-        .withColumn("_words", F.when(~whole, words))
-        .withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(cut, " ")))
-    )
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    # One element, so that the words are found once per row and not once per part.
+    some = F.get(F.transform(F.array(words), cut), F.lit(0))
+    mixed = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(some))
     if "n_chars" in docs.columns:
         mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return mixed.select(*docs.columns)

@@ -80,7 +80,7 @@ def test_run(spark, stages):
 
 
 def test_stages_on_awkward_rows(spark):
-    shape = "doc_id long, text string, lang string, source string, n_chars long, _toxicity string"
+    shape = "doc_id long, text string, lang string, source string, n_chars long, toxicity string"
     rows = [(1, None, None, None, None, "a"), (2, "", "en", "s", 0, None), (3, "w " * 5000, "en", None, 1, None)]
     rows += [(3, "w " * 5000, "en", None, 1, None), (None, "card 4111111111111111", "en", "s", 5, None), (4, "x", "de", "s", 1, "b")]
     docs = spark.createDataFrame(rows, shape)
@@ -89,6 +89,7 @@ def test_stages_on_awkward_rows(spark):
         assert all("4111111111111111" not in (r["text"] or "") for r in out) or name != "pii"
         if name in ("toxicity", "pii"):
             assert len(out) == len(rows)
+        assert {r["toxicity"] for r in out} <= {"a", "b", None}
         assert stage(spark, docs.limit(0), SMALL).count() == 0
     kept = corpus_pipeline.drop_near_copies(spark, docs, SMALL).collect()
     assert Counter(r["doc_id"] for r in kept) == {1: 1, 3: 1, None: 1, 4: 1}
