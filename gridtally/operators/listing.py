@@ -107,3 +107,22 @@ def group_size_histogram(df: DataFrame, key: str) -> DataFrame:
     """How many keys have n rows, for each n."""
     sizes = df.groupBy(key).agg(F.count("*").alias("rows_per_key"))
     return sizes.groupBy("rows_per_key").agg(F.count("*").alias("keys"))
+
+
+def lookup(df: DataFrame, **key) -> DataFrame:
+    """The row with the given key values, if any; a filter that is pushed down."""
+    for name, value in key.items():
+        df = df.where(F.col(name) == F.lit(value))
+    return df.limit(1)
+
+
+def active_records(state: DataFrame, source_id: str) -> DataFrame:
+    return state.where((F.col("source_id") == F.lit(source_id)) & F.col("source_active"))
+
+
+def version_history(versions: DataFrame) -> DataFrame:
+    """external_record_id, history: each record's versions in order of observation."""
+    step = F.struct("observed_at", "run_id", "fingerprint")
+    return versions.groupBy("source_id", "external_record_id").agg(
+        F.sort_array(F.collect_list(step)).alias("history")
+    )

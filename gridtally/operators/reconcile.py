@@ -195,6 +195,11 @@ def promoted_by_hand(config: SourceConfig, run: dict) -> tuple[SourceConfig, str
     return replace(config, baseline=run["records_received"]), "overridden_trusted"
 
 
+def held(config: SourceConfig, on: bool = True) -> SourceConfig:
+    """Stop, or allow again, all inference of removals from a source."""
+    return replace(config, manual_hold=on)
+
+
 @dataclass
 class Reconciled:
     state: DataFrame
