@@ -191,7 +191,7 @@ class WordCodec(dict):
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
-        if self.specials is None or "<|" not in text:
+        if not any(s in text for s in self.special):
             return np.frombuffer(self.plain(text), np.int32)
         found = [
             array("i", [self.special[x]]).tobytes() if x in self.special else self.plain(x)
