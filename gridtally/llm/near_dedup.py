@@ -223,6 +223,16 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
 
 
+def apart(totals: DataFrame) -> DataFrame:
+    """Totals by key, written before they are joined back to the rows of their key.
+
+    Joined at once they would lend the join their partitioning, and a key with a
+    third of all rows would be one task; with an exchange on both sides Spark
+    splits such a partition.
+    """
+    return stored(totals, "totals")
+
+
 def hub_pairs(members: DataFrame, shared: int = 1) -> DataFrame:
     """Pairs (a, b): each member (bucket, node) with its bucket's hub, if they share enough buckets.
 
@@ -237,7 +247,7 @@ def hub_pairs(members: DataFrame, shared: int = 1) -> DataFrame:
     )
     return (
         members.select("bucket", F.col("node").alias("a"))
-        .join(hubs.select("bucket", (-F.col("hub.node")).alias("b")), "bucket")
+        .join(apart(hubs.select("bucket", (-F.col("hub.node")).alias("b"))), "bucket")
         .where("a <> b")
         .groupBy("a", "b")
         .agg(F.count("*").alias("n"))
@@ -257,7 +267,7 @@ def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
         .where("least <> most")
         .select("bucket")
     )
-    return labelled.join(split, "bucket")
+    return labelled.join(apart(split), "bucket")
 
 
 def shingle_rows(texts: DataFrame) -> DataFrame:
@@ -300,8 +310,10 @@ def prefix_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     part = threshold / (1 + threshold)
     span = math.ceil(math.log(1 / threshold) / math.log(STEP))
     tokens = stored(shingle_rows(texts), "open-shingles")
-    held = tokens.groupBy("token").agg(
-        F.count("*").alias("holders"), F.min("label").alias("low"), F.max("label").alias("high")
+    held = apart(
+        tokens.groupBy("token").agg(
+            F.count("*").alias("holders"), F.min("label").alias("low"), F.max("label").alias("high")
+        )
     )
     by_rarity = Window.partitionBy("node").orderBy("holders", "token")
     least = F.ceil(F.pow(F.lit(STEP), F.col("partner")) - 1e-9)
@@ -322,7 +334,7 @@ def prefix_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     crowd = per_label.groupBy("token", "own", "partner").agg(
         F.max(F.struct("n", "label")).getField("label").alias("crowd")
     )
-    x = rows.join(crowd, ["token", "own", "partner"]).alias("x")
+    x = rows.join(apart(crowd), ["token", "own", "partner"]).alias("x")
     y = rows.alias("y")
     needed = F.ceil(F.lit(part) * (F.col("x.n") + F.col("y.n")) - 1e-9)
     # Of two crowds the greater label's rows look for the other; within one key only rows
@@ -362,7 +374,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     places = nodes.select("node", F.explode("bands").alias("bucket"))
     sizes = places.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(places.join(sizes, "bucket"), "bag-members")
+    members = stored(places.join(apart(sizes), "bucket"), "bag-members")
     pairs = hub_pairs(members)
     wanted = members.select("node").distinct()
     texts = stored(
