@@ -66,6 +66,7 @@ def ingest_batch(
         return {"run_id": run_id, "status": "repeated"}
     state = store.read("source_records", pointer)
     state = empty(spark, SOURCE_RECORD) if state is None else state
+    state = state.where(F.col("source_id") == F.lit(config.source_id))
     incidents = store.read("incidents", pointer)
     incidents = empty(spark, INCIDENT) if incidents is None else incidents
     offenses = store.read("offenses", pointer)
@@ -79,11 +80,20 @@ def ingest_batch(
             "fingerprint", nz.fingerprint(last, nz.FINGERPRINTED)
         )
         payload = F.to_json(F.struct(*raw.columns), {"ignoreNullFields": "false"})
+        # Without absence to count, only the records of this batch can change.
+        own = state if complete else state.join(
+            fetched.select("external_record_id"), "external_record_id", "left_semi"
+        )
         done = reconcile.reconcile(
-            state, fetched, config, run_id, observed_at, payload, complete, reported
+            own, fetched, config, run_id, observed_at, payload, complete, reported
         )
         fresh = done.found.where(F.col("kind").isin("created", "changed"))
         new_incidents, new_offenses = nz.normalize(fresh, config.source_id)
+        known = offenses.join(new_offenses.select("id"), "id", "left_semi")
+        if incident_policy == "first_wins":
+            new_incidents = new_incidents.join(incidents.select("id"), "id", "left_anti")
+        elif incident_policy != "latest_wins":
+            raise ValueError(incident_policy)
         run = done.run
         verdict_base = config.baseline
         if run["plausibility_status"] == "plausible":
@@ -92,13 +102,14 @@ def ingest_batch(
         if stream:
             keep[f"batch:{stream[0]}"] = stream[1]
         store.commit(
-            {
-                "source_records": done.state,
-                "incidents": nz.insert_new_incidents(incidents, new_incidents, incident_policy),
-                "offenses": nz.merge_offenses(offenses, new_offenses),
-            },
+            {},
             {"versions": done.versions, "runs": log_run(store, run, observed_at, observed_at)},
             keep,
+            {
+                "source_records": (done.state, ["source_id", "external_record_id"]),
+                "incidents": (new_incidents, ["id"]),
+                "offenses": (nz.merge_offenses(known, new_offenses), ["id"]),
+            },
         )
         return run
     except Exception as error:

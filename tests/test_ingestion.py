@@ -136,6 +136,16 @@ def test_suspicious_run_is_no_evidence(spark, store):
     assert store.pointer()["config"]["baseline:demo"] == 10
 
 
+def test_sources_do_not_meet(spark, store):
+    both = raw(spark, record(1), record(2))
+    incremental.full_run(store, both, rec.SourceConfig("a"), "r1", DAY)
+    incremental.full_run(store, raw(spark, record(1)), rec.SourceConfig("b"), "r2", DAY)
+    rows = store.read("source_records").collect()
+    found = {(r["source_id"], r["external_record_id"]): r["consecutive_missing_runs"] for r in rows}
+    assert found == {("a", "1"): 0, ("a", "2"): 0, ("b", "1"): 0}
+    assert store.read("incidents").count() == 3
+
+
 def test_hand_promotion():
     config = rec.SourceConfig("demo", 100)
     trusted, status = rec.promoted_by_hand(config, {"source_id": "demo", "records_received": 7})

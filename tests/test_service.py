@@ -64,6 +64,22 @@ def test_from_bootstrap_to_map(spark, store):
     assert listing.active_records(store.read("source_records"), "demo").count() == 6
 
 
+def test_merged_tables(spark, store, monkeypatch):
+    from gridtally.sources import state
+
+    monkeypatch.setattr(state, "MOST_DELTAS", 3)
+    shape = "id string, v int"
+    for n in range(7):
+        rows = [("same", n), (f"own{n}", n), ("gone", None if n == 5 else 0)]
+        store.commit(merged={"t": (spark.createDataFrame(rows, shape), ["id"])})
+        held = {r["id"]: r["v"] for r in store.read("t").collect()}
+        assert held["same"] == n and len(held) == n + 3
+        assert held["gone"] == (None if n == 5 else 0)
+        assert len(store.pointer()["tables"]["t"]) <= 3
+    store.commit({"t": spark.createDataFrame([("one", 1)], shape)})
+    assert store.read("t").columns == ["id", "v"] and store.read("t").count() == 1
+
+
 def test_hold_stops_evidence(spark, store):
     jobs.save_config(store, held(SourceConfig("demo")))
     run = jobs.complete_run(store, raw(spark, record(1)), "demo", "r1", NOW, confirm=True)
