@@ -197,7 +197,8 @@ def _grid_sql(size: float, where: str = "true") -> str:
     return f"""
 SELECT CAST(floor(lon / {size}::DOUBLE) AS BIGINT) AS cell_x,
        CAST(floor(lat / {size}::DOUBLE) AS BIGINT) AS cell_y,
-       count(*) AS incident_count, round(avg(lon) + 1e-9::DOUBLE, 6) AS lon, round(avg(lat) + 1e-9::DOUBLE, 6) AS lat
+       count(*) AS incident_count, round(avg(lon) + 1e-9::DOUBLE, 6) AS lon,
+       round(avg(lat) + 1e-9::DOUBLE, 6) AS lat
 FROM incident WHERE lon IS NOT NULL AND lat IS NOT NULL AND {where}
 GROUP BY 1, 2 ORDER BY incident_count DESC, cell_x, cell_y LIMIT 5000"""
 
@@ -299,13 +300,15 @@ def rollup_category_breakdown(spark, sf_dir):
     "grid_router",
     SQL_ROLLUP + f"""
 , coarse AS (
-  SELECT round(sum(mean_lon * n) / sum(n) + 1e-9::DOUBLE, 6) AS lon, round(sum(mean_lat * n) / sum(n) + 1e-9::DOUBLE, 6) AS lat,
+  SELECT round(sum(mean_lon * n) / sum(n) + 1e-9::DOUBLE, 6) AS lon,
+         round(sum(mean_lat * n) / sum(n) + 1e-9::DOUBLE, 6) AS lat,
          sum(n)::BIGINT AS incident_count, 0.05::DOUBLE AS grid_degrees, 'rollup' AS answered_by
   FROM rollup_rows WHERE grid = 0.05::DOUBLE AND category IS NULL
     AND month BETWEEN DATE '1998-01-01' AND DATE '1998-12-01'
   GROUP BY cell_lon, cell_lat),
 fine AS (
-  SELECT round(avg(lon) + 1e-9::DOUBLE, 6) AS lon, round(avg(lat) + 1e-9::DOUBLE, 6) AS lat, count(*) AS incident_count,
+  SELECT round(avg(lon) + 1e-9::DOUBLE, 6) AS lon, round(avg(lat) + 1e-9::DOUBLE, 6) AS lat,
+         count(*) AS incident_count,
          0.05::DOUBLE AS grid_degrees, 'raw' AS answered_by
   FROM incident WHERE lon IS NOT NULL AND lat IS NOT NULL AND {SQL_DAYS}
     AND neighborhood = '{AREA}'

@@ -45,7 +45,9 @@ def rows(df: DataFrame) -> list[dict]:
 
 
 class Service:
-    def __init__(self, spark: SparkSession, store: SnapshotStore, names: DataFrame | None = None):
+    def __init__(
+        self, spark: SparkSession, store: SnapshotStore, names: DataFrame | None = None
+    ):
         self.spark, self.store, self.names, self.answers = spark, store, names, Answers()
 
     def _tables(self, pointer: dict) -> tuple[DataFrame, DataFrame]:
