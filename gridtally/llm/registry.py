@@ -46,6 +46,35 @@ def op7_near_dedup(spark, sf_dir):
     return near_dedup.near_classes(table(spark, sf_dir, "documents"))
 
 
+#: The same classes by comparing every pair of texts that share a shingle.
+NEAR_SQL = f"""
+WITH RECURSIVE same AS (
+  SELECT coalesce(text, '') AS text, min(doc_id) AS node, count(*) AS copies
+  FROM documents GROUP BY 1),
+worded AS (
+  SELECT node, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM same),
+placed AS (
+  SELECT node, w, unnest(range(1, greatest(len(w) - {near_dedup.SHINGLE - 1}, 1) + 1)) AS i
+  FROM worded WHERE len(w) > 0),
+shingles AS (
+  SELECT node, array_to_string(w[i:i + {near_dedup.SHINGLE - 1}], ' ') AS s, count(*) AS n
+  FROM placed GROUP BY 1, 2),
+sizes AS (SELECT node, sum(n) AS n FROM shingles GROUP BY node),
+shared AS (
+  SELECT x.node AS a, y.node AS b, sum(least(x.n, y.n)) AS n
+  FROM shingles x JOIN shingles y ON x.s = y.s AND x.node > y.node GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes p ON p.node = a JOIN sizes q ON q.node = b
+  WHERE shared.n >= {near_dedup.THRESHOLD} * (p.n + q.n - shared.n)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT node, node AS other FROM same
+  UNION SELECT r.node, e.b FROM reached r JOIN both_ways e ON r.other = e.a)
+SELECT d.doc_id, c.class_id, same.copies
+FROM documents d JOIN same ON coalesce(d.text, '') = same.text
+JOIN (SELECT node, min(other) AS class_id FROM reached GROUP BY node) c USING (node)"""
+
+
 def fold(n: int):
     """crc32 of the doc_id's digits, modulo n."""
     return F.crc32(F.col("doc_id").cast("string")) % n
@@ -90,4 +119,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_mixing": mixing.report_sql()}
+    return {"op3_mixing": mixing.report_sql(), "op7_near_dedup": NEAR_SQL}
