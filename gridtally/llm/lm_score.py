@@ -47,6 +47,7 @@ END, BEGIN = np.uint64(1), np.uint64(2)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Folds of a document: scored only, training, and training whose counts are held out.
 SCORED, KEPT, DELETED = 0, 1, 2
+SIDES = ("left", "right")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -180,10 +181,10 @@ def owners_of(keys: np.ndarray, owners: int) -> np.ndarray:
 
 
 def dealt(keys: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order that sorts keys by owner, then key; and where each owner's begin."""
+    """The order that sorts keys by owner, then key; and the owners in that order."""
     own = owners_of(keys, owners)
     order = np.lexsort((keys, own))
-    return order, np.searchsorted(own[order], np.arange(owners + 1))
+    return order, own[order]
 
 
 def asked(chunks: DataFrame, owners: int) -> DataFrame:
@@ -199,32 +200,38 @@ def asked(chunks: DataFrame, owners: int) -> DataFrame:
                 for keys, where in ((own.words, own.places), (pairs, at)):
                     kept = np.bincount(where[fold == KEPT], minlength=len(keys))
                     deleted = np.bincount(where[fold == DELETED], minlength=len(keys))
-                    order, begin = dealt(keys, owners)
-                    columns.append((keys[order], kept[order], deleted[order], begin))
+                    order, who = dealt(keys, owners)
+                    columns.append((who, keys[order], kept[order], deleted[order]))
+                # Owners without a key of this chunk get no row: rows never exceed keys.
+                asks = np.union1d(columns[0][0], columns[1][0])
+                cuts = [
+                    [slice(a, b) for a, b in zip(*(np.searchsorted(who, asks, s) for s in SIDES))]
+                    for who, *_ in columns
+                ]
                 bodies = [
                     packed(
                         *(
                             x
-                            for keys, kept, deleted, begin in columns
+                            for (_, keys, kept, deleted), cut in zip(columns, own_cuts)
                             for x in (
-                                np.diff(keys[begin[o] : begin[o + 1]], prepend=np.uint64(0)),
-                                narrow(kept[begin[o] : begin[o + 1]]),
-                                narrow(deleted[begin[o] : begin[o + 1]]),
+                                np.diff(keys[cut], prepend=np.uint64(0)),
+                                narrow(kept[cut]),
+                                narrow(deleted[cut]),
                             )
                         )
                     )
-                    for o in range(owners)
+                    for own_cuts in zip(*cuts)
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(range(owners), pa.int32()),
-                        pa.array([number] * owners, pa.int64()),
+                        pa.array(asks, pa.int64()),
+                        pa.array([number] * len(asks), pa.int64()),
                         pa.array(bodies, pa.binary()),
                     ],
                     names=["owner", "chunk", "body"],
                 )
 
-    return chunks.select("chunk", "body").mapInArrow(run, "owner int, chunk long, body binary")
+    return chunks.select("chunk", "body").mapInArrow(run, "owner long, chunk long, body binary")
 
 
 def answered(questions: DataFrame) -> DataFrame:
@@ -261,7 +268,7 @@ def answered(questions: DataFrame) -> DataFrame:
         )
 
     return questions.groupBy("owner").applyInArrow(
-        run, "chunk long, owner int, known_words long, body binary"
+        run, "chunk long, owner long, known_words long, body binary"
     )
 
 
@@ -272,7 +279,7 @@ class Totals:
         self.chunk = opened(chunk.column("body")[0].as_py())
         self.doc_ids = chunk.column("doc_ids")[0].as_py()
         bodies = dict(zip(answers.column("owner").to_pylist(), answers.column("body").to_pylist()))
-        parts = [unpacked(bodies[o]) for o in range(owners)]
+        parts = [unpacked(bodies[o]) for o in sorted(bodies)]
         pairs, self.at = self.chunk.pairs()
         self.words = self._ordered(self.chunk.words, parts, 0, owners)
         self.pairs = self._ordered(pairs, parts, 2, owners)
