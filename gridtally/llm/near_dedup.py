@@ -106,7 +106,8 @@ def signatures(
     held = np.concatenate([c for _, _, c, _ in doubling]).astype(np.float64)
     low = np.concatenate([np.full(len(d), (1 << (k - 1)) if k else 0) for d, _, _, k in doubling])
     width = np.maximum(low, 1).astype(np.float64)
-    state = np.concatenate([mixed(v + np.uint64((k * 2 + SEED) * int(ODD) & MASK)) for _, v, _, k in doubling])
+    seeds = [np.uint64((k * 2 + SEED) * int(ODD) & MASK) for *_, k in doubling]
+    state = np.concatenate([mixed(v + seed) for (_, v, _, _), seed in zip(doubling, seeds)])
     time = np.zeros(len(doc))
     flat = earliest.ravel()
     while len(doc):

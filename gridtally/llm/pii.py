@@ -273,7 +273,8 @@ def pseudonymise(
             ]
             names = list(kept)
             if found_col is not None:
-                found = pa.array([sorted(k.items()) for _, k in fresh], pa.map_(pa.string(), pa.int32()))
+                counts = [sorted(k.items()) for _, k in fresh]
+                found = pa.array(counts, pa.map_(pa.string(), pa.int32()))
                 columns, names = [*columns, found], [*names, found_col]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 

@@ -5,7 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridtally.llm import ann, bpe, lm_score, media, mixing, near_dedup, pii, token_counts, toxicity, url_filter
+from gridtally.llm import (
+    ann,
+    bpe,
+    lm_score,
+    media,
+    mixing,
+    near_dedup,
+    pii,
+    token_counts,
+    toxicity,
+    url_filter,
+)
 from gridtally.llm.common import table
 
 
