@@ -101,9 +101,9 @@ def test_registry():
     assert set(registry.queries()) | {"pipeline"} <= set(entry.queries())
 
 
-def test_oracles(spark, tmp_path):
-    for name in registry.oracle_sql():
-        compared(spark, name, registry.queries(), registry.oracle_sql(), SMALL, tmp_path)
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_oracles(spark, tmp_path, name):
+    compared(spark, name, registry.queries(), registry.oracle_sql(), SMALL, tmp_path)
 
 
 def test_nothing_else_imports_the_subpackage():
