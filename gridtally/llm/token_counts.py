@@ -51,6 +51,8 @@ CHUNK = 256
 MOST_STATES = 250_000
 TABLE_BITS = 21
 NO_TOKEN = (1 << 17) - 1
+#: A place of a state: token << TOKEN | length << LENGTH | ORIGIN + number of tokens.
+TOKEN, LENGTH, FIELD, ORIGIN = 32, 16, (1 << 16) - 1, 1 << 15
 HASH, HASH_MASK, HASH_SHIFT = 0x9E3779B1, (1 << 40) - 1, 40 - TABLE_BITS
 END = 0xFF  # between texts; UTF-8 has no such byte
 
@@ -171,13 +173,15 @@ class Merger:
         names = {t["content"] for t in spec["added_tokens"]}
         self.id = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in names}
         self.bytes = {i: t for t, i in self.id.items()}
-        self.starts = {t[:k] for t in self.id for k in range(1, len(t) + 1)}
+        if max(map(len, self.id)) > FIELD:
+            raise ValueError(f"a token has more than {FIELD} bytes")
+        self.starts = {t[:k] for t in self.id for k in range(1, len(t))}  # a byte must follow
         self.allowed: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
         """Forget all states and transitions but keep what is known of pairs."""
-        first = array("I", [NO_TOKEN << 15 | 128]).tobytes()
+        first = array("Q", [NO_TOKEN << TOKEN | ORIGIN]).tobytes()
         self.states = [first]
         self.number = {first: 0}
         self.transitions = 0
@@ -209,26 +213,28 @@ class Merger:
         the place and the number of tokens up to it, relative to now.
         """
         packed = self.states[state]
-        size = packed[1] & 127  # the longest place's length
+        size = array("Q", packed[:8])[0] >> LENGTH & FIELD  # the longest place's length
         text = packed[len(packed) - size :] + bytes((byte,))
-        places = array("I", packed[: len(packed) - size])
+        places = array("Q", packed[: len(packed) - size])
         n, ids = len(text), self.id
         for place in places:  # longest first
-            token = ids.get(text[n - (place >> 8 & 127) - 1 :])
-            if token is not None and self.follows(place >> 15, token):
-                change = (place & 255) - 127
+            token = ids.get(text[n - (place >> LENGTH & FIELD) - 1 :])
+            if token is not None and self.follows(place >> TOKEN, token):
+                change = (place & FIELD) - ORIGIN + 1
                 break
         else:
             raise ValueError("the vocabulary lacks a byte")
+        if not -128 <= change < 128:
+            raise ValueError("a byte changes the number of tokens by more than the table holds")
         starts = self.starts
         kept = [
-            place + 256 - change
+            place + (1 << LENGTH) - change
             for place in places
-            if text[n - (place >> 8 & 127) - 1 :] in starts
+            if text[n - (place >> LENGTH & FIELD) - 1 :] in starts
         ]
-        size = kept[0] >> 8 & 127 if kept else 0
-        kept.append(token << 15 | 128)
-        follower = array("I", kept).tobytes() + text[n - size :]
+        size = kept[0] >> LENGTH & FIELD if kept else 0
+        kept.append(token << TOKEN | ORIGIN)
+        follower = array("Q", kept).tobytes() + text[n - size :]
         found = self.number.get(follower)
         if found is None:
             found = self.number[follower] = len(self.states)

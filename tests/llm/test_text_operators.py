@@ -73,6 +73,13 @@ def test_token_counts_start_afresh(byte_library, monkeypatch):
         assert machine.count([text.encode()])[0] == len(byte_library.encode(text).ids)
 
 
+def test_longest_token_counts_equal_library(byte_library):
+    """The vocabulary's longest token has 128 bytes: 32 pairs of U+00C3 U+00C2."""
+    batch = [lead + "\u00c3\u00c2" * n + tail for n in range(31, 71) for lead in ("", " ") for tail in ("", "\u00c3x end")]
+    found = token_counts.counts([t.encode() for t in batch], token_counts.Merger(BYTES))
+    assert found.tolist() == [len(byte_library.encode(t, add_special_tokens=False).ids) for t in batch]
+
+
 def docs(spark):
     rows = [(1, "Hello the World"), (2, None), (3, ""), (4, "x" * 20_000), (5, "a b"), (5, "a b"), (None, "n")]
     return spark.createDataFrame(rows, "doc_id long, text string")
