@@ -12,8 +12,10 @@ halves with keyed BLAKE2 as round function; values that fall outside the range
 walk on along their cycle until they are inside.
 
 Kinds: email (local part), phone, card (Luhn), iban (mod 97), ssn, ipv4, date
-(calendar), secret (hexadecimal keys after "token =" and the like).  A number
-that fails validation is not personal data and stays.  Null texts stay null;
+(calendar), secret (hexadecimal keys after "token =" and the like).  Where a
+candidate fails validation, shorter ends at group borders, the other kinds and
+later starts are tried; a card in an unusual grouping gives way to stricter finds
+that overlap it.  A number that fails all is not personal data and stays.  Null texts stay null;
 texts without finds stay byte for byte the same.
 """
 
@@ -71,6 +73,10 @@ def luhn_digit(payload: str) -> int:
     return -total % 10
 
 
+def luhn_valid(digits: str) -> bool:
+    return luhn_digit(digits[:-1]) == int(digits[-1])
+
+
 def iban_remainder(text: str) -> int:
     moved = text[4:] + text[:4]
     return int("".join(str(int(c, 36)) for c in moved)) % 97
@@ -98,12 +104,16 @@ class Cipher:
 
     def card(self, text: str) -> str | None:
         digits = digits_of(text)
-        if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != int(digits[-1]):
+        if not 13 <= len(digits) <= 19 or not luhn_valid(digits):
             return None
         if len(set(digits)) == 1:
             return None
-        payload = self.number(digits[:-1], b"card")
-        return refill(text, payload + str(luhn_digit(payload)))
+        fresh = digits
+        while True:  # a number of 19 digits stays on its side: its first 16 are a card or not
+            payload = self.number(fresh[:-1], b"card")
+            fresh = payload + str(luhn_digit(payload))
+            if len(digits) < 19 or luhn_valid(fresh[:16]) == luhn_valid(digits[:16]):
+                return refill(text, fresh)
 
     def phone(self, text: str) -> str | None:
         digits = digits_of(text)
@@ -220,6 +230,95 @@ FINDS = re.compile(
 )
 HINT = re.compile("[0-9@]")
 
+NOT_BEFORE, NOT_AFTER = "(?<![0-9A-Za-z.+-])", "(?![0-9A-Za-z]|[.-][0-9])"
+
+
+def kind_pattern(kind: str) -> re.Pattern:
+    """The pattern of one numeric kind by itself, cut out of FINDS."""
+    a = FINDS.pattern.index(f"(?P<{kind}>")
+    depth, b = 0, a
+    while True:
+        c = FINDS.pattern[b]
+        depth += (c == "(") - (c == ")")
+        b += 2 if c == "\\" else 1
+        if not depth:
+            return re.compile(NOT_BEFORE + FINDS.pattern[a:b] + NOT_AFTER, FINDS.flags)
+
+
+NUMERIC = {kind: kind_pattern(kind) for kind in ("phone", "ssn", "ipv4", "date", "card")}
+#: Groupings in which cards are printed; others count only where nothing stricter overlaps.
+PRINTED = ([4, 4, 4, 4], [4, 6, 5], [4, 6, 4], [4, 4, 4, 4, 3])
+GROUP = re.compile("[0-9]+", re.ASCII)
+#: Characters of an IBAN by country; other countries are tried at every length.
+IBAN_LENGTHS = dict(
+    pair.split(":")
+    for pair in (
+        "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24"
+        " DE:22 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28"
+        " HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20"
+        " LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MR:27 MT:31 MU:30 NL:18 NO:15 PK:24 PL:28 PS:29 PT:25"
+        " QA:29 RO:24 RS:22 SA:24 SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 ST:25 SV:28 TL:23 TN:24 TR:26"
+        " UA:29 VA:22 VG:24 XK:20"
+    ).split()
+)
+
+
+@lru_cache(32)
+def iban_pattern(n: int) -> re.Pattern:
+    groups, rest = divmod(n - 4, 4)
+    tail = f" ?[A-Z0-9]{{{rest}}}" if rest else ""
+    body = f"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{tail}"
+    return re.compile(f"(?<![0-9A-Za-z]){body}(?![0-9A-Za-z])", re.ASCII | re.IGNORECASE)
+
+
+def candidates(text: str, m: re.Match):
+    """Kind, span and strictness of all that may begin where m does, in order of preference."""
+    at = m.start()
+    if m.lastgroup in ("email", "secret"):
+        yield m.lastgroup, *m.span(m.lastgroup), True
+    lengths = list(range(34, 14, -1))
+    own = int(IBAN_LENGTHS.get(text[at : at + 2].upper(), 0))
+    for n in sorted(lengths, key=lambda n: n != own) if text[at].isalpha() else ():
+        found = iban_pattern(n).match(text, at)
+        if found:
+            yield "iban", *found.span(), True
+    for kind in ("phone", "ssn", "ipv4", "date"):
+        found = NUMERIC[kind].match(text, at)
+        if found:
+            yield kind, *found.span(), True
+    found = NUMERIC["card"].match(text, at)
+    if found:
+        groups = list(GROUP.finditer(text, at, found.end()))
+        ends = []
+        for k in range(1, len(groups) + 1):
+            end, sizes = groups[k - 1].end(), [len(g[0]) for g in groups[:k]]
+            if sum(sizes) >= 13:
+                marks = {c for c in text[at:end] if not c.isdigit()}
+                ends.append((k == 1 or sizes in PRINTED and len(marks) == 1, end))
+        yield from (("card", at, end, True) for printed, end in ends if printed)
+        yield from (("card", at, end, False) for printed, end in ends[::-1] if not printed)
+
+
+def chosen(text: str, m: re.Match, own: Cipher, strict: bool = False):
+    """The first valid candidate at m as (kind, start, end, pseudonym, rank), or None."""
+    for rank, (kind, a, b, firm) in enumerate(candidates(text, m)):
+        if strict and not firm:
+            return None
+        fresh = getattr(own, kind)(text[a:b])
+        if fresh is not None and (firm or not overlapped(text, a, b, own)):
+            return kind, a, b, fresh, rank
+    return None
+
+
+def overlapped(text: str, a: int, b: int, own: Cipher) -> bool:
+    """Whether a strict find begins inside a..b, after a."""
+    at = a + 1
+    while (m := FINDS.search(text, at, b + 400)) and m.start() < b:
+        if chosen(text, m, own, strict=True):
+            return True
+        at = m.start() + 1
+    return False
+
 
 @lru_cache(4)
 def cipher(key: bytes, back: bool) -> Cipher:
@@ -232,16 +331,37 @@ def pseudonymised(text: str, own: Cipher) -> tuple[str, dict[str, int]]:
     if not HINT.search(text):
         return text, kinds
 
-    def swap(m: re.Match) -> str:
-        kind = m.lastgroup
-        fresh = getattr(own, kind)(m[kind])
-        if fresh is None:
-            return m[0]
+    parts, done, at = [], 0, 0
+    failed: list[int] = []  # starts just before, where nothing was valid
+    while m := FINDS.search(text, at):
+        found = chosen(text, m, own)
+        if found is None:
+            failed = [t for t in failed if t > m.start() - 64] + [m.start()]
+            at = m.start() + 1
+            continue
+        kind, a, b, fresh, rank = found
+        failed = [t for t in failed if t > m.start() - 64]
+        # A pseudonym that would be read otherwise is permuted on, so that it can be undone.
+        while (rank or failed) and not read_alike(text, m.start(), a, b, fresh, failed, own):
+            fresh = getattr(own, kind)(fresh)
         kinds[kind] = kinds.get(kind, 0) + 1
-        a, b = m.span(kind)
-        return text[m.start() : a] + fresh + text[b : m.end()]
-
-    return FINDS.sub(swap, text), kinds
+        parts += [text[done:a], fresh]
+        done = at = b
+        failed = []
+    return "".join([*parts, text[done:]]), kinds
+
+
+def read_alike(text, start, a, b, fresh, failed, own) -> bool:
+    """Whether fresh in the place of text[a:b] is found there, and nothing where nothing was."""
+    low = max(0, min([start, *failed]) - 1)
+    new = text[low:a] + fresh + text[b : b + 400]
+    for t in failed:
+        m = FINDS.match(new, t - low)
+        if m and chosen(new, m, own):
+            return False
+    m = FINDS.match(new, start - low)
+    found = m and chosen(new, m, own)
+    return bool(found) and found[1:3] == (a - low, a - low + len(fresh))
 
 
 def pseudonymise(
