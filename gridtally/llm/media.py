@@ -4,9 +4,10 @@ Corners are found on several scales (local maxima of the Harris response), given
 an orientation (the centroid of their patch), and described by binary tests
 between smoothed pixels along directions turned with it.  A descriptor is cut
 into parts, and each part is a key of a hash table: near descriptors agree in
-some part whole.  Images that meet in a table are candidates, compared through
-the best connected image of each bucket as near-duplicate texts are, never all
-with all.  A candidate is verified by consensus: matched corners must agree, up
+some part whole.  Images that meet in a table are candidates.  They are first
+compared through the best connected image of each bucket as near-duplicate texts
+are; then all that meet and are still of different components are compared, so
+an unrelated hub hides no pair.  A candidate is verified by consensus: matched corners must agree, up
 to a few pixels, on one similarity transform (shift, turn, scale), so crops and
 edits are found while images that share a texture only are not.
 
@@ -309,6 +310,19 @@ def confirmed(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def cross_pairs(members: DataFrame, shared: int) -> DataFrame:
+    """All pairs (a > b) of members (bucket, node, label) of different label in enough buckets."""
+    x, y = members.alias("x"), members.alias("y")
+    return (
+        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")))
+        .select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
+        .groupBy("a", "b")
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") >= shared)
+        .select("a", "b")
+    )
+
+
 def image_classes(df: DataFrame, id_col: str = "id", image_col: str = "image") -> DataFrame:
     """id, class_id, n_corners: the class of each image, named by its least id."""
     rows = stored(described(df, id_col, image_col), "media-corners")
@@ -316,6 +330,7 @@ def image_classes(df: DataFrame, id_col: str = "id", image_col: str = "image") -
     known = (
         rows.join(same, "digest")
         .where("id = node")
+        .where(F.size("place") >= 4 * INLIERS)  # consensus joins no image of fewer corners
         .select("node", "place", "descriptors")
         .dropDuplicates(["node"])
     )
@@ -327,16 +342,12 @@ def image_classes(df: DataFrame, id_col: str = "id", image_col: str = "image") -
     pairs = hub_pairs(members, SHARED)
     links = stored(confirmed(pairs, known), "media-links")
     labels = stored(components(links), "media-labels")
-    # Where a bucket still spans components, the best connected image of each stands for it.
-    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    ahead = F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("best")
-    heads = (
-        open_members(members, labels).join(weight, "node").groupBy("bucket", "label").agg(ahead)
-        .select("bucket", (-F.col("best.node")).alias("node"), F.lit(2).alias("size"))
-    )
-    across = hub_pairs(stored(heads, "media-heads"), SHARED)
+    # A bucket that still spans components: all its members are compared across them.
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    across = cross_pairs(stored(open_members(members, labels), "media-open"), SHARED)
     across = stored(across.join(pairs, ["a", "b"], "left_anti"), "media-across")
-    labels = stored(components(links.unionByName(confirmed(across, known))), "media-labels")
+    more = stored(confirmed(across, known), "media-more")
+    labels = stored(components(links.unionByName(more)), "media-labels")
     classes = same.join(labels, "node", "left").select(
         "digest", F.coalesce("label", "node").alias("class_id")
     )

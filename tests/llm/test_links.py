@@ -247,6 +247,20 @@ def test_crops_and_edits_join(spark):
     assert media.image_classes(df.limit(0)).count() == 0
 
 
+def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
+    """Keys so coarse that unrelated hubs sit in all buckets hide no copy."""
+    rows, draw, keys = [], np.random.default_rng(6), media.table_keys
+    for s in range(5):
+        image = texture(s, 90)
+        for v in (image, np.clip(image * 0.85 + 20, 0, 255), image + draw.standard_normal(image.shape) * 4):
+            rows.append((len(rows), bytes(media.encoded_pgm(v))))
+    coarse = (F.col("bucket") % 5).alias("bucket")
+    monkeypatch.setattr(media, "table_keys", lambda rows: keys(rows).select("node", coarse).distinct())
+    df = spark.createDataFrame(rows, "id long, image binary")
+    found = {r["id"]: r["class_id"] for r in media.image_classes(df).collect()}
+    assert found == {i: i - i % 3 for i in range(15)}
+
+
 def test_vectors_as_images(spark):
     rows = [(1, [1.0] * 64), (2, [float(i) for i in range(64)]), (3, None), (4, [1.0, None, 2.0, 3.0]), (5, [1.0] * 3), (6, [0.0] * 4)]
     made = {r["id"]: r["image"] for r in media.vector_images(spark.createDataFrame(rows, FORM), "vec_id", "embedding").collect()}
