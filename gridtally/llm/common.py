@@ -5,6 +5,8 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,29 +16,53 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor and the driver can read and write.
 
-    A cluster names it in spark.checkpoint.dir.  Only where that is unset, as
-    in tests on one machine, a temporary folder stands in for it.
+    A cluster names it in spark.checkpoint.dir.  Only where all runs in one
+    process, as in tests, a temporary folder may stand in for it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="gridtally-"))
     return context.getCheckpointDir()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Paths of the tables written inside the scratch() blocks that are open, innermost last.
+_written: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
+
+
+def stored(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends here.
 
     A lost executor then costs the tasks it was running, not the whole plan.
+    With outlive the table outlives the innermost scratch() block.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    blocks = _written.get()[: -1 if outlive else None]
+    if blocks:
+        blocks[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end the tables that stored() wrote inside; no plan may read them later."""
+    token = _written.set((*_written.get(), []))
+    try:
+        yield
+    finally:
+        context = spark.sparkContext
+        for path in _written.get()[-1]:
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+        _written.reset(token)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, or one like it that no column of df has."""
     taken = {c.lower() for c in df.columns}
@@ -73,12 +99,3 @@ def text_slices(batches, column: str = "text", most_bytes: int = 2 << 20):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files of a table that stored() wrote and no plan reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)

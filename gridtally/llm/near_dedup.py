@@ -14,16 +14,25 @@ Equal texts are one node from the start.  In each bucket the member that sits in
 the largest buckets elsewhere is the hub, and every other member is compared
 with it: pairs grow with the members, not with their square.  Compared means
 verified: the weighted Jaccard similarity of the two shingle multisets must
-reach the threshold.  Where a bucket then still spans several components, its
-members are compared across components too, by an exact prefix filter on
-shingles.  So no link between members of a bucket is lost that could join two
-classes.  Classes are the connected
-components of the verified links.
+reach the threshold.
+
+Documents in buckets that then still span several components mostly share a
+passage and little else.  They are signed again with longer bands, in which such
+documents part and near-duplicates still meet, and compared through hubs again.
+Where a bucket of long bands still spans components, its members are compared
+across components: all their pairs that share a long band and pass an exact
+prefix filter on shingles, which enumerates them without pairing a crowd with
+itself.  So every two documents that share a bucket of both kinds are compared or
+of one class.  Classes are the connected components of the verified links.
 
 Defined results: words are runs between white space; a text of fewer than five
 words is one shingle; null counts as empty, and texts without words are copies
-of each other only if they are equal.  Rows of one doc_id are one document; a
-null doc_id has no class.  An empty table has no classes.
+of each other only if they are equal.  Rows of one doc_id are one document: each
+of its texts is compared, and it links what they link.  A null doc_id has no
+class.  A class is named by its least doc_id, so ties need no order.  Texts of
+any length are signed whole, in slices of bounded memory or alone.  Input columns
+other than doc_id and text are ignored, whatever their names.  An empty table has
+no classes.
 """
 
 from __future__ import annotations
@@ -35,12 +44,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridtally.llm.common import stored, text_slices
+from gridtally.llm.common import scratch, stored, text_slices
 
 SHINGLE = 5
 THRESHOLD = 0.8
+#: Bands and rows of the first signature, and of the second, of documents in open buckets.
 BANDS, ROWS = 20, 4
+LONG_BANDS, LONG_ROWS = 60, 8
 #: Ratio of neighbouring size classes in the comparison across components.
 STEP = 1.05
 #: Bytes of text whose signatures are computed side by side.
@@ -93,7 +105,12 @@ def shingle_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def signatures(
-    texts: int, owner: np.ndarray, value: np.ndarray, count: np.ndarray, size: int = BANDS * ROWS
+    texts: int,
+    owner: np.ndarray,
+    value: np.ndarray,
+    count: np.ndarray,
+    size: int = BANDS * ROWS,
+    salt: int = SEED,
 ) -> np.ndarray:
     """BagMinHash signatures (texts, size) of weighted shingles; unused rows are infinite."""
     earliest = np.full((texts, size), np.inf)
@@ -106,7 +123,7 @@ def signatures(
     held = np.concatenate([c for _, _, c, _ in doubling]).astype(np.float64)
     low = np.concatenate([np.full(len(d), (1 << (k - 1)) if k else 0) for d, _, _, k in doubling])
     width = np.maximum(low, 1).astype(np.float64)
-    seeds = [np.uint64((k * 2 + SEED) * int(ODD) & MASK) for *_, k in doubling]
+    seeds = [np.uint64((k * 2 + salt) * int(ODD) & MASK) for *_, k in doubling]
     state = np.concatenate([mixed(v + seed) for (_, v, _, _), seed in zip(doubling, seeds)])
     time = np.zeros(len(doc))
     flat = earliest.ravel()
@@ -133,34 +150,45 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / every) if every else 1.0
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, bands (array of long) of each text."""
+def banded(texts: DataFrame, bands: int, rows: int, salt: int = SEED) -> DataFrame:
+    """texts with bands (array of long) in place of text; none for a text without words."""
+    kept = [c for c in texts.columns if c != "text"]
 
     def run(batches):
         for batch in text_slices(batches, most_bytes=SLICE_BYTES):
-            texts = [x.as_py() for x in batch.column("text")]
-            found = signatures(len(texts), *shingle_counts(texts))
+            words = [x.as_py() for x in batch.column("text")]
+            found = signatures(len(words), *shingle_counts(words), bands * rows, salt)
             bits = found.view(np.uint64)
-            bands = np.zeros((len(texts), BANDS), np.uint64)
-            for k in range(ROWS):
-                bands = mixed((bands + bits[:, k::ROWS]) * ODD)
-            bands = mixed(bands + np.arange(BANDS, dtype=np.uint64) * ODD).view(np.int64)
+            keys = np.zeros((len(words), bands), np.uint64)
+            for k in range(rows):
+                keys = mixed((keys + bits[:, k::rows]) * ODD)
+            keys = mixed(keys + np.arange(bands, dtype=np.uint64) * ODD).view(np.int64)
             known = np.isfinite(found[:, 0])  # texts without words are in no bucket
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("digest"), lists(bands, known, pa.int64())],
-                names=["doc_id", "digest", "bands"],
-            )
+            ends = np.append(0, np.cumsum(np.where(known, bands, 0))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[known].ravel()))
+            own = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*own, lists], names=[*kept, "bands"])
 
-    def lists(rows: np.ndarray, known: np.ndarray, kind: pa.DataType) -> pa.Array:
-        ends = np.append(0, np.cumsum(np.where(known, rows.shape[1], 0))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(rows[known].ravel(), kind))
+    fields = [texts.schema[c] for c in kept]
+    fields.append(T.StructField("bands", T.ArrayType(T.LongType())))
+    return texts.mapInArrow(run, T.StructType(fields))
 
-    texts = docs.select(
+
+def digested(docs: DataFrame) -> DataFrame:
+    """doc_id, digest and text of each document."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce("text", F.lit("")).alias("text"),
-        F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"),
+        F.unhex(F.sha2(text, 256)).alias("digest"),
+        text.alias("text"),
     )
-    return texts.mapInArrow(run, "doc_id long, digest binary, bands array<long>")
+
+
+def bucket_members(nodes: DataFrame) -> DataFrame:
+    """bucket, node, size for nodes (node, bands): the buckets of more than one node."""
+    places = nodes.select("node", F.explode("bands").alias("bucket"))
+    sizes = places.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    return stored(places.join(apart(sizes), "bucket"), "bag-members")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -204,7 +232,8 @@ def components(edges: DataFrame) -> DataFrame:
         near = both if larger else edges.select(
             F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
         )
-        least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
+        least = near.groupBy("a").agg(F.min("b").alias("least"))
+        least = apart(least.select("a", F.least("a", "least").alias("least")))
         hung = near.join(least, "a")
         if larger:
             hung = hung.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
@@ -212,16 +241,18 @@ def components(edges: DataFrame) -> DataFrame:
             hung = hung.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(
                 least.select("a", F.col("least").alias("b"))
             )
-        return hung.where("a <> b").distinct()
+        return stored(hung.where("a <> b").distinct(), "cc")
 
-    now = stored(edges.where("a <> b").select("a", "b").distinct(), "cc")
-    seen = None
-    while True:
-        now = stored(star(star(now, True), False), "cc")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        seen = mark
+    with scratch(edges.sparkSession):
+        now = stored(edges.where("a <> b").select("a", "b").distinct(), "cc")
+        seen = None
+        while True:
+            mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if mark == seen:
+                found = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+                return stored(found, "labels", outlive=True)
+            seen = mark
+            now = star(star(now, True), False)
 
 
 def apart(totals: DataFrame) -> DataFrame:
@@ -234,34 +265,29 @@ def apart(totals: DataFrame) -> DataFrame:
     return stored(totals, "totals")
 
 
-def hub_pairs(members: DataFrame, shared: int = 1) -> DataFrame:
-    """Pairs (a, b): each member (bucket, node) with its bucket's hub, if they share enough buckets.
+def with_hubs(members: DataFrame) -> DataFrame:
+    """bucket, node, hub: each member (bucket, node, size) beside its bucket's hub, hubs left out.
 
     A bucket's hub is its best connected member, by the sizes of the buckets it
     is in: among edited copies that is the original or one close to it, which
     the others resemble more than they do each other.
     """
-    weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    weight = apart(members.groupBy("node").agg(F.sum("size").alias("weight")))
     weighed = members.join(weight, "node").select("bucket", "node", "weight")
     hubs = weighed.groupBy("bucket").agg(
         F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("hub")
     )
-    return (
-        members.select("bucket", F.col("node").alias("a"))
-        .join(apart(hubs.select("bucket", (-F.col("hub.node")).alias("b"))), "bucket")
-        .where("a <> b")
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= shared)
-        .select("a", "b")
-    )
+    hubs = apart(hubs.select("bucket", (-F.col("hub.node")).alias("hub")))
+    rest = members.join(hubs, "bucket").where("node <> hub").select("bucket", "node", "hub")
+    return stored(rest, "hubs")
 
 
 def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """bucket, node, weight, label of the members of buckets that still span components."""
-    labelled = members.join(labels, "node", "left").withColumn(
+    """bucket, node, label of the members (bucket, node) of buckets that span components."""
+    labelled = members.select("bucket", "node").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node")
     )
+    labelled = apart(labelled)
     split = (
         labelled.groupBy("bucket")
         .agg(F.min("label").alias("least"), F.max("label").alias("most"))
@@ -359,47 +385,111 @@ def prefix_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, copies: the class of each document, named by its least doc_id.
+def pairs_of(hubs: DataFrame) -> DataFrame:
+    """The pairs (a > b) of members with their hubs."""
+    return hubs.select(
+        F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")
+    ).distinct()
 
-    copies is the number of rows with the very same text.
-    """
-    marks = stored(signed(docs), "bag-signatures")
-    same = marks.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    same = stored(same, "bag-copies")
-    nodes = (
-        marks.join(same.select("digest", "node"), "digest")
-        .where("doc_id = node")
-        .select("node", "bands")
-        .dropDuplicates(["node"])
-    )
-    places = nodes.select("node", F.explode("bands").alias("bucket"))
-    sizes = places.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(places.join(apart(sizes), "bucket"), "bag-members")
-    pairs = hub_pairs(members)
-    wanted = members.select("node").distinct()
-    texts = stored(
-        docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-        .join(wanted, "node")
-        .dropDuplicates(["node"]),
-        "bag-texts",
-    )
-    links = stored(verified(pairs, texts, threshold), "bag-links")
-    labels = stored(components(links), "bag-labels")
 
-    # Members of buckets that still span components: compare across them.
+def across_labels(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends have different labels; a node without one is its own."""
+    for end in "ab":
+        own = labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+        pairs = pairs.join(own, end, "left")
+    far = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
+    return pairs.where(far).select("a", "b")
+
+
+def open_nodes(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, label of the members of buckets that span components."""
     still = open_members(members, labels).groupBy("node").agg(F.min("label").alias("label"))
+    return stored(still, "bag-open")
+
+
+def sharing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes (node, bands) that have a band in common."""
+    one = nodes.select(F.col("node").alias("a"), F.col("bands").alias("bands_a"))
+    other = nodes.select(F.col("node").alias("b"), F.col("bands").alias("bands_b"))
+    met = pairs.join(one, "a").join(other, "b").where(F.arrays_overlap("bands_a", "bands_b"))
+    return met.select("a", "b")
+
+
+def linked(texts: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """a, b: verified links that join all near texts that share buckets."""
+    hubs = with_hubs(members)
+    done = stored(pairs_of(hubs), "bag-pairs")
+    links = stored(verified(done, texts, threshold), "bag-links")
+
+    # Hubs have met all of their buckets.  Where the others still span components, they are
+    # signed again: documents that share a passage only part in longer bands.
+    labels = components(links)
+    still = open_nodes(hubs, labels)
+    own = texts.join(still.select("node"), "node").select("node", "text")
+    nodes = stored(banded(own, LONG_BANDS, LONG_ROWS, SEED + 1), "bag-signatures")
+    hubs = with_hubs(bucket_members(nodes))
+    fresh = pairs_of(hubs).join(done, ["a", "b"], "left_anti")
+    fresh = stored(across_labels(fresh, labels), "bag-pairs")
+    done = done.unionByName(fresh)
+    links = links.unionByName(stored(verified(fresh, texts, threshold), "bag-links"))
+
+    # Buckets of long bands that still span components: compare across them.
+    still = open_nodes(hubs, components(links))
     across = prefix_pairs(texts.join(still, "node"), threshold)
-    both = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    across = stored(across.join(both, ["a", "b"], "left_anti"), "bag-across")
-    if across.limit(1).count():
-        more = verified(across, texts, threshold)
-        labels = stored(components(links.unionByName(more)), "bag-labels")
-    classes = same.join(labels, "node", "left").select(
-        "digest", F.coalesce("label", "node").alias("class_id"), "copies"
-    )
-    return marks.select("doc_id", "digest").join(classes, "digest").select(
-        "doc_id",
-        F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"),
-        "copies",
+    across = sharing(across.join(done, ["a", "b"], "left_anti"), nodes)
+    more = verified(stored(across, "bag-pairs"), texts, threshold)
+    return stored(links.unionByName(more), "bag-links", outlive=True)
+
+
+def copies(marks: DataFrame) -> DataFrame:
+    """Nodes of marks (doc_id, digest, row): digest, node (its least row), least doc_id, copies."""
+    same = marks.groupBy("digest").agg(
+        F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("copies")
     )
+    return stored(same, "copies")
+
+
+def twins(marks: DataFrame, same: DataFrame) -> DataFrame:
+    """Links a, b between the nodes of one doc_id, seldom any."""
+    named = marks.where("doc_id IS NOT NULL").select("doc_id", "digest")
+    several = named.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y"))
+    several = several.where("x <> y").select("doc_id", F.col("x").alias("digest"))
+    ends = several.join(same, "digest").select("doc_id", F.col("node").alias("b"))
+    met = named.join(apart(ends), "doc_id").join(same, "digest")
+    return met.select(F.col("node").alias("a"), "b")
+
+
+def classes_of(marks: DataFrame, same: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, class_id, copies of marks, given the components' labels of nodes."""
+    labelled = same.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = stored(labelled, "labelled")
+    names = labelled.groupBy("label").agg(F.min("least").alias("class_id"))
+    classes = labelled.join(apart(names), "label").select("digest", "class_id", "copies")
+    kept = [c for c in marks.columns if c not in ("digest", "row")]
+    class_id = F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")
+    return marks.drop("row").join(apart(classes), "digest").select(*kept, class_id, "copies")
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, copies: the class of each document, named by its least doc_id.
+
+    copies is the number of rows with the very same text.
+    """
+    rows = digested(docs).withColumn("row", F.monotonically_increasing_id())
+    marks = stored(banded(rows, BANDS, ROWS), "bag-signatures")
+    same = copies(marks)
+    firsts = same.where("least IS NOT NULL").select(F.col("node").alias("row"), "node")
+    with scratch(docs.sparkSession):
+        members = bucket_members(marks.select("row", "bands").join(firsts, "row"))
+        wanted = members.select("node").distinct().join(same, "node")
+        texts = stored(
+            digested(docs)
+            .withColumnRenamed("doc_id", "least")
+            .join(wanted.select("node", "least", "digest"), ["least", "digest"])
+            .select("node", "text")
+            .dropDuplicates(["node"]),
+            "bag-texts",
+        )
+        links = linked(texts, members, threshold)
+    labels = components(links.unionByName(twins(marks, same)))
+    return classes_of(marks.drop("bands"), same, labels)
