@@ -4,18 +4,24 @@ Corners are found on several scales (local maxima of the Harris response), given
 an orientation (the centroid of their patch), and described by binary tests
 between smoothed pixels along directions turned with it.  A descriptor is cut
 into parts, and each part is a key of a hash table: near descriptors agree in
-some part whole.  Images that meet in a table are candidates.  They are first
-compared through the best connected image of each bucket as near-duplicate texts
-are; then all that meet and are still of different components are compared, so
-an unrelated hub hides no pair.  A candidate is verified by consensus: matched corners must agree, up
-to a few pixels, on one similarity transform (shift, turn, scale), so crops and
-edits are found while images that share a texture only are not.
+some part whole.  Images that share enough keys in the tables are candidates.
+Each bucket's members are first compared with its best connected image, as
+near-duplicate texts are.  Then all candidates that are still of different
+components are enumerated by an exact prefix filter on their keys, rare keys
+first, so an unrelated hub hides no pair and a key that very many images hold is
+no meeting place.  A candidate is verified by consensus: matched corners must
+agree, up to a few pixels, on one similarity transform (shift, turn, scale), so
+crops and edits are found while images that share a texture only are not.
+Matched are corners whose descriptors are each other's nearest, so matches never
+exceed corners, and both steps run in blocks of bounded memory.
 
 Images are PGM, PPM (binary, 8 bit) or PNG (8 bit, not interlaced) bytes.
-Defined results: an image that is null, of another format or broken has no
-corners and a class of its own with equal bytes; so has one without corners.
-Rows of one id are one image, a null id has no class; an empty table has no
-classes.
+Defined results: an image that is null, of another format, broken or under
+LEAST_SIDE pixels a side has no corners and a class of its own with equal bytes;
+so has one without corners.  Rows of one id are one image: each picture is
+compared, and it links what they link.  A null id has no class, a class is named
+by its least id, so ties need no order, and an empty table has no classes.  Among
+equally near descriptors the first is taken.  Other input columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,23 +32,36 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtally.llm.common import stored, text_slices
-from gridtally.llm.near_dedup import apart, components, hub_pairs, open_members
+from gridtally.llm.common import scratch, stored, text_slices
+from gridtally.llm.near_dedup import (
+    across_labels,
+    apart,
+    bucket_members,
+    classes_of,
+    components,
+    copies,
+    open_members,
+    twins,
+    with_hubs,
+)
 
 SCALES = (1.0, 1.5, 2.25)
-BITS, PARTS = 128, 4
+BITS, PARTS = 128, 2
 PATCH, REACH = 12, 7  # radius of tests, of the orientation
 TURNS = 32
 CORNER = 40.0  # least Harris response, in grey levels squared
 HAMMING = 26  # most differing bits of matched corners
-SHARED = 2  # tables that must meet before a pair is verified
+#: Keys that candidates share: so many, and so large a part of the smaller image's.
+SHARED, SHARE = 2, 0.05
 INLIERS, INLIER_SHARE, NEAR = 6, 0.4, 3.0
 LEAST_SIDE = 16
 #: Bytes of images decoded, and pixels searched for corners, side by side.
 SLICE_BYTES, BLOCK_PIXELS = 512 << 10, 300_000
+#: Pairs of corners, or of matches, that consensus holds side by side.
+BLOCK_PAIRS = 1 << 18
 
 
 def decoded(data: bytes | None) -> np.ndarray | None:
@@ -192,14 +211,25 @@ def corners(grids: np.ndarray):
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def packed_places(rows: np.ndarray) -> bytes:
+    """x, y, angle and scale of corners (N, 4), a column after the other."""
+    return rows[:, :2].T.astype(np.float32).tobytes() + rows[:, 2:].T.astype(np.float16).tobytes()
+
+
+def unpacked_places(data: bytes) -> np.ndarray:
+    n = len(data) // 12
+    fine = np.frombuffer(data, np.float32, 2 * n).reshape(2, n)
+    coarse = np.frombuffer(data, np.float16, 2 * n, 8 * n).reshape(2, n)
+    return np.concatenate([fine, coarse]).T.astype(np.float64)
+
+
 def described(df: DataFrame, id_col: str, image_col: str) -> DataFrame:
-    """id, digest, place (x, y, angle, scale of each corner as floats), descriptors (bytes)."""
+    """doc_id, digest, row, n_corners, places (see packed_places), descriptors (bytes)."""
 
     def run(batches):
         for batch in text_slices(batches, "image", SLICE_BYTES):
             images = [decoded(x.as_py()) for x in batch.column("image")]
-            places = [np.empty((0, 4), np.float32)] * len(images)
-            bits = [b""] * len(images)
+            sizes, places, bits = [0] * len(images), [b""] * len(images), [b""] * len(images)
             shapes: dict[tuple, list[int]] = {}
             for i, grid in enumerate(images):
                 if grid is not None and min(grid.shape) >= LEAST_SIDE:
@@ -212,176 +242,243 @@ def described(df: DataFrame, id_col: str, image_col: str) -> DataFrame:
                     who, *rest, words = corners(grids)
                     order = np.argsort(who, kind="stable")
                     at = np.searchsorted(who[order], np.arange(len(own) + 1))
-                    rows = np.stack(rest, 1)[order].astype(np.float32)
+                    rows = np.stack(rest, 1)[order]
                     words = words[order]
                     for k, i in enumerate(own):
-                        places[i] = rows[at[k] : at[k + 1]]
+                        sizes[i] = int(at[k + 1] - at[k])
+                        places[i] = packed_places(rows[at[k] : at[k + 1]])
                         bits[i] = words[at[k] : at[k + 1]].tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    batch.column("digest"),
-                    pa.array([p.ravel() for p in places], pa.list_(pa.float32())),
-                    pa.array(bits, pa.binary()),
-                ],
-                names=["id", "digest", "place", "descriptors"],
-            )
+            kept = [batch.column(c) for c in ("doc_id", "digest", "row")]
+            made = [pa.array(sizes, pa.int64()), pa.array(places, pa.binary())]
+            made.append(pa.array(bits, pa.binary()))
+            names = ["doc_id", "digest", "row", "n_corners", "places", "descriptors"]
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=names)
 
     data = F.col(image_col)
     rows = df.select(
-        F.col(id_col).cast("long").alias("id"),
+        F.col(id_col).cast("long").alias("doc_id"),
         data.alias("image"),
         F.unhex(F.sha2(F.coalesce(data, F.lit(b"")), 256)).alias("digest"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    return rows.mapInArrow(run, "id long, digest binary, place array<float>, descriptors binary")
+    form = "doc_id long, digest binary, row long, n_corners long, places binary, descriptors binary"
+    return rows.mapInArrow(run, form)
 
 
 def table_keys(rows: DataFrame) -> DataFrame:
-    """node, bucket: a row for each part of each descriptor."""
+    """node, bands: the distinct table keys of the descriptors of each image."""
 
     def run(batches):
-        for batch in batches:
-            nodes = batch.column("node").to_numpy()
-            sizes = [len(x.as_py()) * 8 // BITS for x in batch.column("descriptors")]
-            data = b"".join(batch.column("descriptors").to_pylist())
-            flat = np.frombuffer(data, np.uint32).reshape(-1, PARTS).astype(np.int64)
-            keys = flat << 3 | np.arange(PARTS)
-            owner = np.repeat(nodes, np.array(sizes, np.int64) * PARTS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(owner, pa.int64()), pa.array(keys.ravel(), pa.int64())],
-                names=["node", "bucket"],
-            )
-
-    return rows.select("node", "descriptors").mapInArrow(run, "node long, bucket long").distinct()
-
-
-def consensus(place_a, bits_a: bytes, place_b, bits_b: bytes) -> int:
+        for batch in text_slices(batches, "descriptors", SLICE_BYTES):
+            lists = []
+            for data in batch.column("descriptors"):
+                parts = np.frombuffer(data.as_py(), np.uint64).reshape(-1, PARTS)
+                keys = parts * np.uint64(0x9E3779B97F4A7C15) + np.arange(PARTS, dtype=np.uint64)
+                lists.append(np.unique(keys.view(np.int64)))
+            bands = pa.array(lists, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), bands], names=["node", "bands"])
+
+    return rows.select("node", "descriptors").mapInArrow(run, "node long, bands array<long>")
+
+
+def matches(bits_a: bytes, bits_b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The corners that are each other's nearest, at most HAMMING bits apart."""
+    u = np.frombuffer(bits_a, np.uint64).reshape(-1, BITS // 64)
+    v = np.frombuffer(bits_b, np.uint64).reshape(-1, BITS // 64)
+    best = np.empty(len(u), np.int64)
+    least = np.full(len(v), BITS + 1)
+    back = np.zeros(len(v), np.int64)
+    near = np.empty(len(u), np.int64)
+    step = max(1, BLOCK_PAIRS // len(v))
+    for k in range(0, len(u), step):
+        far = np.bitwise_count(u[k : k + step, None] ^ v[None]).sum(2, dtype=np.uint8)
+        best[k : k + step] = far.argmin(1)
+        near[k : k + step] = far.min(1)
+        low, at = far.min(0), far.argmin(0) + k
+        better = low < least
+        least[better], back[better] = low[better], at[better]
+    i = np.flatnonzero((near <= HAMMING) & (back[best] == np.arange(len(u))))
+    return i, best[i]
+
+
+def consensus(places_a: bytes, bits_a: bytes, places_b: bytes, bits_b: bytes) -> int:
     """The most matched corners that agree on one similarity transform, or 0 if too few."""
-    a, b = np.reshape(place_a, (-1, 4)), np.reshape(place_b, (-1, 4))
+    a, b = unpacked_places(places_a), unpacked_places(places_b)
     if min(len(a), len(b)) < INLIERS:
         return 0
-    u = np.frombuffer(bits_a, np.uint64).reshape(len(a), 1, -1)
-    v = np.frombuffer(bits_b, np.uint64).reshape(1, len(b), -1)
-    near = np.bitwise_count(u ^ v).sum(2, dtype=np.uint8) <= HAMMING
-    if min(near.any(1).sum(), near.any(0).sum()) < INLIERS:
+    i, j = matches(bits_a, bits_b)
+    if len(i) < INLIERS:
         return 0
-    i, j = np.nonzero(near)
-    p, q = a[i].astype(np.float64), b[j].astype(np.float64)
+    p, q = a[i], b[j]
     turn, ratio = q[:, 2] - p[:, 2], q[:, 3] / p[:, 3]
     c, s = np.cos(turn) * ratio, np.sin(turn) * ratio
     best = 0
-    for k in range(0, len(i), 64):  # the transforms that matches k to k + 63 propose
-        own = slice(k, k + 64)
+    step = max(1, BLOCK_PAIRS // len(i))
+    for k in range(0, len(i), step):  # the transforms that a block of matches proposes
+        own = slice(k, k + step)
         dx = p[:, 0] - p[own, 0][:, None]
         dy = p[:, 1] - p[own, 1][:, None]
         x = q[own, 0][:, None] + c[own][:, None] * dx - s[own][:, None] * dy - q[:, 0]
         y = q[own, 1][:, None] + s[own][:, None] * dx + c[own][:, None] * dy - q[:, 1]
         good = np.hypot(x, y) <= NEAR * np.maximum(1.0, ratio[own])[:, None]
-        for row in np.flatnonzero(good.sum(1) >= max(INLIERS, best + 1)):
-            best = max(best, min(len(np.unique(i[good[row]])), len(np.unique(j[good[row]]))))
+        best = max(best, int(good.sum(1).max()))
     return best if best >= max(INLIERS, INLIER_SHARE * min(len(a), len(b))) else 0
 
 
-def confirmed(pairs: DataFrame, known: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, images: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that a consensus of corners joins."""
 
     def run(batches):
         for batch in text_slices(batches, "da", SLICE_BYTES):
-            one, other = (
-                [
-                    (place.values.to_numpy(), bits.as_py())
-                    for place, bits in zip(batch.column(f"p{side}"), batch.column(f"d{side}"))
-                ]
-                for side in "ab"
-            )
-            good = [consensus(*x, *y) > 0 for x, y in zip(one, other)]
+            sides = [[batch.column(c).to_pylist() for c in cs] for cs in (("pa", "da"), ("pb", "db"))]
+            good = [consensus(*x) > 0 for x in zip(*sides[0], *sides[1])]
             mask = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"]
             )
 
-    one = known.select(
-        F.col("node").alias("a"), F.col("place").alias("pa"), F.col("descriptors").alias("da")
-    )
-    other = known.select(
-        F.col("node").alias("b"), F.col("place").alias("pb"), F.col("descriptors").alias("db")
+    one, other = (
+        images.select(
+            F.col("node").alias(end),
+            F.col("places").alias(f"p{end}"),
+            F.col("descriptors").alias(f"d{end}"),
+        )
+        for end in "ab"
     )
     joined = pairs.join(one, "a").join(other, "b").select("a", "b", "pa", "da", "pb", "db")
     return joined.mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(members: DataFrame, shared: int) -> DataFrame:
-    """All pairs (a > b) of members (bucket, node, label) of different label in enough buckets."""
-    x, y = members.alias("x"), members.alias("y")
-    return (
-        x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")))
-        .select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"))
-        .groupBy("a", "b")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= shared)
-        .select("a", "b")
-    )
+def shared_keys(n: Column) -> Column:
+    """The keys that an image with n of them must share with a larger one."""
+    return F.greatest(F.lit(SHARED), F.ceil(F.lit(SHARE) * n - 1e-9)).cast("long")
+
+
+def candidates(met: DataFrame, keys: DataFrame) -> DataFrame:
+    """The distinct pairs (a > b) of met (x, y) whose keys (node, bands) have enough in common."""
+    pairs = met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    for end in "ab":
+        own = keys.select(F.col("node").alias(end), F.col("bands").alias(f"keys_{end}"))
+        pairs = pairs.join(own, end)
+    needed = shared_keys(F.least(F.size("keys_a"), F.size("keys_b")))
+    both = F.size(F.array_intersect("keys_a", "keys_b"))
+    return pairs.where(both >= needed).select("a", "b")
+
+
+def crowd_pairs(members: DataFrame, keys: DataFrame) -> DataFrame:
+    """Pairs (x, y) of members (bucket, node, label) of different label: all candidates, and more.
+
+    An image must share shared_keys(n) of its n keys with a larger one.  With
+    the rarest key first, the first shared one is no later than n less that
+    number, so its commonest keys are looked up by nobody.
+    """
+    sizes = keys.select("node", F.size("bands").cast("long").alias("n_keys"))
+    held = members.groupBy("bucket").agg(F.count("*").alias("holders"))
+    ranked = members.join(apart(held), "bucket").join(sizes, "node")
+    last = Window.partitionBy("node").orderBy(F.desc("holders"), "bucket")
+    ranked = ranked.withColumn("from_end", F.row_number().over(last))
+    ranked = stored(ranked.select("bucket", "node", "label", "n_keys", "from_end"), "media-ranked")
+    x = ranked.where(F.col("from_end") >= shared_keys(F.col("n_keys"))).alias("x")
+    y = ranked.alias("y")
+    return x.join(
+        y,
+        (F.col("x.bucket") == F.col("y.bucket"))
+        & (F.col("x.label") != F.col("y.label"))
+        & (F.struct("x.n_keys", "x.node") < F.struct("y.n_keys", "y.node")),
+    ).select(F.col("x.node").alias("x"), F.col("y.node").alias("y"))
 
 
 def image_classes(df: DataFrame, id_col: str = "id", image_col: str = "image") -> DataFrame:
     """id, class_id, n_corners: the class of each image, named by its least id."""
     rows = stored(described(df, id_col, image_col), "media-corners")
-    same = stored(rows.groupBy("digest").agg(F.min("id").alias("node")), "media-copies")
-    known = (
-        rows.join(same, "digest")
-        .where("id = node")
-        .where(F.size("place") >= 4 * INLIERS)  # consensus joins no image of fewer corners
-        .select("node", "place", "descriptors")
-        .dropDuplicates(["node"])
-    )
-    # Written, so that a hub with very many partners is a partition that Spark can split.
-    known = stored(known, "media-known")
-    keys = table_keys(known)
-    sizes = keys.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(keys.join(apart(sizes), "bucket"), "media-members")
-    pairs = hub_pairs(members, SHARED)
-    links = stored(confirmed(pairs, known), "media-links")
-    labels = stored(components(links), "media-labels")
-    # A bucket that still spans components: all its members are compared across them.
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    across = cross_pairs(stored(open_members(members, labels), "media-open"), SHARED)
-    across = stored(across.join(pairs, ["a", "b"], "left_anti"), "media-across")
-    more = stored(confirmed(across, known), "media-more")
-    labels = stored(components(links.unionByName(more)), "media-labels")
-    classes = same.join(labels, "node", "left").select(
-        "digest", F.coalesce("label", "node").alias("class_id")
-    )
-    return rows.join(classes, "digest").select(
-        "id",
-        F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"),
-        (F.size("place") / 4).cast("long").alias("n_corners"),
+    same = copies(rows.select("doc_id", "digest", "row"))
+    # A row is found by its number, so that a hub with many partners is a key that Spark can split.
+    images = rows.where(F.col("n_corners") >= INLIERS).withColumnRenamed("row", "node")
+    with scratch(df.sparkSession):
+        keys = stored(table_keys(images.join(same.select("node"), "node", "left_semi")), "media-keys")
+        hubs = with_hubs(bucket_members(keys))
+        met = hubs.select(F.col("node").alias("x"), F.col("hub").alias("y"))
+        done = stored(candidates(met, keys), "media-pairs")
+        links = stored(confirmed(done, images), "media-links")
+        labels = components(links)
+        members = stored(open_members(hubs, labels), "media-open")
+        more = candidates(crowd_pairs(members, keys), keys).join(done, ["a", "b"], "left_anti")
+        more = stored(across_labels(more, labels), "media-pairs")
+        links = links.unionByName(confirmed(more, images))
+        links = stored(links, "media-links", outlive=True)
+    marks = rows.select("doc_id", "digest", "row", "n_corners")
+    labels = components(links.unionByName(twins(marks, same)))
+    return classes_of(marks, same, labels).select(
+        F.col("doc_id").alias("id"), "class_id", "n_corners"
     )
 
 
-def vector_images(df: DataFrame, id_col: str, vector_col: str, side: int = 64) -> DataFrame:
-    """id, image: vectors drawn as square grey images, for tables that hold no media.
+#: Sides of the noise grids that a drawing's texture is made of, and their strength.
+OCTAVES = ((8, 1.0), (16, 0.7), (24, 0.5))
+EDITS = ("crop", "tone", "noise", "turn")
+
+
+def textures(n: int, side: int) -> np.ndarray:
+    """One square texture for each of n components: (n, side, side)."""
+    draw = np.random.default_rng(11)
+    return sum(
+        resized(draw.standard_normal((n, k, k)), side, side) * weight for k, weight in OCTAVES
+    ).astype(np.float32)
+
 
-    The components, row by row, are the grid of an image enlarged to side pixels;
-    mid grey is zero.  A vector that is null, holds null or non-finite components
-    or is no square grid has a null image.
+def edited(grid: np.ndarray, edit: str, seed: int) -> np.ndarray:
+    """An edited copy of a picture: cropped, toned, with noise, or turned by a right angle."""
+    h, w = grid.shape
+    if edit == "crop":
+        return grid[round(h * 0.12) : round(h * 0.9), round(w * 0.1) : round(w * 0.88)]
+    if edit == "tone":
+        return grid * 0.85 + 20
+    if edit == "noise":
+        return grid + np.random.default_rng(seed).standard_normal(grid.shape) * 4
+    return np.rot90(grid)
+
+
+def vector_images(
+    df: DataFrame, id_col: str, vector_col: str, copied: Column | None = None, side: int = 64
+) -> DataFrame:
+    """id, edit, image: vectors drawn as square grey images, for tables that hold no media.
+
+    Each component weighs a texture of its own; equal vectors are equal images,
+    near ones are like images.  A vector that is null or empty or holds null or
+    non-finite components has a null image.  Where copied holds, a second row has
+    an edited copy of the drawing, by one of EDITS in turn of the id.
     """
 
     def run(batches):
+        known: dict[int, np.ndarray] = {}
         for batch in batches:
-            images = []
-            for vector in batch.column("vector"):
-                vector = vector.as_py() or []
-                values = np.array([np.nan if x is None else x for x in vector], np.float64)
-                n = int(np.sqrt(len(values)))
-                if not n or n * n != len(values) or not np.isfinite(values).all():
-                    images.append(None)
-                    continue
-                spread = max(float(np.abs(values).max()), 1e-12)
-                grid = 127.5 + 127.5 * values.reshape(1, n, n) / spread
-                images.append(encoded_pgm(resized(grid, side, side)[0]))
+            ids, edits, images = [], [], []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("id", "vector", "copied")))
+            for id_, vector, copied in rows:
+                values = np.array([np.nan if x is None else x for x in vector or ()], np.float64)
+                good = len(values) > 0 and np.isfinite(values).all()
+                grid = None
+                if good:
+                    if len(values) not in known:
+                        known[len(values)] = textures(len(values), side)
+                    grid = np.tensordot(values / max(np.abs(values).max(), 1e-300), known[len(values)], 1)
+                    grid = np.rint(127.5 + 127.5 * grid / max(float(np.abs(grid).max()), 1e-12))
+                ids.append(id_)
+                edits.append("none")
+                images.append(encoded_pgm(grid) if good else None)
+                if copied and good and id_ is not None:
+                    edit = EDITS[id_ // 10 % len(EDITS)]
+                    ids.append(id_)
+                    edits.append(edit)
+                    images.append(encoded_pgm(edited(grid, edit, abs(id_))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(images, pa.binary())], names=["id", "image"]
+                [pa.array(ids, pa.int64()), pa.array(edits, pa.string()), pa.array(images, pa.binary())],
+                names=["id", "edit", "image"],
             )
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
-    return rows.mapInArrow(run, "id long, image binary")
+    rows = df.select(
+        F.col(id_col).cast("long").alias("id"),
+        F.col(vector_col).alias("vector"),
+        (F.lit(False) if copied is None else copied).alias("copied"),
+    )
+    return rows.mapInArrow(run, "id long, edit string, image binary")

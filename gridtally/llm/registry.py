@@ -109,9 +109,26 @@ def op9_lm_score(spark, sf_dir):
 
 
 def op10_media(spark, sf_dir):
-    """No table holds media, so vectors are drawn as images; near vectors are edited copies."""
-    images = media.vector_images(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return media.image_classes(images).withColumnRenamed("id", "vec_id")
+    """image_id, vec_id, edit, class_id, n_corners of a picture of every vector and of edited copies.
+
+    No table holds media, so vectors are drawn as pictures.  A second picture of
+    each vector whose vec_id is divisible by 10 is an edited copy for the search
+    to find.  Pictures have even numbers, copies odd ones; class_id is the least
+    image_id of the class.
+    """
+    vectors = table(spark, sf_dir, "embeddings")
+    images = media.vector_images(vectors, "vec_id", "embedding", F.col("vec_id") % 10 == 0)
+    number = F.col("id") * 2 + (F.col("edit") != "none").cast("long")
+    classes = media.image_classes(images.withColumn("id", number))
+    vec_id = F.shiftright("id", 1)
+    edit = F.element_at(F.array(*map(F.lit, media.EDITS)), F.expr("pmod(id div 20, 4) + 1").cast("int"))
+    return classes.select(
+        F.col("id").alias("image_id"),
+        vec_id.alias("vec_id"),
+        F.when(vec_id * 2 == F.col("id"), "none").otherwise(edit).alias("edit"),
+        "class_id",
+        "n_corners",
+    )
 
 
 def queries():

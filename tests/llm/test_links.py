@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridtally.llm import ann, media, near_dedup
+from gridtally.llm import ann, media, near_dedup, registry
 
 
 def slow_classes(rows):
@@ -86,6 +86,24 @@ def test_prefix_pairs_miss_nothing(spark, corpus):
                 assert (max(i, j), min(i, j)) in found
 
 
+def test_rows_of_one_doc_id_keep_all_links(spark):
+    draw = np.random.default_rng(8)
+    a, b = ([f"w{x}" for x in draw.integers(0, 9999, 200)] for _ in "ab")
+    near = [" ".join(edited(t, 2, draw)) for t in (b, a)]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near[0]), (3, near[1]), (4, "apart from all of them here")]
+    for order in (rows, rows[::-1]):
+        found = near_dedup.near_classes(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert {(r["doc_id"], r["class_id"]) for r in found} == {(1, 1), (2, 1), (3, 1), (4, 4)} and len(found) == 5
+
+
+def test_very_long_texts(spark):
+    draw = np.random.default_rng(9)
+    words = [f"w{x}" for x in draw.integers(0, 10**6, 300_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(edited(words, 2000, draw))), (3, " ".join(words[:200_000]))]
+    found = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in found} == {1: 1, 2: 1, 3: 3}
+
+
 def test_signatures_are_unbiased():
     draw = np.random.default_rng(2)
     a = {i: int(draw.integers(1, 12)) for i in range(300)}
@@ -247,6 +265,34 @@ def test_crops_and_edits_join(spark):
     assert media.image_classes(df.limit(0)).count() == 0
 
 
+def test_equals_comparing_all_pairs(spark):
+    """Classes against a consensus of every two pictures, some of them alike in part only."""
+    draw, rows = np.random.default_rng(11), []
+    for s in range(8):
+        image = texture(s, 100)
+        image[:30, :30] = texture(99, 30)  # a mark that all of them bear
+        for v in (image, image[8:90, 5:88], image * 0.85 + 20, image + draw.standard_normal(image.shape) * 4):
+            rows.append((len(rows), bytes(media.encoded_pgm(v))))
+    df = spark.createDataFrame(rows, "id long, image binary")
+    known = [(r["places"], r["descriptors"]) for r in media.described(df, "id", "image").orderBy("doc_id").collect()]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if media.consensus(*known[i], *known[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    found = {r["id"]: r["class_id"] for r in media.image_classes(df).collect()}
+    assert found == dict(enumerate(label)) and len(set(label)) == 8
+
+
+def test_large_pictures(spark):
+    image = np.tile(texture(4, 140), (5, 5)) * 0.6 + texture(5, 700) * 0.4  # repeats itself
+    rows = [(1, media.encoded_pgm(image)), (2, media.encoded_pgm(image[60:650, 90:680])), (3, media.encoded_pgm(texture(6, 700)))]
+    df = spark.createDataFrame([(i, bytes(x)) for i, x in rows], "id long, image binary")
+    found = {r["id"]: r for r in media.image_classes(df).collect()}
+    assert {i: r["class_id"] for i, r in found.items()} == {1: 1, 2: 1, 3: 3} and found[1]["n_corners"] > 1000
+
+
 def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
     """Keys so coarse that unrelated hubs sit in all buckets hide no copy."""
     rows, draw, keys = [], np.random.default_rng(6), media.table_keys
@@ -254,15 +300,29 @@ def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
         image = texture(s, 90)
         for v in (image, np.clip(image * 0.85 + 20, 0, 255), image + draw.standard_normal(image.shape) * 4):
             rows.append((len(rows), bytes(media.encoded_pgm(v))))
-    coarse = (F.col("bucket") % 5).alias("bucket")
-    monkeypatch.setattr(media, "table_keys", lambda rows: keys(rows).select("node", coarse).distinct())
+    coarse = F.array_distinct(F.transform("bands", lambda b: F.pmod(b, F.lit(5)))).alias("bands")
+    monkeypatch.setattr(media, "table_keys", lambda rows: keys(rows).select("node", coarse))
     df = spark.createDataFrame(rows, "id long, image binary")
     found = {r["id"]: r["class_id"] for r in media.image_classes(df).collect()}
     assert found == {i: i - i % 3 for i in range(15)}
 
 
 def test_vectors_as_images(spark):
-    rows = [(1, [1.0] * 64), (2, [float(i) for i in range(64)]), (3, None), (4, [1.0, None, 2.0, 3.0]), (5, [1.0] * 3), (6, [0.0] * 4)]
-    made = {r["id"]: r["image"] for r in media.vector_images(spark.createDataFrame(rows, FORM), "vec_id", "embedding").collect()}
-    assert [made[i] is None for i in range(1, 7)] == [False, False, True, True, True, False]
-    assert media.decoded(made[2]).shape == (64, 64)
+    rows = [(10, [1.0] * 64), (20, [float(i) for i in range(64)]), (30, None), (40, [1.0, None, 2.0, 3.0]), (50, []), (60, [0.0] * 4), (None, [1.0])]
+    made = media.vector_images(spark.createDataFrame(rows, FORM), "vec_id", "embedding", F.col("vec_id") % 20 == 0).collect()
+    shown = {(r["id"], r["edit"]): r["image"] for r in made}
+    assert [shown[i, "none"] is None for i in (10, 20, 30, 40, 50, 60, None)] == [False, False, True, True, True, False, False]
+    assert {k for k in shown if k[1] != "none"} == {(20, media.EDITS[2]), (60, media.EDITS[2])}
+    assert media.decoded(shown[20, "none"]).shape == (64, 64)
+
+
+def test_query_finds_its_copies(spark, small):
+    rows = registry.op10_media(spark, small).collect()
+    own = {r["image_id"]: r["class_id"] for r in rows}
+    copies = [r for r in rows if r["edit"] != "none"]
+    assert copies and np.mean([own[2 * r["vec_id"]] == r["class_id"] for r in copies]) >= 0.95
+    assert all(r["edit"] == media.EDITS[r["vec_id"] // 10 % 4] for r in copies)
+    table = spark.read.parquet(f"{small}/embeddings.parquet").collect()
+    unit = {r["vec_id"]: np.array(r["embedding"]) / np.linalg.norm(r["embedding"]) for r in table}
+    joined = [r for r in rows if r["vec_id"] * 2 != r["class_id"]]
+    assert all(unit[r["vec_id"]] @ unit[r["class_id"] // 2] > 0.8 for r in joined)  # no false ones
