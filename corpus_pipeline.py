@@ -29,12 +29,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: the one with the least doc_id, one row of it.
 
+    Of several rows of that doc_id the one with the least text, by its hash, stays.
     Documents without a doc_id are in no class and stay.
     """
     classes = near_dedup.near_classes(docs)
     first = classes.where("doc_id = class_id").select("doc_id").distinct()
     known = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi")
-    one = known.dropDuplicates(["doc_id"])
+    least = F.min_by(F.struct(*docs.columns), F.xxhash64("text"))
+    one = known.groupBy("doc_id").agg(least.alias("one"))
+    one = one.select("one.*")
     return one.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
