@@ -2,12 +2,16 @@
 
 1. Words of each source are packed, document after document, into blocks of
    block_words words; only the last block of a source is shorter.
-2. Each source gets the slots its target weight asks for.  Slots are dealt to
-   output shards by a pseudorandom permutation of all slots, so the counts per
-   shard and source are a multinomial draw given the totals: every shard has
-   random counts and every source ends within half a block of its target.
-3. A source's slots run through its blocks in epochs, each with a pseudorandom
-   permutation of the block indexes of its own; blocks join slots by index.
+2. Each source gets the slots its target weight asks for, and every output
+   shard draws how many of its slots each source fills: a multinomial draw
+   without replacement from what is left of all slots, so every shard's counts
+   are random and every source ends within half a block of its target, which
+   independent draws would miss by their sampling error, past the limit of
+   repeats too.  The draw deals all slots by a pseudorandom permutation and
+   counts them by shard and source.
+3. A source's slots, shard after shard as drawn, run through its blocks in
+   epochs, each with a pseudorandom permutation of the block indexes of its own;
+   blocks join slots by index.
 
 The permutation is a swap-or-not shuffle: in each round an index may trade
 places with its mirror image about a keyed pivot.  It is a bijection on any
@@ -15,8 +19,10 @@ range, is computed for each row by itself, and needs no sort.
 
 Defined results: a null text has no words; documents without words are never
 taken; a null source is a source of its own that sorts last; equal rows are
-documents each; an empty table gives an empty mix.  Columns of the input other
-than doc_id, source and text are ignored.
+documents each, and their order among each other is no matter; an empty table
+gives an empty mix.  A text of any length is one row that reaches into as many
+blocks as its words fill.  Columns of the input other than doc_id, source and text
+are ignored by the report and kept by the documents.
 """
 
 from __future__ import annotations
@@ -39,6 +45,8 @@ BUCKET_ROWS = 20_000
 #: Slots that one row stands for before they are written out, and that one task writes out.
 CHUNK_SLOTS = 4096
 TASK_SLOTS = 50_000
+#: Shards whose drawn counts one window task orders.
+GROUP_SHARDS = 1024
 
 
 def round_keys(seed: int, rounds: int = ROUNDS) -> list[tuple[int, int]]:
@@ -80,21 +88,33 @@ def permuted(index: Column, size: Column, rounds: Column) -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, source_key, text_hash, size: one small row per document.
+    """source, source_key, row_key, text_key, spread, size: one small row per document.
 
-    source_key sorts as the sources do: by code point, null last.
+    source_key sorts as the sources do: by code point, null last.  row_key and
+    text_key are hashes, equal for equal doc_id, source and text; spread is
+    one that other engines compute as well.
     """
     return docs.select(
         "doc_id",
         "source",
         F.coalesce(F.concat(F.lit("0"), "source"), F.lit("1")).alias("source_key"),
-        F.xxhash64("text").alias("text_hash"),
+        *row_keys(),
+        F.conv(F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 8), 16, 10)
+        .cast("long")
+        .alias("spread"),
         F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
         .cast("long")
         .alias("size"),
     )
 
 
+def row_keys() -> list[Column]:
+    return [
+        F.xxhash64("doc_id", "source", F.col("doc_id").isNull(), F.col("source").isNull()).alias("row_key"),
+        F.xxhash64("text").alias("text_key"),
+    ]
+
+
 def source_targets(sizes: DataFrame, block_words: int, repeats: int = REPEATS) -> DataFrame:
     """One row per source: its size, target, number of blocks and of slots.
 
@@ -152,7 +172,7 @@ def source_targets(sizes: DataFrame, block_words: int, repeats: int = REPEATS) -
 
 def hashed_bucket(buckets: int) -> Column:
     known = F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)).cast("long"), F.lit(PRIME))
-    return known * 48271 % PRIME % buckets
+    return (known + F.col("spread")) % PRIME * 48271 % PRIME % buckets
 
 
 def placed(sizes: DataFrame, rows: int) -> DataFrame:
@@ -176,7 +196,7 @@ def placed(sizes: DataFrame, rows: int) -> DataFrame:
     )
     inside = (
         Window.partitionBy("source_key", "bucket")
-        .orderBy("doc_id", "size", "text_hash")
+        .orderBy("doc_id", "size", "spread", "text_key")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
@@ -187,55 +207,79 @@ def placed(sizes: DataFrame, rows: int) -> DataFrame:
     )
 
 
-def draw_slots(sources: DataFrame, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """shard, slot, source_key, epoch, block: which block fills each slot of each shard.
+def draw_counts(
+    sources: DataFrame, seed: int = SEED, shard_slots: int = SHARD_SLOTS
+) -> DataFrame:
+    """source_key, shard, n: the slots of each shard that each source fills, as drawn.
 
-    A row per source and epoch carries the keys of its permutation; it is cut
-    into chunks of slots, which are dealt to enough tasks before they are
-    written out as rows.
+    A row per source is cut into chunks of slots, which are dealt to enough
+    tasks before they are written out as rows.
     """
     zero = F.lit(0).cast("long")
     total = sources.agg(F.coalesce(F.sum("n_slots"), zero)).first()[0]
-    last = F.floor((F.col("epoch_slots") - 1) / F.lit(CHUNK_SLOTS)).cast("long")
-    chunk_end = F.least((F.col("chunk") + 1) * CHUNK_SLOTS, F.col("epoch_slots")) - 1
-    epochs = F.sequence(zero, F.floor((F.col("n_slots") - 1) / F.col("n_blocks")).cast("long"))
+    last = F.floor((F.col("n_slots") - 1) / F.lit(CHUNK_SLOTS)).cast("long")
+    chunk_end = F.least((F.col("chunk") + 1) * CHUNK_SLOTS, F.col("n_slots")) - 1
     slots = (
         sources.where("n_slots > 0")
-        .withColumn("epoch", F.explode(epochs))
-        .withColumn(
-            "epoch_slots",
-            F.least("n_blocks", F.col("n_slots") - F.col("epoch") * F.col("n_blocks")),
-        )
         .withColumn("chunk", F.explode(F.sequence(zero, last)))
-        .repartition(max(1, -(-total // TASK_SLOTS)), "source_key", "epoch", "chunk")
+        .repartition(max(1, -(-total // TASK_SLOTS)), "source_key", "chunk")
         .withColumn("deal", permutation(F.col("all_slots"), zero, seed))
-        .withColumn(
-            "rounds",
-            permutation(
-                F.col("n_blocks"), F.col("source_no") * REPEATS + F.col("epoch") + 1, seed + 1
-            ),
-        )
         .withColumn("turn", F.explode(F.sequence(F.col("chunk") * CHUNK_SLOTS, chunk_end)))
     )
-    place = F.col("first_slot") + F.col("epoch") * F.col("n_blocks") + F.col("turn")
-    slots = slots.withColumns(
-        {
-            "place": permuted(place, F.col("all_slots"), F.col("deal")),
-            "block": permuted(F.col("turn"), F.col("n_blocks"), F.col("rounds")),
-        }
-    )
-    return slots.select(
-        F.floor(F.col("place") / F.lit(shard_slots)).cast("long").alias("shard"),
-        (F.col("place") % shard_slots).alias("slot"),
-        "source_key",
-        "epoch",
-        "block",
+    place = permuted(F.col("first_slot") + F.col("turn"), F.col("all_slots"), F.col("deal"))
+    return (
+        slots.select(
+            "source_key", F.floor(place / F.lit(shard_slots)).cast("long").alias("shard")
+        )
+        .groupBy("source_key", "shard")
+        .agg(F.count("*").alias("n"))
     )
 
 
-def shard_counts(slots: DataFrame) -> DataFrame:
-    """The drawn number of slots per shard and source."""
-    return slots.groupBy("shard", "source_key").agg(F.count("*").alias("n_slots"))
+def filled_slots(counts: DataFrame, sources: DataFrame, seed: int = SEED) -> DataFrame:
+    """shard, source_key, epoch, block: the block in each slot that the counts gave its source.
+
+    The slots of a source are numbered shard after shard by a running sum in two
+    levels, and a number is a turn through the source's blocks.
+    """
+    zero = F.lit(0).cast("long")
+    total = sources.agg(F.coalesce(F.sum("n_slots"), zero)).first()[0]
+    grouped = counts.withColumn("part", F.floor(F.col("shard") / GROUP_SHARDS))
+    ahead = Window.partitionBy("source_key").orderBy("part").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    inside = Window.partitionBy("source_key", "part").orderBy("shard").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    starts = (
+        grouped.groupBy("source_key", "part")
+        .agg(F.sum("n").alias("part_n"))
+        .select("source_key", "part", F.coalesce(F.sum("part_n").over(ahead), zero).alias("start"))
+    )
+    first, end = F.col("first"), F.col("first") + F.col("n")
+    runs = (
+        grouped.withColumn("before", F.coalesce(F.sum("n").over(inside), zero))
+        .join(starts, ["source_key", "part"])
+        .withColumn("first", F.col("start") + F.col("before"))
+        .join(sources.select("source_key", "source_no", "n_blocks"), "source_key")
+    )
+    epochs = F.sequence(
+        F.floor(first / F.col("n_blocks")), F.floor((end - 1) / F.col("n_blocks"))
+    )
+    epoch_start = F.col("epoch") * F.col("n_blocks")
+    turns = F.sequence(
+        F.greatest(first, epoch_start) - epoch_start,
+        F.least(end, epoch_start + F.col("n_blocks")) - 1 - epoch_start,
+    )
+    key = F.col("source_no") * REPEATS + F.col("epoch") + 1
+    slots = (
+        runs.repartition(max(1, -(-total // TASK_SLOTS)), "source_key", "shard")
+        .withColumn("epoch", F.explode(epochs))
+        .withColumn("rounds", permutation(F.col("n_blocks"), key, seed + 1))
+        .withColumn("turn", F.explode(turns))
+    )
+    block = permuted(F.col("turn"), F.col("n_blocks"), F.col("rounds"))
+    return slots.select("shard", "source_key", "epoch", block.alias("block"))
 
 
 def doc_blocks(docs: DataFrame, block_words: int) -> DataFrame:
@@ -267,96 +311,91 @@ class Mix:
         self.sizes = stored(sized(docs), "mix-sizes")
         self.sources = stored(source_targets(self.sizes, block_words), "mix-sources")
         self.docs = placed(self.sizes, self.sizes.count())
-        self.slots = draw_slots(self.sources, seed, shard_slots)
+        self.counts = stored(draw_counts(self.sources, seed, shard_slots), "mix-counts")
+        self.slots = filled_slots(self.counts, self.sources, seed)
         self.blocks = doc_blocks(self.docs, block_words)
 
-    def taken_blocks(self) -> DataFrame:
-        """The blocks of every document with the number of times the mix takes each."""
-        times = self.slots.groupBy("source_key", "block").agg(F.count("*").alias("times"))
-        # Spark's size estimate ignores how many slots a row explodes to, so it must not
-        # choose to broadcast here.
-        times = times.hint("merge")
-        return self.blocks.join(times, ["source_key", "block"], "left").withColumn(
-            "times", F.coalesce("times", F.lit(0)).cast("long")
-        )
-
     def shards(self) -> DataFrame:
-        """shard, slot, source, doc_id, text_hash, from_word, n_words: the mix itself."""
+        """The mix itself: shard, epoch and block of each slot, and a document's words in it."""
         pieces = self.blocks.select(
-            "source_key", "block", "source", "doc_id", "text_hash", "from_word", "n_words"
-        )
-        return self.slots.hint("merge").join(pieces, ["source_key", "block"]).drop("source_key")
+            "source_key", "block", "doc_id", "first_word", "size", "row_key", "text_key",
+            "from_word", "n_words",
+        )
+        # Spark's size estimate ignores how many slots a row explodes to, so it must not
+        # choose to broadcast here.
+        return self.slots.hint("merge").join(pieces, ["source_key", "block"])
 
     def documents(self) -> DataFrame:
-        """doc_id, source_key, size, taken: words taken from each document, repeats counted."""
-        worded = (
-            self.taken_blocks()
-            .groupBy("source_key", "first_word")
-            .agg(
-                F.first("doc_id").alias("doc_id"),
-                F.first("size").alias("size"),
-                F.sum(F.col("n_words") * F.col("times")).alias("taken"),
-            )
-            .select("doc_id", "source_key", "size", "taken")
+        """doc_id, source_key, size, taken, first_shard of each document.
+
+        taken are the words of it in all shards, repeats counted; first_shard is
+        the first shard that holds some, null if none does.
+        """
+        own = ["source_key", "first_word"]
+        taken = self.shards().groupBy(*own).agg(
+            F.sum("n_words").alias("taken"), F.min("shard").alias("first_shard")
         )
-        empty = self.sizes.where("size = 0").select(
-            "doc_id", "source_key", "size", F.lit(0).cast("long").alias("taken")
+        worded = self.docs.where("size > 0").join(taken.hint("merge"), own, "left")
+        columns = ["doc_id", "source_key", "size", "taken", "first_shard"]
+        empty = self.sizes.where("size = 0").withColumns(
+            {"taken": F.lit(0).cast("long"), "first_shard": F.lit(None).cast("long")}
         )
-        return worded.unionByName(empty)
+        both = worded.select(*columns).unionByName(empty.select(*columns))
+        return both.withColumn("taken", F.coalesce("taken", F.lit(0)))
 
 
 def mix_report(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every document."""
+    """doc_id, size, source_size, target, taken, first_shard for every document."""
     mix = Mix(docs, block_words, seed)
     goals = mix.sources.select("source_key", "source_size", "target")
     return mix.documents().join(goals, "source_key").select(
-        "doc_id", "size", "source_size", "target", "taken"
+        "doc_id", "size", "source_size", "target", "taken", "first_shard"
     )
 
 
 def mixed_documents(docs: DataFrame, block_words: int, seed: int = SEED) -> DataFrame:
-    """The mix as documents: the input's columns, a row for each turn a document is taken.
+    """The mix as documents: the input's columns, a row for each epoch a document is in a shard.
 
-    A turn that takes the whole document keeps its text as it is; else the text
-    is the words taken in that turn, joined by spaces.  n_chars, where there is
+    An epoch that takes the whole document keeps its text as it is; else the text
+    is the words taken in that epoch, joined by spaces.  n_chars, where there is
     one, follows the text.
     """
     mix = Mix(docs, block_words, seed)
-    by_text = Window.partitionBy("doc_id", "text_hash")
+    part = F.struct("epoch", "from_word", "n_words")
     taken = (
-        mix.taken_blocks()
-        .where("times > 0")
+        mix.shards()
         .groupBy("source_key", "first_word")
         .agg(
-            F.first("doc_id").alias("doc_id"),
-            F.first("text_hash").alias("text_hash"),
+            F.first("row_key").alias("row_key"),
+            F.first("text_key").alias("text_key"),
             F.first("size").alias("size"),
-            F.sort_array(F.collect_list(F.struct("from_word", "n_words", "times"))).alias("parts"),
+            F.sort_array(F.collect_list(part)).alias("parts"),
         )
-        .withColumn("copy", F.row_number().over(by_text.orderBy("first_word")))
-        .withColumn("turns", F.sequence(F.lit(1).cast("long"), F.array_max("parts.times")))
-        .withColumn("turn", F.explode("turns"))
-        .withColumn("parts", F.filter("parts", lambda p: p["times"] >= F.col("turn")))
-        .select("doc_id", "text_hash", "copy", F.struct("size", "parts").alias("take"))
+        .groupBy("row_key", "text_key")
+        .agg(F.sort_array(F.collect_list(F.struct("first_word", "size", "parts"))).alias("takes"))
     )
     # Equal rows are told apart by a number; the names are none of the input's.
-    key, copy, take = (unused(docs, n) for n in ("_text_hash", "_copy", "_take"))
-    same = Window.partitionBy("doc_id", key).orderBy(F.lit(1))
-    keyed = docs.withColumn(key, F.xxhash64("text")).withColumn(copy, F.row_number().over(same))
-    taken = taken.toDF("_mix_doc_id", "_mix_hash", "_mix_copy", take)
-    joined = keyed.join(
-        taken.hint("merge"),
-        keyed["doc_id"].eqNullSafe(taken["_mix_doc_id"])
-        & (keyed[key] == taken["_mix_hash"])
-        & (keyed[copy] == taken["_mix_copy"]),
+    names = [unused(docs, n) for n in ("_row_key", "_text_key", "_takes", "_copy", "_take", "_epoch")]
+    row_key, text_key, takes, copy, take, epoch = names
+    keyed = docs.withColumns(dict(zip((row_key, text_key), row_keys())))
+    same = Window.partitionBy(row_key, text_key).orderBy(F.lit(1))
+    taken = taken.toDF(row_key, text_key, takes)
+    turns = F.array_distinct(F.transform(F.col(f"{take}.parts"), lambda p: p["epoch"]))
+    chosen = F.filter(F.col(f"{take}.parts"), lambda p: p["epoch"] == F.col(epoch))
+    joined = (
+        keyed.join(taken.hint("merge"), [row_key, text_key])
+        .withColumn(copy, F.row_number().over(same))
+        .withColumn(take, F.get(takes, F.col(copy) - 1))  # a copy without words taken has none
+        .drop(takes)
+        .withColumn(epoch, F.explode(turns))
     )
-    parts, size = F.col(f"{take}.parts"), F.col(f"{take}.size")
-    whole = F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n + p["n_words"]) == size
+    size = F.col(f"{take}.size")
+    whole = F.aggregate(chosen, F.lit(0).cast("long"), lambda n, p: n + p["n_words"]) == size
 
     def cut(words: Column) -> Column:
         return F.array_join(
             F.transform(
-                parts,
+                chosen,
                 lambda p: F.array_join(
                     F.slice(words, (p["from_word"] + 1).cast("int"), p["n_words"].cast("int")), " "
                 ),
@@ -373,24 +412,44 @@ def mixed_documents(docs: DataFrame, block_words: int, seed: int = SEED) -> Data
     return mixed.select(*docs.columns)
 
 
-def report_sql(block_words: int = BLOCK_WORDS, seed: int = SEED) -> str:
-    """mix_report(documents) for DuckDB, round by round as permuted() has it."""
-    rounds = []
-    for i, (a, b) in enumerate(round_keys(seed + 1)):
-        mixed = f"((key % {PRIME} * {a} + {b}) % {PRIME})"
-        pivot = f"(({mixed} * {PRIME} + ({mixed} * {a} + {b}) % {PRIME}) % n_blocks)"
-        mirror = f"((({pivot} - block) % n_blocks + n_blocks) % n_blocks)"
-        pair = f"greatest(block, {mirror})"
-        bit = f"({pair} % {PRIME} * {a} + {mixed}) % {PRIME} % 2"
-        rounds.append(
-            f"r{i + 1} AS (SELECT source_key, n_blocks, key,"
-            f" CASE WHEN {bit} = 1 THEN {mirror} ELSE block END AS block FROM r{i})"
+def permuted_sql(base: str, first: str, size: str, key: str, index: str, seed: int) -> str:
+    """Common table expressions {base}0 to {base}16 that permute the column index as permuted()."""
+    steps = [first]
+    for i, (a, b) in enumerate(round_keys(seed)):
+        mixed = f"(({key} % {PRIME} * {a} + {b}) % {PRIME})"
+        pivot = f"(({mixed} * {PRIME} + ({mixed} * {a} + {b}) % {PRIME}) % {size})"
+        mirror = f"((({pivot} - {index}) % {size} + {size}) % {size})"
+        bit = f"(greatest({index}, {mirror}) % {PRIME} * {a} + {mixed}) % {PRIME} % 2"
+        steps.append(
+            f"{base}{i + 1} AS (SELECT * REPLACE (CASE WHEN {bit} = 1 THEN {mirror}"
+            f" ELSE {index} END AS {index}) FROM {base}{i})"
         )
+    return ",\n".join(steps)
+
+
+def report_sql(
+    block_words: int = BLOCK_WORDS, seed: int = SEED, shard_slots: int = SHARD_SLOTS
+) -> str:
+    """mix_report(documents) for DuckDB, the draw and the permutations included."""
+    deal = permuted_sql(
+        "d",
+        """d0 AS (
+  SELECT source_key, source_no, n_blocks, all_slots, first_slot + unnest(range(n_slots)) AS place
+  FROM sources WHERE n_slots > 0)""",
+        "all_slots", "0::BIGINT", "place", seed,
+    )
+    turned = permuted_sql(
+        "r",
+        f"""r0 AS (
+  SELECT source_key, shard, n_blocks, turn % n_blocks AS block,
+         (source_no * {REPEATS} + turn // n_blocks + 1) % {PRIME} AS key FROM drawn)""",
+        "n_blocks", "key", "block", seed + 1,
+    )
     return rf"""
 WITH sized AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS source_key,
-         coalesce(len(regexp_extract_all(text, '[^ 	-
-]+')), 0)::BIGINT AS size
+         ('0x' || md5(coalesce(text, ''))[:8])::BIGINT AS spread,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents),
 named AS (
   SELECT source_key, sum(size)::BIGINT AS source_size,
@@ -409,35 +468,38 @@ aimed AS (
          least(cap, weight * (SELECT arg_min(level, (fill, source_key)) FROM leveled
                               WHERE level <= fill)) AS target,
          CAST(ceil(source_size / {block_words}::DOUBLE) AS BIGINT) AS n_blocks FROM leveled),
-sources AS (
+slotted AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(
            target * n_blocks / source_size + 0.5) AS BIGINT), {REPEATS} * n_blocks)
          ELSE 0 END AS n_slots FROM aimed),
-turns AS (
-  SELECT source_key, source_no, n_blocks, unnest(range(n_slots)) AS turn
-  FROM sources WHERE n_slots > 0),
-r0 AS (
-  SELECT source_key, n_blocks, turn % n_blocks AS block,
-         (source_no * {REPEATS} + turn // n_blocks + 1) % {PRIME} AS key FROM turns),
-{", ".join(rounds)},
-times AS (SELECT source_key, block, count(*) AS times FROM r{ROUNDS} GROUP BY ALL),
-spread AS (
-  SELECT *, ((coalesce(doc_id, 0) % {PRIME} + {PRIME}) % {PRIME}) * 48271 % {PRIME}
+sources AS (
+  SELECT *, (sum(n_slots) OVER ())::BIGINT AS all_slots, coalesce(sum(n_slots) OVER (
+           ORDER BY source_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_slot
+  FROM slotted),
+{deal},
+drawn AS (
+  SELECT source_key, source_no, n_blocks, place // {shard_slots} AS shard,
+         row_number() OVER (PARTITION BY source_key ORDER BY place) - 1 AS turn FROM d{ROUNDS}),
+{turned},
+spreaded AS (
+  SELECT *, (((coalesce(doc_id, 0) % {PRIME} + {PRIME}) % {PRIME}) + spread) % {PRIME} * 48271 % {PRIME}
          % greatest(64, (SELECT (count(*) + {BUCKET_ROWS - 1}) // {BUCKET_ROWS} FROM sized))
          AS bucket FROM sized),
 placed AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source_key ORDER BY bucket, doc_id, size
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source_key ORDER BY bucket, doc_id, size, spread
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_word
-  FROM spread),
+  FROM spreaded),
 reached AS (
   SELECT *, unnest(range(first_word // {block_words},
            (first_word + size - 1) // {block_words} + 1)) AS block FROM placed WHERE size > 0),
 taken AS (
-  SELECT source_key, first_word, any_value(doc_id) AS doc_id, any_value(size) AS size,
-         sum((least((block + 1) * {block_words}, first_word + size)
-              - greatest(block * {block_words}, first_word)) * coalesce(times, 0)) AS taken
-  FROM reached LEFT JOIN times USING (source_key, block) GROUP BY source_key, first_word),
+  SELECT source_key, first_word, min(shard) AS first_shard,
+         sum(least((block + 1) * {block_words}, first_word + size)
+             - greatest(block * {block_words}, first_word)) AS taken
+  FROM reached JOIN r{ROUNDS} USING (source_key, block) GROUP BY source_key, first_word),
 every AS (
-  SELECT source_key, doc_id, size, taken::BIGINT AS taken FROM taken
-  UNION ALL SELECT source_key, doc_id, size, 0 FROM sized WHERE size = 0)
-SELECT doc_id, size, source_size, target, taken FROM every JOIN sources USING (source_key)"""
+  SELECT source_key, doc_id, size, coalesce(taken, 0)::BIGINT AS taken, first_shard
+  FROM placed LEFT JOIN taken USING (source_key, first_word) WHERE size > 0
+  UNION ALL SELECT source_key, doc_id, size, 0, NULL FROM sized WHERE size = 0)
+SELECT doc_id, size, source_size, target, taken, first_shard
+FROM every JOIN sources USING (source_key)"""
