@@ -29,6 +29,11 @@ def percent_label(change: Column) -> Column:
     return F.when(change.isNull(), F.lit("—")).otherwise(text)
 
 
+def calendar_label(day: Column) -> Column:
+    """A calendar date as "Jan 1, 2001", the same everywhere; "unknown" without one."""
+    return F.coalesce(F.date_format(day.cast("date"), "MMM d, yyyy"), F.lit("unknown"))
+
+
 def bar_width(df: DataFrame, value: str) -> DataFrame:
     """df with bar_width: percent of the largest value, visible at least."""
     most = F.greatest(F.max(value).over(Window.partitionBy()), F.lit(1))
@@ -59,3 +64,14 @@ def geojson_points(df: DataFrame, properties: list[str]) -> DataFrame:
             )
         ).alias("feature")
     )
+
+
+def feature_collection(features: DataFrame) -> DataFrame:
+    """collection: one GeoJSON collection of features (feature), for one page or one map grid.
+
+    A page has a limit and a grid a bounded number of cells; a whole table stays
+    a table of features.
+    """
+    listed = F.array_join(F.sort_array(F.collect_list("feature")), ",")
+    head, tail = F.lit('{"type":"FeatureCollection","features":['), F.lit("]}")
+    return features.agg(F.concat(head, listed, tail).alias("collection"))

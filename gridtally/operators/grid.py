@@ -193,3 +193,8 @@ def aggregate(
         "lon", "lat", "incident_count", F.lit(grid).alias("grid_degrees"),
         F.lit(path).alias("answered_by"),
     )
+
+
+def total(cells: DataFrame) -> DataFrame:
+    """incident_count: the sum over cells."""
+    return cells.agg(F.coalesce(F.sum("incident_count"), F.lit(0)).alias("incident_count"))

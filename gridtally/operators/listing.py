@@ -126,3 +126,13 @@ def version_history(versions: DataFrame) -> DataFrame:
     return versions.groupBy("source_id", "external_record_id").agg(
         F.sort_array(F.collect_list(step)).alias("history")
     )
+
+
+def with_codes(offenses: DataFrame, codes: DataFrame) -> DataFrame:
+    """offenses with code_name, the name of raw_offense_code among codes (code, name), if any.
+
+    Codes are a reference table with a row for each code; Spark broadcasts it while
+    its measured size is small and sorts both sides else.
+    """
+    named = codes.select(F.col("code").alias("raw_offense_code"), F.col("name").alias("code_name"))
+    return offenses.join(named, "raw_offense_code", "left")

@@ -8,7 +8,6 @@ and missing.
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -258,27 +257,68 @@ FROM orders WHERE o_orderkey % 13 <> 0 OR o_orderkey % 3 = 0""",
     @query(
         "timestamp_local_to_utc",
         """
-SELECT * FROM (VALUES
-  ('2023-07-01T12:00:00.000', '2023-07-01 17:00:00'), ('2023-01-01T12:00:00', '2023-01-01 18:00:00'),
-  ('2023-11-05T01:30:00.000', '2023-11-05 06:30:00'), ('bad', NULL), ('', NULL)) AS t(raw, utc)""",
+SELECT o_orderkey, strftime(try_strptime(raw, '%Y-%m-%dT%H:%M:%S') AT TIME ZONE 'America/Chicago'
+         AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS utc
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'bad' WHEN o_orderkey % 13 = 0 THEN ''
+             ELSE strftime(o_orderdate, '%Y-%m-%dT') || lpad((o_orderkey % 24)::VARCHAR, 2, '0')
+                  || ':30:00' END AS raw FROM orders)""",
     )
     def timestamp_local_to_utc(spark, sf_dir):
-        rows = spark.sql(
-            "SELECT * FROM VALUES ('2023-07-01T12:00:00.000'), ('2023-01-01T12:00:00'),"
-            " ('2023-11-05T01:30:00.000'), ('bad'), ('') AS t(raw)"
+        hour = F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0")
+        time = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'"), hour, F.lit(":30:00"))
+        raw = (
+            F.when(F.col("o_orderkey") % 11 == 0, "bad")
+            .when(F.col("o_orderkey") % 13 == 0, "")
+            .otherwise(F.when(F.col("o_orderkey") % 2 == 0, F.concat(time, F.lit(".000"))).otherwise(time))
         )
-        return rows.select(
-            "raw", F.date_format(nz.local_to_utc(F.col("raw")), "yyyy-MM-dd HH:mm:ss").alias("utc")
+        utc = F.date_format(nz.local_to_utc(raw), "yyyy-MM-dd HH:mm:ss").alias("utc")
+        return table(spark, sf_dir, "orders").select("o_orderkey", utc)
+
+    @query(
+        "iso_instants",
+        """
+SELECT o_orderkey, strftime(o_orderdate::TIMESTAMP + CASE o_orderkey % 3
+         WHEN 1 THEN INTERVAL 5 HOUR ELSE INTERVAL 0 HOUR END, '%Y-%m-%dT%H:%M:%S.%g') AS cursor
+FROM orders""",
+    )
+    def iso_instants(spark, sf_dir):
+        form = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+        kind = F.col("o_orderkey") % 3
+        tail = F.when(kind == 0, "Z").when(kind == 1, "-05:00").otherwise("")
+        instant = nz.iso_instant(F.concat(form, tail))
+        return table(spark, sf_dir, "orders").select(
+            "o_orderkey", nz.cursor_text(instant).alias("cursor")
         )
 
     @query(
         "lenient_float",
-        "SELECT raw, try_cast(nullif(raw, '') AS DOUBLE) AS value"
-        " FROM (VALUES ('41.5'), (''), ('x'), ('-87'), (NULL)) AS t(raw)",
+        "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN NULL"
+        " ELSE o_custkey + 0.5::DOUBLE END AS value FROM orders",
     )
     def lenient_float(spark, sf_dir):
-        rows = spark.sql("SELECT * FROM VALUES ('41.5'), (''), ('x'), ('-87'), (NULL) AS t(raw)")
-        return rows.select("raw", nz.lenient_double(F.col("raw")).alias("value"))
+        text = F.when(F.col("o_orderkey") % 5 == 0, "").when(F.col("o_orderkey") % 7 == 0, "x")
+        text = text.otherwise(F.concat(F.col("o_custkey").cast("string"), F.lit(".5")))
+        return table(spark, sf_dir, "orders").select(
+            "o_orderkey", nz.lenient_double(text).alias("value")
+        )
+
+    @query(
+        "first_record_of_case",
+        "SELECT o_custkey::VARCHAR AS external_incident_id,"
+        " arg_min(o_orderpriority, o_orderkey) AS district FROM orders GROUP BY o_custkey",
+    )
+    def first_record_of_case(spark, sf_dir):
+        """Of the records of a case the one with the least numeric id describes the incident."""
+        known = {
+            "id": F.col("o_orderkey").cast("string"),
+            "case_number": F.col("o_custkey").cast("string"),
+            "district": F.col("o_orderpriority"),
+        }
+        kinds = {f.name: f.dataType for f in RAW}
+        raw = table(spark, sf_dir, "orders").select(
+            *(known.get(n, F.lit(None).cast(kinds[n])).alias(n) for n in RAW.names)
+        )
+        return nz.normalize(raw, "demo")[0].select("external_incident_id", "district")
 
     @query(
         "location_precision",
@@ -291,13 +331,20 @@ SELECT * FROM (VALUES
         where = nz.precision(F.col("lat"), F.col("lon")).alias("location_precision")
         return incidents(spark, sf_dir).groupBy(where).agg(F.count("*").alias("incident_count"))
 
-    @query("streaming_incremental")
+    @query(
+        "streaming_incremental",
+        "SELECT o_custkey::VARCHAR AS external_incident_id,"
+        " strftime(arg_min(o_orderdate, o_orderkey), '%Y-%m-%dT%H:%M:%S') AS occurred_at_raw"
+        " FROM orders GROUP BY o_custkey",
+    )
     def streaming_incremental(spark, sf_dir):
-        """Orders as raw records, streamed from files into a snapshot store; its incidents."""
-        from gridtally.sources.state import SnapshotStore
+        """Orders as raw records, streamed from files into a snapshot store; its incidents.
+
+        All records of a case are in one file, so the order of files is no matter.
+        """
+        from gridtally.sources.state import SnapshotStore, work_folder
 
-        home = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridtally-")
-        home = f"{home}/stream-{dt.datetime.now().timestamp()}"
+        home = f"{work_folder(spark)}/stream-{dt.datetime.now().timestamp()}"
         orders = table(spark, sf_dir, "orders")
         text = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
         known = {
@@ -312,7 +359,7 @@ SELECT * FROM (VALUES
         raw = orders.select(
             *(known.get(n, F.lit(None).cast(kinds[n])).alias(n) for n in RAW.names)
         )
-        raw.repartition(3, "id").write.json(f"{home}/raw")
+        raw.repartition(3, "case_number").write.json(f"{home}/raw")
         store = SnapshotStore(spark, f"{home}/store")
         incremental.ingest_stream(
             spark, f"{home}/raw", RAW, store, SourceConfig("demo"), f"{home}/checkpoint", FIRST

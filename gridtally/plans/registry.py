@@ -345,11 +345,11 @@ def period_comparison(spark, sf_dir):
     return summary.compare(found, PERIOD)
 
 
-def _breakdown_sql(where: str) -> str:
+def _breakdown_sql(where: str, limit: int = 20) -> str:
     return f"""
 SELECT source_category AS category, count(*) AS offense_count
 FROM offense JOIN incident ON incident_id = id WHERE {where}
-GROUP BY 1 ORDER BY offense_count DESC, category NULLS FIRST LIMIT 20"""
+GROUP BY 1 ORDER BY offense_count DESC, category NULLS FIRST LIMIT {limit}"""
 
 
 @query("category_breakdown", _breakdown_sql(SQL_YEAR))
@@ -449,11 +449,88 @@ def display_labels(spark, sf_dir):
     )
 
 
-@query("geojson_features")
+SQL_FEATURE = """'{"type":"Feature","geometry":{"type":"Point","coordinates":[' || lon::VARCHAR || ','
+       || lat::VARCHAR || ']},"properties":{'"""
+
+
+@query(
+    "geojson_features",
+    f"""
+SELECT {SQL_FEATURE} || '"id":' || id || ',"district":"' || district || '"}}}}' AS feature
+FROM incident WHERE lon IS NOT NULL""",
+)
 def geojson_features(spark, sf_dir):
     return display.geojson_points(incidents(spark, sf_dir), ["id", "district"])
 
 
+@query(
+    "geojson_collection",
+    f"""
+SELECT '{{"type":"FeatureCollection","features":[' || string_agg(feature, ',' ORDER BY feature)
+       || ']}}' AS collection
+FROM (SELECT {SQL_FEATURE} || '"id":' || id || '}}}}' AS feature
+      FROM (SELECT * FROM incident WHERE lon IS NOT NULL ORDER BY id LIMIT 500))""",
+)
+def geojson_collection(spark, sf_dir):
+    """A page of 500 incidents as a map client takes it."""
+    page = incidents(spark, sf_dir).where("lon IS NOT NULL").orderBy("id").limit(500)
+    return display.feature_collection(display.geojson_points(page, ["id"]))
+
+
+@query(
+    "grid_total",
+    "SELECT count(*)::BIGINT AS incident_count FROM incident WHERE lon IS NOT NULL AND lat IS NOT NULL",
+)
+def grid_total(spark, sf_dir):
+    """The sum of the counts of all cells, as a map shows it."""
+    return grid.total(queries()["grid_raw_0_05"](spark, sf_dir))
+
+
+@query("category_breakdown_top", _breakdown_sql(SQL_YEAR, 10))
+def category_breakdown_top(spark, sf_dir):
+    """The ten largest categories: the first rows of the breakdown."""
+    found, crimes = both(spark, sf_dir)
+    return summary.breakdown(in_days(found, *YEAR), crimes, 10)
+
+
+@query(
+    "areas_by_name",
+    "SELECT n_nationkey::VARCHAR AS code, n_name AS name FROM nation ORDER BY name, code",
+)
+def areas_by_name(spark, sf_dir):
+    names = table(spark, sf_dir, "nation")
+    code = F.col("n_nationkey").cast("string").alias("code")
+    return names.select(code, F.col("n_name").alias("name")).orderBy("name", "code")
+
+
+@query(
+    "calendar_labels",
+    "SELECT o_orderkey, strftime(o_orderdate, '%b %-d, %Y') AS label FROM orders",
+)
+def calendar_labels(spark, sf_dir):
+    label = display.calendar_label(F.col("o_orderdate")).alias("label")
+    return table(spark, sf_dir, "orders").select("o_orderkey", label)
+
+
+@query(
+    "offenses_with_codes",
+    """
+SELECT l_orderkey AS incident_id, l_linenumber AS line, r_name AS code_name
+FROM lineitem LEFT JOIN region ON l_linenumber = r_regionkey""",
+)
+def offenses_with_codes(spark, sf_dir):
+    """Offenses with the name of their code, where the reference table has it."""
+    coded = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("incident_id"),
+        F.col("l_linenumber").alias("line"),
+        F.col("l_linenumber").cast("string").alias("raw_offense_code"),
+    )
+    codes = table(spark, sf_dir, "region").select(
+        F.col("r_regionkey").cast("string").alias("code"), F.col("r_name").alias("name")
+    )
+    return listing.with_codes(coded, codes).select("incident_id", "line", "code_name")
+
+
 @query(
     "events_per_day",
     "SELECT date_trunc('day', ts)::DATE AS window_day, event_type, count(*) AS event_count"

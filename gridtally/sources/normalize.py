@@ -44,6 +44,23 @@ def fingerprint(df: DataFrame, fields: list[str] | None = None) -> Column:
     return F.sha2(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}), 256)
 
 
+def id_order(record: Column) -> Column:
+    """A key that orders record ids as numbers; ids that are none come last, as text."""
+    number = record.cast("string").try_cast("bigint")
+    return F.struct(number.isNull().alias("text"), number.alias("number"), record.cast("string"))
+
+
+def cursor_text(instant: Column) -> Column:
+    """A time as the source writes it in a cursor, with milliseconds."""
+    return F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss.SSS")
+
+
+def iso_instant(text: Column) -> Column:
+    """An ISO 8601 time as an instant; without an offset it is UTC, other text is null."""
+    zoned = F.when(text.rlike(r"(Z|[+-]\d\d:?\d\d)$"), text).otherwise(F.concat(text, F.lit("Z")))
+    return F.try_to_timestamp(zoned)
+
+
 def row_id(*parts: Column) -> Column:
     """A deterministic id: retried tasks make the same one."""
     return F.sha2(F.concat_ws("|", *parts), 256)
@@ -52,8 +69,8 @@ def row_id(*parts: Column) -> Column:
 def normalize(raw: DataFrame, source_id: str) -> tuple[DataFrame, DataFrame]:
     """Incidents, one per case number, and offenses, one per record.
 
-    Of several records of a case the one with the least id describes the
-    incident.  All its records stay offenses.
+    Of several records of a case the one with the least id, as a number, describes
+    the incident.  All its records stay offenses.
     """
     source = F.lit(source_id)
     lat, lon = lenient_double(F.col("latitude")), lenient_double(F.col("longitude"))
@@ -72,7 +89,7 @@ def normalize(raw: DataFrame, source_id: str) -> tuple[DataFrame, DataFrame]:
         F.col("community_area").alias("neighborhood"),
         "district",
         "beat",
-        F.col("id").alias("_record"),
+        id_order(F.col("id")).alias("_record"),
     )
     names = [c for c in records.columns if c != "_record"]
     incidents = (

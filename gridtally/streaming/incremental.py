@@ -37,8 +37,9 @@ def changed_since(
     since = F.from_utc_timestamp(since, zone) if zone else since
     later = F.col("updated_on") > since
     if after_id is not None:
-        later = later | ((F.col("updated_on") == since) & (F.col("id") > after_id))
-    return records.where(later).orderBy("updated_on", "id")
+        beyond = nz.id_order(F.col("id")) > nz.id_order(F.lit(after_id))
+        later = later | ((F.col("updated_on") == since) & beyond)
+    return records.where(later).orderBy("updated_on", nz.id_order(F.col("id")))
 
 
 def empty(spark: SparkSession, schema: StructType) -> DataFrame:

@@ -12,7 +12,7 @@ from gridtally.operators.grid import build_rollup
 from gridtally.operators.reconcile import SourceConfig
 from gridtally.sources.normalize import upsert_reference
 from gridtally.sources.schema import CITY_CONTRACT, Contract, check_schema
-from gridtally.sources.state import SnapshotStore
+from gridtally.sources.state import SnapshotStore, log_run
 from gridtally.streaming.incremental import OVERLAP, changed_since, full_run, ingest_batch
 
 TIMES = ("watermark",)
@@ -103,7 +103,8 @@ def refresh_rollup(store: SnapshotStore, strict: bool = True) -> int | None:
     """Rebuild the pre-aggregate from the current tables; its number of rows.
 
     The old one stays visible until the new one is written.  After an ingest a
-    failure is let pass (strict=False): the data is in, the map lags.
+    failure is logged as a failed run and let pass (strict=False): the data is in,
+    the map lags.
     """
     pointer = store.pointer()
     incidents, offenses = store.read("incidents", pointer), store.read("offenses", pointer)
@@ -114,7 +115,10 @@ def refresh_rollup(store: SnapshotStore, strict: bool = True) -> int | None:
         cube = build_rollup(incidents, offenses)
         store.commit({"rollup": cube.sortWithinPartitions("grid", "category", "month")})
         return store.read("rollup").count()
-    except Exception:
+    except Exception as error:
         if strict:
             raise
+        now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        run = {"run_id": f"rollup-{now.isoformat()}", "status": "failed", "error_message": str(error)[:500]}
+        store.commit({}, {"runs": log_run(store, run, now, now)})
         return None

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridtally.operators import reconcile as rec
 from gridtally.sources import normalize as nz
+from gridtally.sources import paged
 from gridtally.sources.paged import PagedSource
 from gridtally.sources.schema import CITY_CONTRACT, RAW, RUN, SOURCE_RECORD, check_schema
 from gridtally.sources.state import SnapshotStore, latest_run
@@ -218,6 +219,56 @@ def test_watermark_in_local_time(spark):
     assert incremental.changed_since(rows, edge, after_id="0").count() == 1
 
 
+def test_ids_are_numbers(spark):
+    rows = [tuple({"id": i, "case_number": "c", "block": f"b{i}"}.get(n) for n in RAW.names) for i in ("10", "x", "9")]
+    incident = nz.normalize(spark.createDataFrame(rows, RAW), "demo")[0].first()
+    assert incident["address_text"] == "b9"
+    at = dt.datetime(2024, 1, 1)
+    records = spark.createDataFrame([(i, at) for i in ("9", "10", "8")], "id string, updated_on timestamp")
+    since = incremental.changed_since(records, at, "9", overlap=dt.timedelta(0))
+    assert [r["id"] for r in since.collect()] == ["10"]
+
+
+def test_requests_are_repeated_or_refused(monkeypatch):
+    monkeypatch.setattr(paged, "PAUSE", 0)
+    answers = []
+
+    def ask(*errors):
+        answers[:] = errors
+        return paged.patient(lambda: answers.pop(0)() if answers else 7)
+
+    def fail(error):
+        def raised():
+            raise error
+        return raised
+
+    assert ask(fail(paged.FetchError("busy", 429)), fail(paged.FetchError("down", 503)), fail(TimeoutError())) == 7
+    with pytest.raises(paged.FetchError) as refused:
+        ask(fail(paged.FetchError("no", 404)))
+    assert refused.value.status == 404 and not answers
+    with pytest.raises(paged.FetchError):
+        ask(*[fail(ConnectionError("gone"))] * 4)
+
+
+def areas(after, limit, low, high):
+    return [{"code": str(i), "name": f"area {i}"} for i in range(23)][after : after + limit]
+
+
+def described():
+    return {"code": "string", "name": "string"}
+
+
+def test_reference_table_by_offset(spark):
+    spark.dataSource.register(PagedSource)
+    here = f"{__name__}:"
+    rows = (
+        spark.read.format("gridtally_pages")
+        .options(fetch=f"{here}areas", describe=f"{here}described", page="10")
+        .load()
+    )
+    assert rows.columns == ["code", "name"] and rows.distinct().count() == 23
+
+
 CALLS = []
 
 

@@ -80,6 +80,36 @@ def test_merged_tables(spark, store, monkeypatch):
     assert store.read("t").columns == ["id", "v"] and store.read("t").count() == 1
 
 
+def test_filters_reach_the_base_after_an_increment(spark, store):
+    shape = "id string, v int, w int"
+    store.commit(merged={"t": (spark.createDataFrame([(str(i), i, i) for i in range(50)], shape), ["id"])})
+    store.commit(merged={"t": (spark.createDataFrame([("7", 70, 0), ("99", 99, 0)], shape), ["id"])})
+    store.commit(merged={"t": (spark.createDataFrame([("7", 71, 0)], shape), ["id"])})
+    asked = store.read("t").where("v > 45").select("id", "v")
+    assert {tuple(r) for r in asked.collect()} == {*((str(i), i) for i in range(46, 50)), ("7", 71), ("99", 99)}
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    base = next(x for x in plan.splitlines() if "FileScan" in x and "GreaterThan(v,45)" in x)
+    assert "w" not in base.split("ReadSchema:")[1]
+
+
+def test_two_writers_lose_nothing(spark, store, monkeypatch):
+    one = spark.createDataFrame([("a", 1)], "id string, v int")
+    store.commit({"t": one})
+    stale = store.pointer() | {"version": 0}
+    real, seen = store.pointer, []
+    monkeypatch.setattr(store, "pointer", lambda: real() if seen else seen.append(1) or stale)
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.commit({"t": one.withColumn("v", F.lit(2))})
+    assert store.read("t").first()["v"] == 1
+
+
+def test_vacuum_keeps_the_current_version(spark, store):
+    for n in range(3):
+        store.commit({"t": spark.createDataFrame([("a", n)], "id string, v int")})
+    assert store.vacuum() == 2 and store.vacuum() == 0
+    assert store.read("t").first()["v"] == 2
+
+
 def test_hold_stops_evidence(spark, store):
     jobs.save_config(store, held(SourceConfig("demo")))
     run = jobs.complete_run(store, raw(spark, record(1)), "demo", "r1", NOW, confirm=True)
