@@ -44,15 +44,76 @@ SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
+# How the library's Unicode tables differ from Python's (15.1), as hexadecimal
+# code points and ranges of them.  Letters and numbers that it knows and Python does not:
+NEWER_LETTERS = (
+    "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389"
+    " 1138B 1138E 11390-113B5 113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C"
+    " 18CFF 1E5D0-1E5ED 1E5F0"
+)
+NEWER_NUMBERS = (
+    "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+)
+# Capitals, each run with the first of their small letters:
+NEWER_CAPITALS = (
+    "1C89=1C8A A7CB=264 A7CC=A7CD A7CE=A7CF A7D2=A7D3 A7D4=A7D5 A7DA=A7DB A7DC=19B"
+    " 10D50-10D65=10D70 16EA0-16EB8=16EBB"
+)
+# Combining marks that it takes for characters of their own when it orders marks:
+OWN_MARKS = (
+    "7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27"
+    " 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 1193D-1193E"
+    " 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F"
+    " 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
+)
+
+
+def listed(ranges: str) -> list[int]:
+    """The code points of hexadecimal ranges."""
+    ends = [[int(x, 16) for x in r.split("-")] for r in ranges.split()]
+    return [c for r in ends for c in range(r[0], r[-1] + 1)]
+
+
+def small_letters() -> dict[int, int]:
+    """Capitals whose small letters Python does not know."""
+    found = {}
+    for run in NEWER_CAPITALS.split():
+        capitals, first = run.split("=")
+        found |= {c: int(first, 16) + i for i, c in enumerate(listed(capitals))}
+    return found
+
+
+@lru_cache(1)
+def major_classes() -> np.ndarray:
+    """The first letter of each code point's category, as the library has it."""
+    majors = np.array([unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1)])
+    majors[listed(NEWER_LETTERS)] = "L"
+    majors[listed(NEWER_NUMBERS)] = "N"
+    return majors
+
+
 def code_ranges(major: str) -> str:
     """The inside of a character class: all code points whose category starts with major."""
-    inside = [unicodedata.category(chr(c))[0] == major for c in range(sys.maxunicode + 1)]
+    inside = major_classes() == major
     edges = np.flatnonzero(np.diff(np.array([False, *inside, False], np.int8)))
     return "".join(
         f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())
     )
 
 
+#: Small letters one by one, so that a final sigma stays an ordinary one.
+SMALL = {ord("Σ"): "σ", **small_letters()}
+OWN_MARK = re.compile("([" + "".join(map(chr, listed(OWN_MARKS))) + "])")
+CAPITAL = re.compile("[" + "".join(map(chr, SMALL)) + "]")
+
+
+def composed(text: str) -> str:
+    """The text in normal form C; at marks that are characters of their own it starts anew."""
+    if OWN_MARK.search(text):
+        return "".join(unicodedata.normalize("NFC", x) for x in OWN_MARK.split(text))
+    return unicodedata.normalize("NFC", text)
+
+
 @lru_cache(1)
 def class_table() -> dict[str, str]:
     return {r"\p{L}": code_ranges("L"), r"\p{N}": code_ranges("N"), r"\s": SPACES}
@@ -180,8 +241,10 @@ class WordCodec(dict):
         return merge_parts([*map(self.first.__getitem__, front), self.last[end]], self.merges)
 
     def plain(self, text: str) -> bytes:
-        # Letters are lowered one by one, so a final sigma stays an ordinary one.
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if not text.isascii():
+            text = composed(text)
+            text = text.translate(SMALL) if CAPITAL.search(text) else text
+        text = text.lower()
         if any(c in text for c in SEPARATORS):
             pieces = filter(None, re.split(f"[{SPACES}]+", text))
         else:

@@ -364,7 +364,11 @@ def scores(docs: DataFrame, held_out: Column, deleted: Column) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", fold.alias("fold"))
     chunks = stored(chunked(texts), "lm-chunks")
     owners = max(1, -(-(chunks.agg(F.sum("n_tokens")).first()[0] or 0) // OWNER_TOKENS))
-    answers = stored(answered(asked(chunks, owners)), "lm-answers")
+    # Groups are not split, so tasks follow the number of owners and chunks, which grow with the
+    # bytes, and not a setting.
+    parts = 2 * owners
+    answers = stored(answered(asked(chunks, owners).repartition(parts, "owner")), "lm-answers")
+    pieces = 2 * max(1, chunks.count())
     sizes = texts.groupBy("fold").agg(F.count("*").alias("n")).collect()
     begins = {r["fold"]: r["n"] for r in sizes}
     kept_docs, all_docs = begins.get(KEPT, 0), begins.get(KEPT, 0) + begins.get(DELETED, 0)
@@ -393,7 +397,8 @@ def scores(docs: DataFrame, held_out: Column, deleted: Column) -> DataFrame:
         return pa.table({"cell": found, "n": number.astype(np.int64)})
 
     held = (
-        chunks.where("is_deleted").groupBy("chunk").cogroup(answers.groupBy("chunk"))
+        chunks.where("is_deleted").repartition(pieces, "chunk").groupBy("chunk")
+        .cogroup(answers.repartition(pieces, "chunk").groupBy("chunk"))
         .applyInArrow(cells, "cell long, n long")
         .groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").collect()
     )
@@ -422,8 +427,9 @@ def scores(docs: DataFrame, held_out: Column, deleted: Column) -> DataFrame:
         return pa.table({f: pa.array(c, t) for (f, t), c in zip(RESULT, columns)})
 
     return (
-        chunks.groupBy("chunk")
-        .cogroup(answers.groupBy("chunk"))
+        chunks.repartition(pieces, "chunk")
+        .groupBy("chunk")
+        .cogroup(answers.repartition(pieces, "chunk").groupBy("chunk"))
         .applyInArrow(
             scored,
             "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double,"

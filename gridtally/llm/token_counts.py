@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from array import array
 from functools import lru_cache
 from pathlib import Path
@@ -40,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridtally.llm.bpe import ID_BITS, byte_letters, merge_parts
+from gridtally.llm.bpe import ID_BITS, byte_letters, major_classes, merge_parts
 from gridtally.llm.common import text_slices
 
 #: Bytes of text read side by side at once, and the length of a chunk.
@@ -91,10 +90,8 @@ def splitter_tables() -> tuple[np.ndarray, np.ndarray]:
 def letter_classes() -> np.ndarray:
     """LETTER, NUMBER, SPACE or OTHER of every code point."""
     kinds = np.full(0x110000, OTHER, np.uint8)
-    for c in range(0x110000):
-        major = unicodedata.category(chr(c))[0]
-        if major in "LN":
-            kinds[c] = LETTER if major == "L" else NUMBER
+    kinds[major_classes() == "L"] = LETTER
+    kinds[major_classes() == "N"] = NUMBER
     spaces = "\t\n\x0b\x0c\r \x85\xa0     　"
     kinds[[*map(ord, spaces), *range(0x2000, 0x200B)]] = SPACE
     return kinds

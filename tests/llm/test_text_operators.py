@@ -1,6 +1,7 @@
 """BPE, token counts and pseudonyms against the library, and by exact round trips."""
 
 import random
+import unicodedata
 
 import public_tokenizers
 import pytest
@@ -197,3 +198,22 @@ def test_very_long_text():
     text = ("word " * 50_000 + "4111111111111111 ") * 3
     fresh, kinds = pii.pseudonymised(text, pii.Cipher(b"k"))
     assert kinds == {"card": 3} and len(fresh) == len(text)
+
+
+def test_all_code_points_and_marks_as_the_library_has_them():
+    """Every code point between letters, and random texts of all planes with marks among them."""
+    draw = random.Random(4)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    words = Tokenizer.from_file(WORDS)
+    own = bpe.WordCodec(WORDS)
+    texts = [" ".join(f"a{chr(c)}b 1{chr(c)} {chr(c)}" for c in points[k : k + 4096]) for k in range(0, len(points), 4096)]
+    marks = [c for c in points if unicodedata.combining(chr(c))] + [0x345, 0x301, 0x61, 0xE1, 0x1161]
+    texts += ["".join(chr(draw.choice(marks)) for _ in range(draw.randrange(1, 7))) for _ in range(20_000)]
+    texts += ["".join(chr(draw.choice(points)) for _ in range(12)) for _ in range(30_000)]
+    theirs = words.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, x in zip(texts, theirs) if own.encode(t).tolist() != x.ids] == []
+    counter = Tokenizer.from_file(BYTES)
+    machine = token_counts.Merger(BYTES)
+    found = token_counts.counts([t.encode() for t in texts], machine)
+    theirs = counter.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, n, x in zip(texts, found.tolist(), theirs) if n != len(x.ids)] == []
