@@ -40,6 +40,8 @@ CELL_ROWS = 1024
 #: beyond that cells grow, and are cut into parts of CELL_ROWS when they are searched.
 SAMPLE_ROWS = 40_000
 MOST_CELLS = 16_384
+#: Most tasks of a pass; beyond that a task searches more cells, one after the other.
+MOST_TASKS = 65_536
 CONFIDENCE = 0.99
 BLOCK = 128
 SEED = 7
@@ -231,10 +233,10 @@ def neighbours(
     points = stored(
         firsts.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")), "ann-points"
     )
-    asked = stored(
-        rows.where("asked").select("id", "vector").distinct().withColumn(
-            "query", F.min("id").over(Window.partitionBy("vector"))), "ann-asked"
-    )
+    # Written before it is joined back, so that Spark can split a vector that many queries have.
+    wanted = rows.where("asked").select("id", "vector").distinct()
+    leads = stored(wanted.groupBy("vector").agg(F.min("id").alias("query")), "ann-leads")
+    asked = stored(wanted.join(leads, "vector").select("id", "vector", "query"), "ann-asked")
 
     n = points.count()
     if not n:
@@ -299,7 +301,7 @@ def neighbours(
         sent_out = questions.mapInArrow(sent(home), form)
         return (
             index.unionByName(sent_out)
-            .repartition(max(8, min(4096, n * 4 // CELL_ROWS)), "cell", "part")
+            .repartition(max(8, min(MOST_TASKS, n * 4 // CELL_ROWS)), "cell", "part")
             .sortWithinPartitions("cell", "part", "is_query", F.col("ids")[0])
             .mapInArrow(search_cells(size, k + 1, limit, seed), "query long, vec_id long, score double")
         )

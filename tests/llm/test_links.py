@@ -175,6 +175,17 @@ def x32(rows, i):
     return np.array(rows[i][1], float)
 
 
+def test_recall_on_the_table(spark, monkeypatch):
+    """The query's own table, in a tree of some thirty cells."""
+    monkeypatch.setattr(ann, "CELL_ROWS", 64)
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    ours, theirs = searched(df), slow_neighbours(rows, lambda i: i % 50 == 0)
+    assert ours.keys() == theirs.keys()
+    hits = sum(len({i for i, _ in ours[q]} & {i for i, _ in theirs[q]}) for q in theirs)
+    assert hits / sum(len(v) for v in theirs.values()) >= 0.9
+
+
 def test_neighbour_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(0, 300, 10)]  # equal: ties to the smaller id
