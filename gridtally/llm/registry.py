@@ -97,7 +97,7 @@ def op8_toxicity(spark, sf_dir):
     scored = toxicity.toxicity_scores(docs, toxicity.train(docs, learned), "score")
     return scored.select(
         "doc_id",
-        (fold(3) == 1).alias("held_out"),
+        F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )

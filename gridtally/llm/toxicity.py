@@ -15,7 +15,8 @@ with every window of every text.
 
 Null texts count as empty.  A text without words has one window of padding, so
 it gets a score too.  Without labels of both kinds every score is the share of
-label 1.  Equal texts get equal scores.
+label 1.  Equal texts get equal scores, so ties need no order.  Of several texts of
+one labelled doc_id the greatest is learned from.  An empty table has no scores.
 """
 
 from __future__ import annotations
@@ -381,11 +382,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not ids:
         return Model().fit([], np.empty(0), np.empty(0))
     chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
-    rows = sorted(
-        {r["doc_id"]: r for r in sorted(rows, key=lambda r: r["text"] or "")}.values(),
-        key=lambda r: r["doc_id"],
+    # One row of each doc_id reaches the driver, however often it is repeated.
+    rows = (
+        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        .join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "toxic")
+        .agg(F.max("text").alias("text"))
     )
+    rows = sorted(rows.collect(), key=lambda r: r["doc_id"])
     found = np.array([r["toxic"] for r in rows], np.float32)
     share = np.array([counted[int(k)] / max((found == k).sum(), 1) for k in found])
     return Model().fit([r["text"] for r in rows], found, share / share.mean())

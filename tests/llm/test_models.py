@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridtally.llm import lm_score, toxicity, url_filter
+from gridtally.llm import lm_score, registry, toxicity, url_filter
 
 
 # -- urls ------------------------------------------------------------------------------
@@ -159,6 +159,55 @@ def test_held_out_toxicity(tables):
     assert again.scores(["some text here"])[0] == pytest.approx(model.scores(["some text here"])[0], abs=1e-6)
 
 
+def slow_toxicity(model, text):
+    """The score of one text, window by window and word by word."""
+    p, size = {k: v.astype(float) for k, v in model.net.p.items()}, toxicity.HIDDEN
+    words = re.findall(r"\w+", (text or "").lower())
+
+    def vector(word):
+        marked = f"<{word}>"
+        codes = [(ord(a) * 961 + ord(b) * 31 + ord(c)) * 2_654_435_761 for a, b, c in zip(marked, marked[1:], marked[2:])]
+        chars = np.mean([p["char"][(c >> 12) % toxicity.CHAR_BUCKETS] for c in codes], 0)
+        return np.append(p["word"][model.vocabulary.get(word, toxicity.UNKNOWN)], chars)
+
+    def states(vectors, way):
+        h, found = np.zeros(size), []
+        for x in vectors:
+            x, u = x @ p["W" + way] + p["c" + way], h @ p["U" + way]
+            reset, update = (1 / (1 + np.exp(-(x + u)[k * size : (k + 1) * size])) for k in (0, 1))
+            fresh = np.tanh(x[2 * size :] + reset * u[2 * size :])
+            h = update * h + (1 - update) * fresh
+            found.append(h)
+        return found
+
+    worst, first = -math.inf, 0
+    while True:
+        vectors = [vector(w) for w in words[first : first + toxicity.WINDOW]]
+        ahead, back = states(vectors, "f"), states(vectors[::-1], "b")[::-1]
+        both = [np.append(a, b) for a, b in zip(ahead, back)] or [np.zeros(2 * size)]
+        share = np.array([math.exp(s @ p["attend"]) for s in both])
+        pool = sum(w * s for w, s in zip(share / share.sum(), both))
+        worst = max(worst, float(pool @ p["out"] + p["bias"][0]))
+        first += toxicity.STRIDE
+        if first + toxicity.WINDOW - toxicity.STRIDE >= len(words):
+            return 1 / (1 + math.exp(-(model.scale * worst + model.offset)))
+
+
+def test_scores_equal_a_slow_reader(tables):
+    docs, labels = tables
+    model = toxicity.train(docs, labels, sample=150)
+    texts = [r["text"] for r in docs.orderBy(F.xxhash64("doc_id")).limit(25).collect()]
+    texts += [None, "", "!!", "one", "ÀÉ 漢字 🙂 x", " ".join(f"w{i}" for i in range(24)), " ".join(f"w{i}" for i in range(37))]
+    assert model.scores(texts) == pytest.approx([slow_toxicity(model, t) for t in texts], abs=1e-4)
+
+
+def test_held_out_is_never_null(spark, tmp_path):
+    rows = [(None, "a b", "x"), (1, "c", "x"), (1, "d", "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, held_out string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (None, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {r["held_out"] for r in registry.op8_toxicity(spark, str(tmp_path)).collect()} <= {True, False}
+
+
 def test_long_text_has_a_late_window(tables):
     docs, labels = tables
     model = toxicity.train(docs, labels)
@@ -266,6 +315,33 @@ def test_lm_mixture_is_a_distribution():
     assert np.allclose(weights.sum(1), 1) and (weights >= 0).all() and weights[0, 0] == 0
 
 
+def test_weights_make_held_out_counts_likeliest():
+    """Against plain expectation-maximisation, and against all mixtures on a grid."""
+    draw, n, v, size = np.random.default_rng(3), 100_000, 5000, lm_score.CLASSES
+    cells = {(int(a), int(b)): int(c) for a, b, c in zip(draw.integers(0, 14, 60), draw.integers(1, 20, 60), draw.zipf(1.6, 60) % 999)}
+
+    def chances(pair, word):
+        own = 2 ** ((word - 0.5) / 2)
+        return (2 ** -((pair - 0.5) / 2) if pair else 0.0, own / n, (own + 1) / (n + v + 1))
+
+    def likelihood(w):
+        return sum(c * math.log(sum(x * p for x, p in zip(w, chances(*k)))) for k, c in cells.items())
+
+    weights = [0.3, 0.3, 0.4]
+    for _ in range(lm_score.STEPS):
+        total = [0.3e-3, 0.3e-3, 0.4e-3]
+        for k, c in cells.items():
+            parts = [w * p for w, p in zip(weights, chances(*k))]
+            total = [t + c * x / sum(parts) for t, x in zip(total, parts)]
+        weights = [t / sum(total) for t in total]
+    keys = sorted(cells)
+    numbers = np.array([(5 * size + a) * size + b for a, b in keys], np.int64)
+    found = lm_score.mixture_weights(numbers, np.array([cells[k] for k in keys]), n, v)
+    assert found[5] == pytest.approx(weights, rel=1e-9)
+    grid = [(a / 40, b / 40, (40 - a - b) / 40) for a in range(1, 39) for b in range(1, 40 - a)]
+    assert likelihood(found[5]) >= max(map(likelihood, grid)) - 1e-3 * abs(likelihood(found[5]))
+
+
 def test_lm_edges(spark):
     form = "doc_id long, text string"
     assert lm(spark.createDataFrame([], form)).count() == 0
