@@ -2,6 +2,7 @@
 
 import random
 import unicodedata
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -128,6 +129,31 @@ def test_pseudonyms_undo():
     assert pii.pseudonymised(text, pii.Cipher(b"other"))[0] != fresh
 
 
+def test_texts_equal_pseudonyms_value_by_value():
+    """Random texts put together from plain words and values, against each value's own pseudonym."""
+    draw, own = random.Random(7), pii.Cipher(b"k")
+    digits = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
+
+    def card():
+        payload = "4" + digits(14)
+        return payload + str(pii.luhn_digit(payload))
+
+    makers = {
+        "card": card,
+        "ssn": lambda: f"{draw.randint(100, 600)}-{draw.randint(10, 99)}-{draw.randint(1000, 9999)}",
+        "date": lambda: f"{draw.randint(1900, 2099)}-{draw.randint(1, 12):02d}-{draw.randint(1, 28):02d}",
+        "ipv4": lambda: ".".join(str(draw.randint(0, 255)) for _ in range(4)),
+        "phone": lambda: f"({digits(3)}) {digits(3)}-{digits(4)}",
+        "email": lambda: f"{draw.choice('abcxyz')}{digits(2)}.q@mail.example.org",
+    }
+    for _ in range(300):
+        parts = [(k, makers[k]()) for k in draw.choices(list(makers), k=draw.randint(0, 6))]
+        text = "start " + " and then ".join(v for _, v in parts) + " end"
+        theirs = "start " + " and then ".join(getattr(own, k)(v) for k, v in parts) + " end"
+        fresh, kinds = pii.pseudonymised(text, own)
+        assert fresh == theirs and kinds == Counter(k for k, _ in parts)
+
+
 def test_equal_values_stay_linked():
     own = pii.Cipher(b"k")
     digits = [pii.digits_of(own.card(c)) for c in ("4111111111111111", "4111 1111 1111 1111")]
