@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -221,18 +222,25 @@ def reconcile(
     complete: bool,
     reported: int | None = None,
     schema_valid: bool = True,
+    stage: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> Reconciled:
-    """One run: two counting jobs settle what absence means; the rest is left to be written."""
-    found = outcomes(fetched, state)
+    """One run: two counting jobs settle what absence means; the rest is left to be written.
+
+    All steps read what was found, so stage may write it once.  Without complete
+    there is no absence to count, and the state holds the fetched records only.
+    """
+    found = stage(outcomes(fetched, state))
+    if not complete:
+        state = state.join(found.select("external_record_id"), "external_record_id", "left_semi")
     counts = counters(found).first().asDict()
     if complete:
         verdict = judge_run(config, counts["records_received"], reported, schema_valid)
     else:
         verdict = Verdict("not_evaluated", None, False, config.baseline, None)
-    gone = missing(state, fetched).count() if verdict.evidence else 0
+    gone = missing(state, found).count() if verdict.evidence else 0
     return Reconciled(
         merge_state(
-            state, fetched, config.source_id, observed_at, verdict.evidence, config.missing_limit
+            state, found, config.source_id, observed_at, verdict.evidence, config.missing_limit
         ),
         new_versions(found, config.source_id, run_id, observed_at, payload),
         found,

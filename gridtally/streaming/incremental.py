@@ -59,7 +59,10 @@ def ingest_batch(
 ) -> dict:
     """Reconcile raw records, normalise what is new, and commit all tables at once.
 
-    A failure logs a failed run beside the old tables and is raised again.
+    The raw records are written once beside the store and so are their outcomes, which
+    all tables are made from.  Records without an id have no key: they are left out, and
+    the run's message says how many.  A failure logs a failed run beside the old tables
+    and is raised again.
     """
     spark, pointer = store.spark, store.pointer()
     held = pointer["config"]
@@ -75,51 +78,54 @@ def ingest_batch(
     base = held.get(f"baseline:{config.source_id}", config.baseline)
     config = reconcile.replace(config, baseline=base)
     try:
-        raw = raw.persist()
-        last = reconcile.dedupe_last(raw, "id", F.col("updated_on"), nz.fingerprint(raw))
-        fetched = last.withColumn("external_record_id", F.col("id").cast("string")).withColumn(
-            "fingerprint", nz.fingerprint(last, nz.FINGERPRINTED)
-        )
-        payload = F.to_json(F.struct(*raw.columns), {"ignoreNullFields": "false"})
-        # Without absence to count, only the records of this batch can change.
-        own = state if complete else state.join(
-            fetched.select("external_record_id"), "external_record_id", "left_semi"
-        )
-        done = reconcile.reconcile(
-            own, fetched, config, run_id, observed_at, payload, complete, reported
-        )
-        fresh = done.found.where(F.col("kind").isin("created", "changed"))
-        new_incidents, new_offenses = nz.normalize(fresh, config.source_id)
-        known = offenses.join(new_offenses.select("id"), "id", "left_semi")
-        if incident_policy == "first_wins":
-            new_incidents = new_incidents.join(incidents.select("id"), "id", "left_anti")
-        elif incident_policy != "latest_wins":
-            raise ValueError(incident_policy)
-        run = done.run
-        verdict_base = config.baseline
-        if run["plausibility_status"] == "plausible":
-            verdict_base = run["records_received"]
-        keep = held | {f"baseline:{config.source_id}": verdict_base}
-        if stream:
-            keep[f"batch:{stream[0]}"] = stream[1]
-        store.commit(
-            {},
-            {"versions": done.versions, "runs": log_run(store, run, observed_at, observed_at)},
-            keep,
-            {
-                "source_records": (done.state, ["source_id", "external_record_id"]),
-                "incidents": (new_incidents, ["id"]),
-                "offenses": (nz.merge_offenses(known, new_offenses), ["id"]),
-            },
-        )
+        with store.staging() as stage:
+            raw = stage(raw, "raw")
+            keyed = raw.where("id IS NOT NULL")
+            last = reconcile.dedupe_last(keyed, "id", F.col("updated_on"), nz.fingerprint(raw))
+            fetched = last.withColumns(
+                {
+                    "external_record_id": F.col("id").cast("string"),
+                    "fingerprint": nz.fingerprint(last, nz.FINGERPRINTED),
+                }
+            )
+            payload = F.to_json(F.struct(*raw.columns), {"ignoreNullFields": "false"})
+            done = reconcile.reconcile(
+                state, fetched, config, run_id, observed_at, payload, complete, reported,
+                stage=lambda found: stage(found, "found"),
+            )
+            run = done.run
+            nameless = raw.where("id IS NULL").count()
+            if nameless:
+                run["error_message"] = f"{nameless} records without id left out"
+            fresh = done.found.where(F.col("kind").isin("created", "changed"))
+            new_incidents, new_offenses = nz.normalize(fresh, config.source_id)
+            known = offenses.join(new_offenses.select("id"), "id", "left_semi")
+            if incident_policy == "first_wins":
+                new_incidents = new_incidents.join(incidents.select("id"), "id", "left_anti")
+            elif incident_policy != "latest_wins":
+                raise ValueError(incident_policy)
+            verdict_base = config.baseline
+            if run["plausibility_status"] == "plausible":
+                verdict_base = run["records_received"]
+            keep = held | {f"baseline:{config.source_id}": verdict_base}
+            if stream:
+                keep[f"batch:{stream[0]}"] = stream[1]
+            store.commit(
+                {},
+                {"versions": done.versions, "runs": log_run(store, run, observed_at, observed_at)},
+                keep,
+                {
+                    "source_records": (done.state, ["source_id", "external_record_id"]),
+                    "incidents": (new_incidents, ["id"]),
+                    "offenses": (nz.merge_offenses(known, new_offenses), ["id"]),
+                },
+            )
         return run
     except Exception as error:
         run = {"run_id": run_id, "source_id": config.source_id, "status": "failed"}
         run |= {"error_message": str(error)[:500], "is_complete": False}
         store.commit({}, {"runs": log_run(store, run, observed_at, observed_at)})
         raise
-    finally:
-        raw.unpersist()
 
 
 def ingest_stream(

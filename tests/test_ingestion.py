@@ -170,6 +170,27 @@ def test_failed_run_keeps_old_tables(spark, store):
     assert set(states(store)) == {"1", "2"}
 
 
+def test_source_is_read_once_and_null_ids_are_told(spark, store):
+    config = rec.SourceConfig("demo")
+    rows = raw(spark, record(1), record(2), record(1)).withColumn("block", F.expr("uuid()"))
+    nameless = raw(spark, record(3)).withColumn("id", F.lit(None).cast("string"))
+    run = incremental.full_run(store, rows.unionByName(nameless), config, "r1", DAY)
+    assert (run["records_received"], run["error_message"]) == (2, "1 records without id left out")
+    versions = {r["external_record_id"]: r["fingerprint"] for r in store.read("versions").collect()}
+    assert versions == {k: r["current_fingerprint"] for k, r in states(store).items()}
+    assert store.read("incidents").count() == store.read("offenses").count() == 2
+    left = store._fs.listStatus(store._path(store.root))
+    assert not [x for x in left if x.getPath().getName().startswith("stage-")]
+
+
+def test_latest_run_of_equal_times(spark):
+    rows = spark.createDataFrame(
+        [("demo", r, "completed", DAY, DAY) for r in "bca"],
+        "source_id string, run_id string, status string, started_at timestamp, completed_at timestamp",
+    )
+    assert latest_run(rows, "demo").first()["run_id"] == "c"
+
+
 def test_latest_wins(spark):
     shape = "id string, v int"
     known = spark.createDataFrame([("a", 1), ("b", 1)], shape)
