@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from gridtally.llm import (
     ann,
     bpe,
+    clusters,
+    line_dedup,
     lm_score,
     media,
     mixing,
     near_dedup,
+    phrases,
     pii,
     token_counts,
     toxicity,
@@ -131,6 +134,18 @@ def op10_media(spark, sf_dir):
     )
 
 
+def op11_phrases(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op13_clusters(spark, sf_dir):
+    return clusters.clusters(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {
         "op1_url_filter": op1_url_filter,
@@ -143,8 +158,17 @@ def queries():
         "op8_toxicity": op8_toxicity,
         "op9_lm_score": op9_lm_score,
         "op10_media": op10_media,
+        "op11_phrases": op11_phrases,
+        "op12_line_dedup": op12_line_dedup,
+        "op13_clusters": op13_clusters,
     }
 
 
 def oracle_sql():
-    return {"op3_mixing": mixing.report_sql(), "op7_near_dedup": NEAR_SQL}
+    return {
+        "op3_mixing": mixing.report_sql(),
+        "op7_near_dedup": NEAR_SQL,
+        "op11_phrases": phrases.PHRASES_SQL,
+        "op12_line_dedup": line_dedup.REPORT_SQL,
+        "op13_clusters": clusters.CLUSTERS_SQL,
+    }
