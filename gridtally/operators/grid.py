@@ -15,6 +15,10 @@ CATEGORY_LIMIT = 20
 ROLLUP_GRIDS = (0.05, 0.02)
 BREAKDOWN_GRID = 0.05
 SNAP = 0.1
+ROLLUP_KEY = ["source_id", "grid", "cell_lon", "cell_lat", "month", "category"]
+MEASURES = ["n", "sum_lon", "sum_lat"]
+#: Of a coordinate, to a tenth of a millimetre, and of sums of them.
+PLACE, SUM = "decimal(12,9)", "decimal(38,9)"
 
 
 def grid_for_zoom(zoom: float) -> float:
@@ -80,36 +84,78 @@ def cell_centre(degrees: Column, grid: Column) -> Column:
     return F.floor(degrees / grid) * grid + grid / 2
 
 
-def build_rollup(incidents: DataFrame, offenses: DataFrame, grids=ROLLUP_GRIDS) -> DataFrame:
-    """The pre-aggregate: (source, grid, cell, month[, category]) with count and mean place.
+def rollup_cells(incidents: DataFrame, offenses: DataFrame, grids=ROLLUP_GRIDS) -> DataFrame:
+    """The parts that add up to a pre-aggregate: a row per incident, grid and category.
 
-    Rows of null category count incidents; the others count incident-offense
-    pairs of a known category.  Only located, dated incidents enter, so a
-    breakdown from here leaves out what has no place.  Both grids come from one
-    scan: each incident is expanded to its cells, then counted twice.
+    Rows of null category count incidents, in all grids; the others count
+    incident-offense pairs of a known category.  Only located, dated incidents enter.
+    Places are decimals, so that sums are exact and can be taken back.  The incidents
+    are read and joined once: an incident is expanded to its categories, null first,
+    with the number of its offenses of each.
     """
-    cells = (
-        incidents.where("lon IS NOT NULL AND lat IS NOT NULL AND occurred_at IS NOT NULL")
-        .select(
-            "id",
-            "source_id",
-            "lon",
-            "lat",
-            F.date_trunc("month", "occurred_at").cast("date").alias("month"),
-            F.explode(F.array(*map(F.lit, grids))).alias("grid"),
-        )
-        .withColumns({f"cell_{c}": cell_centre(F.col(c), F.col("grid")) for c in ("lon", "lat")})
+    pairs = (
+        offenses.where(F.col("source_category").isNotNull())
+        .groupBy(F.col("incident_id").alias("id"), F.col("source_category").alias("category"))
+        .agg(F.count("*").alias("n"))
     )
-    key = ["source_id", "grid", "cell_lon", "cell_lat", "month"]
-    measures = [
-        F.count("*").alias("n"), F.avg("lon").alias("mean_lon"), F.avg("lat").alias("mean_lat")
-    ]
-    whole = cells.groupBy(*key).agg(*measures).withColumn("category", F.lit(None).cast("string"))
-    known = offenses.where(F.col("source_category").isNotNull()).select(
-        F.col("incident_id").alias("id"), F.col("source_category").alias("category")
+    known = pairs.groupBy("id").agg(F.collect_list(F.struct("category", "n")).alias("_kinds"))
+    placed = incidents.where("lon IS NOT NULL AND lat IS NOT NULL AND occurred_at IS NOT NULL").select(
+        "id", "source_id", "lon", "lat", F.date_trunc("month", "occurred_at").cast("date").alias("month")
     )
-    parts = cells.join(known, "id").groupBy(*key, "category").agg(*measures)
-    return whole.unionByName(parts)
+    kinds = "array<struct<category:string,n:bigint>>"
+    whole = F.array(F.struct(F.lit(None).alias("category"), F.lit(1).alias("n"))).cast(kinds)
+    every = F.concat(whole, F.coalesce("_kinds", F.array().cast(kinds)))
+    spread = placed.join(known, "id", "left").withColumn("kind", F.explode(every))
+    spread = spread.withColumn("grid", F.explode(F.array(*map(F.lit, grids))))
+    times = F.col("kind.n").cast("decimal(19,0)")
+    return spread.select(
+        "source_id",
+        "grid",
+        *(cell_centre(F.col(c), F.col("grid")).alias(f"cell_{c}") for c in ("lon", "lat")),
+        "month",
+        "kind.category",
+        "kind.n",
+        *((F.col(c).cast(PLACE) * times).cast(SUM).alias(f"sum_{c}") for c in ("lon", "lat")),
+    )
+
+
+def added_up(parts: DataFrame) -> DataFrame:
+    """Parts with one row per key; what has been taken back whole is gone."""
+    sums = [F.sum(c).cast(parts.schema[c].dataType).alias(c) for c in MEASURES]
+    return parts.groupBy(*ROLLUP_KEY).agg(*sums).where("n <> 0")
+
+
+def rollup_parts(incidents: DataFrame, offenses: DataFrame, grids=ROLLUP_GRIDS) -> DataFrame:
+    """The pre-aggregate as counts and exact sums."""
+    return added_up(rollup_cells(incidents, offenses, grids))
+
+
+def rollup_delta(
+    before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame], grids=ROLLUP_GRIDS
+) -> DataFrame:
+    """What turns the pre-aggregate of before into that of after, each (incidents, offenses).
+
+    Both hold the incidents that changed, whole, with all their offenses, before and
+    after: what they counted is taken back and what they count is added.
+    """
+    gone = rollup_cells(*before, grids)
+    gone = gone.withColumns({c: (-F.col(c)).cast(gone.schema[c].dataType) for c in MEASURES})
+    return added_up(gone.unionByName(rollup_cells(*after, grids)))
+
+
+def with_means(parts: DataFrame) -> DataFrame:
+    """The pre-aggregate from parts: (source, grid, cell, month, category), n, mean place."""
+    whole = added_up(parts)
+    means = ((F.col(f"sum_{c}").cast("double") / F.col("n")).alias(f"mean_{c}") for c in ("lon", "lat"))
+    return whole.select("source_id", "grid", "cell_lon", "cell_lat", "month", "n", *means, "category")
+
+
+def build_rollup(incidents: DataFrame, offenses: DataFrame, grids=ROLLUP_GRIDS) -> DataFrame:
+    """The pre-aggregate: (source, grid, cell, month[, category]) with count and mean place.
+
+    A breakdown from here leaves out what has no place.
+    """
+    return with_means(rollup_cells(incidents, offenses, grids))
 
 
 def _months(rollup: DataFrame, start: dt.date | None, end: dt.date | None) -> DataFrame:

@@ -58,6 +58,10 @@ class Service:
         incidents, offenses = found
         return incidents, offenses.withColumnRenamed("external_offense_id", "line")
 
+    def _rollup(self, pointer: dict) -> DataFrame | None:
+        parts = self.store.read("rollup", pointer)
+        return None if parts is None else grid.with_means(parts)
+
     def incidents(self, by: Filters = Filters(), limit: int = 100, offset: int = 0) -> dict:  # noqa: B008
         """A page with nested offenses, and the total up to the cap."""
         checked_page(limit, offset)
@@ -74,7 +78,7 @@ class Service:
 
         def make() -> dict:
             tables = self._tables(pointer)
-            rollup = self.store.read("rollup", pointer)
+            rollup = self._rollup(pointer)
             if rollup is None:
                 cells, path = grid.grid_aggregate(filter_incidents(*tables, by), size), "raw"
             else:
@@ -87,7 +91,7 @@ class Service:
 
     def summary(self, by: Filters, today: dt.date | None = None, strict: bool = False) -> dict:
         pointer = self.store.pointer()
-        rollup = self.store.read("rollup", pointer)
+        rollup = self._rollup(pointer)
         made = summary.summarise(*self._tables(pointer), rollup, by, self.names, today, strict)
         categories, areas = rows(made.categories), rows(made.areas)
         return {

@@ -9,14 +9,15 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gridtally.operators import reconcile
+from gridtally.operators import grid, reconcile
 from gridtally.sources import normalize as nz
+from gridtally.sources.journal import Journal
 from gridtally.sources.schema import INCIDENT, OFFENSE, SOURCE_RECORD
-from gridtally.sources.state import SnapshotStore, log_run
+from gridtally.sources.state import Change, SnapshotStore
 
 OVERLAP = dt.timedelta(hours=1)
 
@@ -46,6 +47,100 @@ def empty(spark: SparkSession, schema: StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def prepared(stage, raw: DataFrame) -> tuple[DataFrame, Column, int]:
+    """The last of each record with key and fingerprint, its payload, and the number without id.
+
+    The raw records are written once beside the store and read from there.
+    """
+    raw = stage(raw, "raw")
+    keyed = raw.where("id IS NOT NULL")
+    last = reconcile.dedupe_last(keyed, "id", F.col("updated_on"), nz.fingerprint(raw))
+    fetched = last.withColumns(
+        {
+            "external_record_id": F.col("id").cast("string"),
+            "fingerprint": nz.fingerprint(last, nz.FINGERPRINTED),
+        }
+    )
+    payload = F.to_json(F.struct(*raw.columns), {"ignoreNullFields": "false"})
+    return fetched, payload, raw.where("id IS NULL").count()
+
+
+def held_tables(store: SnapshotStore, pointer: dict) -> dict[str, DataFrame]:
+    schemas = {"source_records": SOURCE_RECORD, "incidents": INCIDENT, "offenses": OFFENSE}
+    found = {name: store.read(name, pointer) for name in schemas}
+    return {n: empty(store.spark, schemas[n]) if df is None else df for n, df in found.items()}
+
+
+def batch_change(
+    store: SnapshotStore,
+    pointer: dict,
+    stage,
+    records: tuple[DataFrame, Column, int],
+    config: reconcile.SourceConfig,
+    run_id: str,
+    observed_at: dt.datetime,
+    complete: bool,
+    reported: int | None,
+    incident_policy: str,
+) -> tuple[Change, dict]:
+    """What prepared records change in the tables of pointer, and the run's counters.
+
+    Where a pre-aggregate is held, the rows that bring it up to date belong to the change.
+    """
+    fetched, payload, nameless = records
+    held = held_tables(store, pointer)
+    state = held["source_records"].where(F.col("source_id") == F.lit(config.source_id))
+    incidents, offenses = held["incidents"], held["offenses"]
+    done = reconcile.reconcile(
+        state, fetched, config, run_id, observed_at, payload, complete, reported,
+        stage=lambda found: stage(found, "found"),
+    )
+    run = done.run
+    if nameless:
+        run["error_message"] = f"{nameless} records without id left out"
+    fresh = done.found.where(F.col("kind").isin("created", "changed"))
+    new_incidents, new_offenses = nz.normalize(fresh, config.source_id)
+    known = offenses.join(new_offenses.select("id"), "id", "left_semi")
+    if incident_policy == "first_wins":
+        new_incidents = new_incidents.join(incidents.select("id"), "id", "left_anti")
+    elif incident_policy != "latest_wins":
+        raise ValueError(incident_policy)
+    new_incidents = stage(new_incidents, "incidents")
+    new_offenses = stage(nz.merge_offenses(known, new_offenses), "offenses")
+    change = Change(
+        appended={"versions": done.versions},
+        merged={
+            "source_records": (done.state, ["source_id", "external_record_id"]),
+            "incidents": (new_incidents, ["id"]),
+            "offenses": (new_offenses, ["id"]),
+        },
+    )
+    if "rollup" in pointer["tables"]:
+        change.appended["rollup"] = rollup_change(incidents, offenses, new_incidents, new_offenses)
+        change.reads = ["rollup"]
+    return change, run
+
+
+def rollup_change(
+    incidents: DataFrame, offenses: DataFrame, new_incidents: DataFrame, new_offenses: DataFrame
+) -> DataFrame:
+    """The rows that bring a pre-aggregate of incidents and offenses up to what is new.
+
+    Only incidents that are new, or have new offenses, are counted, before and after.
+    """
+    told = new_offenses.select(F.col("incident_id").alias("id")).unionByName(new_incidents.select("id"))
+    told = told.distinct()
+    own = told.select(F.col("id").alias("incident_id"))
+    before = (
+        incidents.join(told, "id", "left_semi"), offenses.join(own, "incident_id", "left_semi")
+    )
+    after = tuple(
+        old.join(new.select("id"), "id", "left_anti").select(*new.columns).unionByName(new)
+        for old, new in zip(before, (new_incidents, new_offenses), strict=True)
+    )
+    return grid.rollup_delta(before, after)
+
+
 def ingest_batch(
     store: SnapshotStore,
     raw: DataFrame,
@@ -56,78 +151,58 @@ def ingest_batch(
     reported: int | None = None,
     stream: tuple[str, int] | None = None,
     incident_policy: str = "first_wins",
+    journal: Journal | None = None,
 ) -> dict:
     """Reconcile raw records, normalise what is new, and commit all tables at once.
 
     The raw records are written once beside the store and so are their outcomes, which
     all tables are made from.  Records without an id have no key: they are left out, and
-    the run's message says how many.  A failure logs a failed run beside the old tables
-    and is raised again.
+    the run's message says how many.  The run is in the journal from its start; where
+    another writer was faster the tables are made again from what it left.  A failure
+    closes the run as failed beside the old tables and is raised again.
     """
-    spark, pointer = store.spark, store.pointer()
-    held = pointer["config"]
-    if stream and held.get(f"batch:{stream[0]}", -1) >= stream[1]:
+    source = config.source_id
+    batch = f"batch:{stream[0]}" if stream else None
+    repeated = lambda pointer: stream and pointer["config"].get(batch, -1) >= stream[1]
+    if repeated(store.pointer()):
         return {"run_id": run_id, "status": "repeated"}
-    state = store.read("source_records", pointer)
-    state = empty(spark, SOURCE_RECORD) if state is None else state
-    state = state.where(F.col("source_id") == F.lit(config.source_id))
-    incidents = store.read("incidents", pointer)
-    incidents = empty(spark, INCIDENT) if incidents is None else incidents
-    offenses = store.read("offenses", pointer)
-    offenses = empty(spark, OFFENSE) if offenses is None else offenses
-    base = held.get(f"baseline:{config.source_id}", config.baseline)
-    config = reconcile.replace(config, baseline=base)
+    journal = journal or Journal(store, source)
+    journal.start(run_id)
+    run: dict = {}
     try:
         with store.staging() as stage:
-            raw = stage(raw, "raw")
-            keyed = raw.where("id IS NOT NULL")
-            last = reconcile.dedupe_last(keyed, "id", F.col("updated_on"), nz.fingerprint(raw))
-            fetched = last.withColumns(
-                {
-                    "external_record_id": F.col("id").cast("string"),
-                    "fingerprint": nz.fingerprint(last, nz.FINGERPRINTED),
-                }
-            )
-            payload = F.to_json(F.struct(*raw.columns), {"ignoreNullFields": "false"})
-            done = reconcile.reconcile(
-                state, fetched, config, run_id, observed_at, payload, complete, reported,
-                stage=lambda found: stage(found, "found"),
-            )
-            run = done.run
-            nameless = raw.where("id IS NULL").count()
-            if nameless:
-                run["error_message"] = f"{nameless} records without id left out"
-            fresh = done.found.where(F.col("kind").isin("created", "changed"))
-            new_incidents, new_offenses = nz.normalize(fresh, config.source_id)
-            known = offenses.join(new_offenses.select("id"), "id", "left_semi")
-            if incident_policy == "first_wins":
-                new_incidents = new_incidents.join(incidents.select("id"), "id", "left_anti")
-            elif incident_policy != "latest_wins":
-                raise ValueError(incident_policy)
-            verdict_base = config.baseline
-            if run["plausibility_status"] == "plausible":
-                verdict_base = run["records_received"]
-            keep = held | {f"baseline:{config.source_id}": verdict_base}
-            if stream:
-                keep[f"batch:{stream[0]}"] = stream[1]
-            store.commit(
-                {},
-                {"versions": done.versions, "runs": log_run(store, run, observed_at, observed_at)},
-                keep,
-                {
-                    "source_records": (done.state, ["source_id", "external_record_id"]),
-                    "incidents": (new_incidents, ["id"]),
-                    "offenses": (nz.merge_offenses(known, new_offenses), ["id"]),
-                },
-            )
+            records = prepared(stage, raw)
+
+            def make(pointer: dict) -> Change:
+                base = pointer["config"].get(f"baseline:{source}", config.baseline)
+                own = reconcile.replace(config, baseline=base)
+                change, made = batch_change(
+                    store, pointer, stage, records, own, run_id, observed_at, complete, reported, incident_policy
+                )
+                run.clear()
+                run.update(made)
+                if run["plausibility_status"] == "plausible":
+                    base = run["records_received"]
+                change.config = {f"baseline:{source}": base}
+                if stream:
+                    change.config[batch] = stream[1]
+                return with_row(change, journal.closing(pointer, run))
+
+            store.transact(make)
         return run
     except Exception as error:
-        run = {"run_id": run_id, "source_id": config.source_id, "status": "failed"}
-        run |= {"error_message": str(error)[:500], "is_complete": False}
-        store.commit({}, {"runs": log_run(store, run, observed_at, observed_at)})
+        journal.fail(run_id, error)
         raise
 
 
+def with_row(change: Change, row: Change) -> Change:
+    """A change that closes a run as well."""
+    change.merged |= row.merged
+    change.rows = change.rows | row.rows
+    change.config = change.config | row.config
+    return change
+
+
 def ingest_stream(
     spark: SparkSession,
     folder: str,

@@ -8,11 +8,12 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtally.operators.grid import build_rollup
+from gridtally.operators.grid import rollup_parts
 from gridtally.operators.reconcile import SourceConfig
-from gridtally.sources.normalize import upsert_reference
+from gridtally.sources.journal import KEY, run_row, utc_now
+from gridtally.sources.normalize import id_order, upsert_reference
 from gridtally.sources.schema import CITY_CONTRACT, Contract, check_schema
-from gridtally.sources.state import SnapshotStore, log_run
+from gridtally.sources.state import Change, SnapshotStore
 from gridtally.streaming.incremental import OVERLAP, changed_since, full_run, ingest_batch
 
 TIMES = ("watermark",)
@@ -22,7 +23,7 @@ def save_config(store: SnapshotStore, config: SourceConfig) -> None:
     """Create or replace what is expected of a source."""
     plain = dataclasses.asdict(config)
     plain |= {n: plain[n].isoformat() if plain[n] else None for n in TIMES}
-    store.commit({}, config=store.pointer()["config"] | {f"source:{config.source_id}": plain})
+    store.transact(lambda _: Change(config={f"source:{config.source_id}": plain}))
 
 
 def load_config(store: SnapshotStore, source_id: str) -> SourceConfig:
@@ -42,9 +43,10 @@ def checked_fetch(raw: DataFrame, contract: Contract = CITY_CONTRACT) -> DataFra
 
 
 def sample_run(store, raw: DataFrame, source_id: str, run_id: str, now: dt.datetime, limit: int):
-    """The first records by id; never complete, so never evidence of absence."""
+    """The first records by id, as a number; never complete, so never evidence of absence."""
     config = load_config(store, source_id)
-    return ingest_batch(store, checked_fetch(raw).orderBy("id").limit(limit), config, run_id, now)
+    first = checked_fetch(raw).orderBy(id_order(F.col("id"))).limit(limit)
+    return ingest_batch(store, first, config, run_id, now)
 
 
 def complete_run(
@@ -63,7 +65,7 @@ def complete_run(
     run = full_run(store, checked_fetch(raw), config, run_id, started, reported=reported)
     if run["deletion_evidence_allowed"]:
         save_config(store, dataclasses.replace(config, watermark=started))
-    refresh_rollup(store, strict=False)
+    refresh_rollup(store, strict=False, rebuild=False)
     return run
 
 
@@ -87,38 +89,47 @@ def incremental_run(
     fresh = fresh.withColumn("updated_on", F.col("_text")).drop("_text")
     run = ingest_batch(store, fresh, config, run_id, started)
     save_config(store, dataclasses.replace(config, watermark=started))
-    refresh_rollup(store, strict=False)
+    refresh_rollup(store, strict=False, rebuild=False)
     return run
 
 
 def refresh_reference(store: SnapshotStore, found: DataFrame, key: str, name: str = "codes") -> int:
     """Put reference rows in or over; the number of rows afterwards."""
-    known = store.read(name)
-    merged = found if known is None else upsert_reference(known, found, key)
-    store.commit({name: merged})
+
+    def make(pointer: dict) -> Change:
+        known = store.read(name, pointer)
+        return Change({name: found if known is None else upsert_reference(known, found, key)})
+
+    store.transact(make)
     return store.read(name).count()
 
 
-def refresh_rollup(store: SnapshotStore, strict: bool = True) -> int | None:
-    """Rebuild the pre-aggregate from the current tables; its number of rows.
+def refresh_rollup(store: SnapshotStore, strict: bool = True, rebuild: bool = True) -> int | None:
+    """Build the pre-aggregate from the current tables; the number of its rows as stored.
 
-    The old one stays visible until the new one is written.  After an ingest a
-    failure is logged as a failed run and let pass (strict=False): the data is in,
-    the map lags.
+    Each ingest brings one that is there up to date in its own commit, so without rebuild
+    it is left as it is.  The old one stays visible until the new one is
+    written.  After an ingest a failure is logged as a failed run and let pass
+    (strict=False): the data is in, the map lags.
     """
-    pointer = store.pointer()
-    incidents, offenses = store.read("incidents", pointer), store.read("offenses", pointer)
-    if incidents is None:
-        return None
-    try:
+
+    def make(pointer: dict) -> Change | None:
+        incidents, offenses = (store.read(n, pointer) for n in ("incidents", "offenses"))
+        if incidents is None or ("rollup" in pointer["tables"] and not rebuild):
+            return None
         # Sorted files let a reader skip the row groups of other grids, categories and months.
-        cube = build_rollup(incidents, offenses)
-        store.commit({"rollup": cube.sortWithinPartitions("grid", "category", "month")})
-        return store.read("rollup").count()
+        cube = rollup_parts(incidents, offenses).sortWithinPartitions("grid", "category", "month")
+        return Change({"rollup": cube}, reads=["incidents", "offenses"])
+
+    started = utc_now()
+    try:
+        store.transact(make)
+        cube = store.read("rollup")
+        return None if cube is None else cube.count()
     except Exception as error:
         if strict:
             raise
-        now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-        run = {"run_id": f"rollup-{now.isoformat()}", "status": "failed", "error_message": str(error)[:500]}
-        store.commit({}, {"runs": log_run(store, run, now, now)})
+        run = {"run_id": f"rollup-{started.isoformat()}", "status": "failed", "error_message": str(error)[:500]}
+        row = run_row(store.spark, run, started, utc_now())
+        store.commit(merged={"runs": (row, KEY)}, rows={"runs": [run["run_id"]]})
         return None

@@ -11,7 +11,8 @@ from gridtally.sources import normalize as nz
 from gridtally.sources import paged
 from gridtally.sources.paged import PagedSource
 from gridtally.sources.schema import CITY_CONTRACT, RAW, RUN, SOURCE_RECORD, check_schema
-from gridtally.sources.state import SnapshotStore, latest_run
+from gridtally.sources.journal import latest_run
+from gridtally.sources.state import SnapshotStore
 from gridtally.streaming import incremental
 
 DAY = dt.datetime(2024, 1, 1)
