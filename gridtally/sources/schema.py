@@ -46,6 +46,9 @@ SOURCE_RECORD = _struct(
     " consecutive_missing_runs INT, current_fingerprint STRING"
 )
 
+#: What a run says of a record it has fetched.
+FETCHED = _struct("external_record_id STRING, fingerprint STRING")
+
 VERSION = _struct(
     "source_id STRING, external_record_id STRING, run_id STRING, fingerprint STRING,"
     " payload STRING, observed_at TIMESTAMP"

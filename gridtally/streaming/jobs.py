@@ -14,7 +14,8 @@ from gridtally.sources.journal import KEY, run_row, utc_now
 from gridtally.sources.normalize import id_order, upsert_reference
 from gridtally.sources.schema import CITY_CONTRACT, Contract, check_schema
 from gridtally.sources.state import Change, SnapshotStore
-from gridtally.streaming.incremental import OVERLAP, changed_since, full_run, ingest_batch
+from gridtally.streaming.incremental import OVERLAP, changed_since, ingest_batch
+from gridtally.streaming.resumable import PART_RECORDS, complete_in_parts
 
 TIMES = ("watermark",)
 
@@ -57,12 +58,18 @@ def complete_run(
     started: dt.datetime,
     reported: int | None = None,
     confirm: bool = False,
+    part_records: int = PART_RECORDS,
 ) -> dict:
-    """All records.  Must be confirmed; the watermark moves only if the run is trusted."""
+    """All records, committed in parts; a run that stopped is taken up.
+
+    Must be confirmed; the watermark moves only if the run is trusted.
+    """
     if not confirm:
         raise ValueError("a complete run reads the whole source; confirm it")
     config = load_config(store, source_id)
-    run = full_run(store, checked_fetch(raw), config, run_id, started, reported=reported)
+    run = complete_in_parts(
+        store, checked_fetch(raw), config, run_id, started, reported, part_records
+    )
     if run["deletion_evidence_allowed"]:
         save_config(store, dataclasses.replace(config, watermark=started))
     refresh_rollup(store, strict=False, rebuild=False)
