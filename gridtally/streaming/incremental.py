@@ -215,18 +215,27 @@ def ingest_stream(
     kind: str = "json",
 ) -> None:
     """Take in all files that folder has so far, a few at a time, each batch once."""
-    name = f"{config.source_id}@{folder}"
+    rows = spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    run_stream(rows.load(folder), store, config, checkpoint, f"{config.source_id}@{folder}", observed_at)
+
+
+def run_stream(
+    rows: DataFrame,
+    store: SnapshotStore,
+    config: reconcile.SourceConfig,
+    checkpoint: str,
+    name: str,
+    observed_at: dt.datetime,
+    **more,
+) -> None:
+    """Ingest all that a stream of raw records has so far; each batch once."""
 
     def batch(df: DataFrame, number: int) -> None:
         run_id = f"{config.source_id}-stream-{number}"
-        ingest_batch(store, df, config, run_id, observed_at, stream=(name, number))
+        ingest_batch(store, df, config, run_id, observed_at, stream=(name, number), **more)
 
     query = (
-        spark.readStream.format(kind)
-        .schema(schema)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .load(folder)
-        .writeStream.foreachBatch(batch)
+        rows.writeStream.foreachBatch(batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
