@@ -16,6 +16,62 @@ def page(found: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
     return found.orderBy(F.desc_nulls_last("occurred_at"), "id").offset(offset).limit(limit)
 
 
+#: Spans of time that a deep page narrows down to, and the rows that are few enough to sort.
+SPANS = ("year", "month", "day", "hour", "minute")
+SORTED_ROWS = 10_000
+
+
+def deep_page(found: DataFrame, limit: int = 100, offset: int = 0, most: int = SORTED_ROWS) -> DataFrame:
+    """The rows of page(), for offsets of any size, without a sort of all rows before them.
+
+    Rows are counted per year; the years before the page are skipped by their counts, and
+    the year or two that the page lies in are counted per month, and so on, until few
+    rows are left to be sorted.  Each step counts less than the one before.  What
+    reaches the driver is a count per span: calendar years, or the parts of two spans.
+    Undated rows are one span, the last.
+    """
+    limit, offset = checked_page(limit, offset)
+    rows = found
+    for span in SPANS:
+        at = F.date_trunc(span, F.col("occurred_at")).alias("at")
+        counts = rows.groupBy(at).agg(F.count("*").alias("n")).collect()
+        counts.sort(key=lambda r: (r["at"] is None, -(r["at"].timestamp() if r["at"] else 0)))
+        before, held = 0, []
+        for r in counts:
+            if before + r["n"] > offset and before < offset + limit:
+                held.append((r["at"], r["n"], before))
+            before += r["n"]
+        if not held:
+            return found.limit(0)
+        dated = [at for at, _, _ in held if at is not None]
+        within = F.lit(False) if dated else F.col("occurred_at").isNull()
+        if dated:
+            kind = found.schema["occurred_at"].dataType
+            first, last = (F.lit(f(dated)).cast(kind) for f in (min, max))
+            stop = last + F.expr(f"INTERVAL 1 {span}")
+            within = (F.col("occurred_at") >= first) & (F.col("occurred_at") < stop)
+            if len(dated) < len(held):
+                within |= F.col("occurred_at").isNull()
+        rows, offset = rows.where(within), offset - held[0][2]
+        if sum(n for _, n, _ in held) <= most:
+            break
+    return rows.orderBy(F.desc_nulls_last("occurred_at"), "id").offset(offset).limit(limit)
+
+
+def page_after(found: DataFrame, last: tuple, limit: int = 100) -> DataFrame:
+    """The page after the row with the key last (occurred_at, id): a filter, whatever lies before."""
+    checked_page(limit, 0)
+    at, key = last
+    later = F.col("id") > F.lit(key)
+    if at is None:
+        beyond = F.col("occurred_at").isNull() & later
+    else:
+        time = F.lit(at).cast(found.schema["occurred_at"].dataType)
+        own = (F.col("occurred_at") == time) & later
+        beyond = (F.col("occurred_at") < time) | own | F.col("occurred_at").isNull()
+    return found.where(beyond).orderBy(F.desc_nulls_last("occurred_at"), "id").limit(limit)
+
+
 def with_offenses(rows: DataFrame, offenses: DataFrame) -> DataFrame:
     """rows with their offenses nested, in a fixed order; an empty array for none.
 

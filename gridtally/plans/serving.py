@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridtally.operators import grid, listing, summary
 from gridtally.operators.filters import Filters, checked_page, filter_incidents
+from gridtally.sources.clustered import latest_page
 from gridtally.sources.schema import INCIDENT, OFFENSE, RUN
 from gridtally.sources.state import SnapshotStore
 
@@ -65,9 +66,12 @@ class Service:
     def incidents(self, by: Filters = Filters(), limit: int = 100, offset: int = 0) -> dict:  # noqa: B008
         """A page with nested offenses, and the total up to the cap."""
         checked_page(limit, offset)
-        incidents, offenses = self._tables(self.store.pointer())
+        pointer = self.store.pointer()
+        incidents, offenses = self._tables(pointer)
         found = filter_incidents(incidents, offenses, by)
-        page = listing.page(found, limit, offset)
+        page = found.limit(0)
+        if "incidents" in pointer["tables"]:
+            page = latest_page(self.store, pointer, by, offenses, limit, offset)
         shown = listing.page(listing.with_offenses(page, offenses), limit)
         total = listing.capped_count(found).first()[0]
         return {"items": rows(shown), "total": total, "limit": limit, "offset": offset}
