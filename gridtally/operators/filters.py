@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -13,20 +14,48 @@ MOST_ROWS = 500
 
 @dataclass(frozen=True)
 class Box:
-    """A viewport in degrees; edges belong to it.  Planar: edges are not geodesics."""
+    """A viewport in degrees; edges belong to it.
+
+    Planar edges follow parallels.  With geodesic the upper and lower edges are
+    great-circle arcs between the corners, as on a globe: they bow towards the nearer pole,
+    by some 30 m over half a degree at 42 degrees north.  Sides are meridians either way.
+    """
 
     west: float
     south: float
     east: float
     north: float
+    geodesic: bool = False
 
     def __post_init__(self) -> None:
         if not (-180 <= self.west < self.east <= 180 and -90 <= self.south < self.north <= 90):
             raise ValueError(f"not a box of degrees: {self}")
+        if self.geodesic and self.east - self.west >= 180:
+            raise ValueError("a geodesic box is narrower than half the globe")
+
+    def _arc(self, edge: float, lon: Column) -> Column:
+        """The latitude of the arc between the corners of an edge, at a longitude."""
+        if abs(edge) == 90:
+            return F.lit(float(edge))
+        half = math.radians(self.east - self.west) / 2
+        away = F.radians(lon - F.lit((self.west + self.east) / 2))
+        return F.degrees(F.atan(F.cos(away) * F.lit(math.tan(math.radians(edge)) / math.cos(half))))
+
+    def reach(self) -> tuple[float, float]:
+        """The parallels that the box lies between."""
+        if not self.geodesic:
+            return self.south, self.north
+        half = math.radians(self.east - self.west) / 2
+        top = lambda edge: math.degrees(math.atan(math.tan(math.radians(edge)) / math.cos(half)))
+        return min(self.south, top(self.south)), max(self.north, top(self.north))
 
     def holds(self, lon: Column, lat: Column) -> Column:
-        """Null coordinates are in no box."""
-        return lon.between(self.west, self.east) & lat.between(self.south, self.north)
+        """Null coordinates are in no box.  The plain bounds stand alone, for the scan."""
+        low, high = self.reach()
+        within = lon.between(self.west, self.east) & lat.between(low, high)
+        if self.geodesic:
+            within &= (lat >= self._arc(self.south, lon)) & (lat <= self._arc(self.north, lon))
+        return within
 
     @classmethod
     def of(cls, west=None, south=None, east=None, north=None) -> Box | None:

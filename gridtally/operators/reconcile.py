@@ -187,6 +187,32 @@ def judge_run(
     return Verdict(status, reason, reason is None, config.baseline, change)
 
 
+def judged(runs: DataFrame) -> DataFrame:
+    """judge_run for a table of runs: adds status, reason, evidence and change_percent.
+
+    runs has received, reported, baseline, floor, most_drop_percent, manual_hold,
+    protected and schema_valid; null numbers are not asked for.
+    """
+    received, base = F.col("received"), F.nullif(F.col("baseline"), F.lit(0))
+    change = (received - base) / base * 100
+    asks = lambda holds: F.col("protected") & F.coalesce(holds, F.lit(False))
+    reason = (
+        F.when(~F.col("schema_valid"), "schema_validation_failed")
+        .when(F.col("manual_hold"), "manual_safety_hold")
+        .when(asks(F.col("reported") != received), "source_count_mismatch")
+        .when(asks(received < F.col("floor")), "record_count_below_absolute_floor")
+        .when(asks(-change > F.col("most_drop_percent")), "record_count_drop_exceeds_threshold")
+    )
+    return runs.withColumns(
+        {
+            "change_percent": change,
+            "reason": reason,
+            "status": F.when(reason.isNull(), "plausible").otherwise("suspicious"),
+            "evidence": reason.isNull(),
+        }
+    )
+
+
 def promoted(config: SourceConfig, verdict: Verdict, received: int) -> SourceConfig:
     """A plausible complete run sets the next baseline."""
     return replace(config, baseline=received) if verdict.status == "plausible" else config

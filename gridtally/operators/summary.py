@@ -53,6 +53,20 @@ def percent_change(now: int, before: int) -> float | None:
     return round((now - before) / before * 100, 1) if before else None
 
 
+def one_decimal(x: Column) -> Column:
+    """x to one decimal as Python rounds: by the exact value of x, and to even where that is a tie.
+
+    20 x is compared with the odd number between its neighbours.  Near a tie both
+    differences are exact.
+    """
+    below = F.floor(x * 10).cast("double")
+    tie = below * 2 + 1
+    over = (x * 16 - tie) + x * 4
+    even = below % 2 == 0
+    up = (over > 0) | ((over == 0) & ~even)
+    return F.when(up, below + 1).otherwise(below) / 10
+
+
 def latest_day(incidents: DataFrame) -> DataFrame:
     return incidents.agg(F.max("occurred_at").cast("date").alias("latest"))
 
@@ -68,7 +82,7 @@ def compare(found: DataFrame, period: Period) -> DataFrame:
     )
     now, before = F.col("current_count"), F.col("previous_count")
     return counted.withColumn(
-        "percent_change", F.when(before != 0, F.round((now - before) / before * 100, 1))
+        "percent_change", F.when(before != 0, one_decimal((now - before) / before * 100))
     )
 
 

@@ -146,37 +146,6 @@ FROM before b FULL JOIN fetched f USING (external_record_id)""",
             "external_record_id", "p.o_custkey", "p.priority"
         )
 
-    @query(
-        "plausibility_table",
-        """
-SELECT * FROM (VALUES
-  ('first run', 'plausible', NULL, true),
-  ('small drop', 'plausible', NULL, true),
-  ('exact drop', 'plausible', NULL, true),
-  ('large drop', 'suspicious', 'record_count_drop_exceeds_threshold', false),
-  ('under floor', 'suspicious', 'record_count_below_absolute_floor', false),
-  ('mismatch', 'suspicious', 'source_count_mismatch', false),
-  ('held', 'suspicious', 'manual_safety_hold', false),
-  ('unprotected', 'plausible', NULL, true)) AS t(case_name, status, reason, evidence)""",
-    )
-    def plausibility_table(spark, sf_dir):
-        cases = {
-            "first run": (SourceConfig("s"), 10, None),
-            "small drop": (SourceConfig("s", 100, most_drop_percent=20.0), 90, None),
-            "exact drop": (SourceConfig("s", 100, most_drop_percent=20.0), 80, None),
-            "large drop": (SourceConfig("s", 100, most_drop_percent=20.0), 79, None),
-            "under floor": (SourceConfig("s", floor=50), 49, None),
-            "mismatch": (SourceConfig("s", 100), 100, 101),
-            "held": (SourceConfig("s", 100, manual_hold=True), 100, None),
-            "unprotected": (SourceConfig("s", 100, protected=False, floor=50), 1, 2),
-        }
-        rows = []
-        for name, (config, received, reported) in cases.items():
-            verdict = rec.judge_run(config, received, reported)
-            rows.append((name, verdict.status, verdict.reason, verdict.evidence))
-        form = "case_name string, status string, reason string, evidence boolean"
-        return spark.createDataFrame(rows, form)
-
     @query(
         "reference_upsert",
         """
@@ -342,26 +311,12 @@ FROM orders""",
 
         All records of a case are in one file, so the order of files is no matter.
         """
-        from gridtally.sources.state import SnapshotStore, work_folder
-
-        home = f"{work_folder(spark)}/stream-{dt.datetime.now().timestamp()}"
-        orders = table(spark, sf_dir, "orders")
-        text = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
-        known = {
-            "id": F.col("o_orderkey").cast("string"),
-            "case_number": F.col("o_custkey").cast("string"),
-            "date": text,
-            "updated_on": text,
-            "iucr": F.lit("0110"),
-            "primary_type": F.col("o_orderpriority"),
-        }
-        kinds = {f.name: f.dataType for f in RAW}
-        raw = orders.select(
-            *(known.get(n, F.lit(None).cast(kinds[n])).alias(n) for n in RAW.names)
-        )
-        raw.repartition(3, "case_number").write.json(f"{home}/raw")
-        store = SnapshotStore(spark, f"{home}/store")
-        incremental.ingest_stream(
-            spark, f"{home}/raw", RAW, store, SourceConfig("demo"), f"{home}/checkpoint", FIRST
-        )
-        return store.read("incidents").select("external_incident_id", "occurred_at_raw")
+        from gridtally.plans.store_queries import Home, raw_orders
+
+        with Home(spark) as home:
+            raw = raw_orders(table(spark, sf_dir, "orders"))
+            raw.repartition(3, "case_number").write.json(f"{home.path}/raw")
+            incremental.ingest_stream(
+                spark, f"{home.path}/raw", RAW, home.store, SourceConfig("demo"), f"{home.path}/checkpoint", FIRST
+            )
+            return home.answer(home.store.read("incidents").select("external_incident_id", "occurred_at_raw"))

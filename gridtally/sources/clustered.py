@@ -128,7 +128,8 @@ def may_hold(by: Filters) -> Column:
         kept &= F.col("first_at") < F.lit(by.end + dt.timedelta(days=1)).cast("timestamp")
     if by.box is not None:
         kept &= (F.col("max_lon") >= by.box.west) & (F.col("min_lon") <= by.box.east)
-        kept &= (F.col("max_lat") >= by.box.south) & (F.col("min_lat") <= by.box.north)
+        low, high = by.box.reach()
+        kept &= (F.col("max_lat") >= low) & (F.col("min_lat") <= high)
     return kept
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from gridtally.functions.canonical import canonical_json
 from gridtally.sources.schema import RAW
 
 ZONE = "America/Chicago"
@@ -35,13 +37,15 @@ def precision(lat: Column, lon: Column) -> Column:
 
 
 def fingerprint(df: DataFrame, fields: list[str] | None = None) -> Column:
-    """SHA-256 over the named fields in sorted order; none named means all columns.
+    """SHA-256 of the canonical JSON of the named fields; none named means all columns.
 
     A missing field counts as null.  Types are kept, so 1 and "1" differ.
     """
-    names = sorted(fields or df.columns)
+    names = fields or df.columns
     cells = [(F.col(n) if n in df.columns else F.lit(None).cast("string")).alias(n) for n in names]
-    return F.sha2(F.to_json(F.struct(*cells), {"ignoreNullFields": "false"}), 256)
+    known = {f.name: f for f in df.schema}
+    kind = T.StructType([known.get(n, T.StructField(n, T.StringType())) for n in names])
+    return F.sha2(canonical_json(F.struct(*cells), kind), 256)
 
 
 def id_order(record: Column) -> Column:
