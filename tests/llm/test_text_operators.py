@@ -1,5 +1,6 @@
 """BPE, token counts and pseudonyms against the library, and by exact round trips."""
 
+import base64
 import random
 import unicodedata
 from collections import Counter
@@ -75,6 +76,26 @@ def test_token_counts_start_afresh(byte_library, monkeypatch):
         assert machine.count([text.encode()])[0] == len(byte_library.encode(text).ids)
 
 
+def test_junk_overfills_a_small_table(byte_library):
+    """Words without end make more transitions than a table holds; each run ends and is right."""
+    draw = random.Random(8)
+    letters = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=12_000))
+    batch = [letters, base64.b64encode(draw.randbytes(60_000)).decode(), "short " * 500, letters[:3000] + " " + letters]
+    machine = token_counts.Merger(BYTES, 12)
+    most = 0
+    renew = machine.renew
+
+    def watched(live):
+        nonlocal most
+        most = max(most, machine.transitions)
+        return renew(live)
+
+    machine.renew = watched
+    found = token_counts.counts([t.encode() for t in batch], machine)
+    assert found.tolist() == [len(byte_library.encode(t, add_special_tokens=False).ids) for t in batch]
+    assert machine.room // 2 < most < machine.room and machine.transitions < machine.room
+
+
 def test_longest_token_counts_equal_library(byte_library):
     """The vocabulary's longest token has 128 bytes: 32 pairs of U+00C3 U+00C2."""
     batch = [lead + "\u00c3\u00c2" * n + tail for n in range(31, 71) for lead in ("", " ") for tail in ("", "\u00c3x end")]
