@@ -49,6 +49,12 @@ def stored(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Deletes at its end the tables that stored() wrote inside; no plan may read them later."""
@@ -56,13 +62,30 @@ def scratch(spark: SparkSession):
     try:
         yield
     finally:
-        context = spark.sparkContext
         for path in _written.get()[-1]:
-            where = context._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         _written.reset(token)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that stored() wrote, where no plan reads them any more."""
+    for df in tables:
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
+
+
+@contextmanager
+def shuffles_cleaned(spark: SparkSession):
+    """Inside, a written table's shuffle files go when it is written, and not some time later."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """name, or one like it that no column of df has."""
     taken = {c.lower() for c in df.columns}

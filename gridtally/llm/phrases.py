@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtally.llm.common import release_memory, scratch, stored, text_slices
+from gridtally.llm.common import discard, release_memory, scratch, shuffles_cleaned, stored, text_slices
 
 LEAST, LONGEST, MOST = 100, 5, 2000
 UND = "und"
@@ -65,19 +65,15 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 KINDS, SMALL = _tables()
 
 
-def packed(positions: np.ndarray) -> bytes:
-    """Positions as differences, first all their lowest bytes: what is small packs well."""
-    steps = np.diff(positions, prepend=0).astype("<i4")
-    return steps.view(np.uint8).reshape(-1, 4).T.tobytes()
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as differences, first all their lowest bytes: what is small packs well."""
+    steps = np.diff(values, prepend=values.dtype.type(0))
+    return steps.view(np.uint8).reshape(-1, steps.itemsize).T.tobytes()
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<i4").ravel().cumsum(dtype=np.int64)
-
-
-def numbers(data: bytes, kind=np.int64) -> np.ndarray:
-    return np.frombuffer(data, kind)
+def unpacked(data: bytes, kind=np.int32) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel().cumsum(dtype=kind)
 
 
 def word_lists(text: bytes) -> tuple[int, pa.Array, np.ndarray, np.ndarray]:
@@ -87,16 +83,17 @@ def word_lists(text: bytes) -> tuple[int, pa.Array, np.ndarray, np.ndarray]:
     inside = kinds == WORD
     edges = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    pieces = np.cumsum(kinds == BREAK, dtype=np.int32)
-    positions = np.arange(len(starts)) + pieces[starts]
+    pieces = np.searchsorted(np.flatnonzero(kinds == BREAK), starts)
+    positions, n = (np.arange(len(starts)) + pieces).astype(np.int32), len(starts)
     offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    del edges, starts, ends, pieces, kinds
     letters = SMALL[data[inside]]
     words = pa.Array.from_buffers(
-        pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]
+        pa.large_string(), n, [None, pa.py_buffer(offsets), pa.py_buffer(letters)]
     ).dictionary_encode()
     which = words.indices.to_numpy()
     lengths = np.bincount(which, minlength=len(words.dictionary)).astype(np.int32)
-    return len(starts), words.dictionary, lengths, positions[np.argsort(which, kind="stable")]
+    return n, words.dictionary, lengths, positions[np.argsort(which, kind="stable")]
 
 
 def cut_texts(text: bytes, most: int):
@@ -132,7 +129,7 @@ def first_lists(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
                             "lang": [lang],
                             "n_words": [n],
                             "words": pa.array([words.to_pylist()], pa.list_(pa.string())),
-                            "lengths": [lengths.tobytes()],
+                            "lengths": [packed(lengths)],
                             "places": [packed(places)],
                         }
                     )
@@ -158,11 +155,11 @@ def first_lists(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     return read.mapInArrow(index, form)
 
 
-def in_rows(columns: dict[str, np.ndarray]):
+def in_rows(columns: dict):
     """Arrow batches of some rows each."""
-    n = len(next(iter(columns.values())))
-    for a in range(0, n, ROWS):
-        yield pa.RecordBatch.from_pydict({k: pa.array(v[a : a + ROWS]) for k, v in columns.items()})
+    columns = {k: pa.array(v) for k, v in columns.items()}
+    for a in range(0, len(next(iter(columns.values()))), ROWS):
+        yield pa.RecordBatch.from_pydict({k: v.slice(a, ROWS) for k, v in columns.items()})
 
 
 def word_counts(lists: DataFrame) -> DataFrame:
@@ -170,12 +167,13 @@ def word_counts(lists: DataFrame) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                words = np.array(row["words"], dtype=object)
-                lang = np.full(len(words), row["lang"], dtype=object)
-                phrase = row["chunk"] + np.arange(len(words))
-                n = numbers(row["lengths"], np.int32).astype(np.int64)
-                yield from in_rows({"phrase": phrase, "lang": lang, "word": words, "n": n})
+            for i in range(batch.num_rows):
+                chunk, lang = (batch.column(c)[i].as_py() for c in ("chunk", "lang"))
+                words = batch.column("words")[i].values
+                phrase = chunk + np.arange(len(words))
+                n = unpacked(batch.column("lengths")[i].as_py()).astype(np.int64)
+                yield from in_rows({"phrase": phrase, "lang": pa.repeat(lang, len(n)), "word": words, "n": n})
+        release_memory()
 
     needed = lists.select("chunk", "lang", "words", "lengths")
     return needed.mapInArrow(rows, "phrase long, lang string, word string, n long")
@@ -186,13 +184,13 @@ def phrase_counts(lists: DataFrame) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                first = numbers(row["firsts"])
-                phrase = row["chunk"] + np.arange(len(first))
-                n = numbers(row["lengths"], np.int32).astype(np.int64)
-                yield from in_rows(
-                    {"phrase": phrase, "first": first, "second": numbers(row["seconds"]), "n": n}
-                )
+            for i in range(batch.num_rows):
+                cell = lambda c, i=i, batch=batch: batch.column(c)[i].as_py()
+                first, second = (unpacked(cell(c), np.int64) for c in ("firsts", "seconds"))
+                phrase = cell("chunk") + np.arange(len(first))
+                n = unpacked(cell("lengths")).astype(np.int64)
+                yield from in_rows({"phrase": phrase, "first": first, "second": second, "n": n})
+        release_memory()
 
     needed = lists.select("chunk", "firsts", "seconds", "lengths")
     return needed.mapInArrow(rows, "phrase long, first long, second long, n long")
@@ -218,14 +216,15 @@ def extended(lists: DataFrame, found: DataFrame) -> DataFrame:
         columns = {"chunk": [], "firsts": [], "seconds": [], "lengths": [], "places": []}
         if held.num_rows and told.num_rows:
             chunk = held.column("chunk")[0].as_py()
-            lengths = numbers(held.column("lengths")[0].as_py(), np.int32)
-            known = np.full(len(lengths), -1)
+            lengths = unpacked(held.column("lengths")[0].as_py())
+            told = told.sort_by("id")
+            known = np.full(len(lengths), -1, np.int32)
             known[told.column("phrase").to_numpy() - chunk] = np.arange(told.num_rows)
             ids = told.column("id").to_numpy()
             which = np.repeat(known, lengths)
             places = unpacked(held.column("places")[0].as_py())[which >= 0]
             order = np.argsort(places)
-            places, which = places[order], which[which >= 0][order]
+            places, which = places[order], which[which >= 0][order].astype(np.int64)
             meet = np.flatnonzero(places[1:] == places[:-1] + 1)
             pair = which[meet] * told.num_rows + which[meet + 1]
             order = np.argsort(pair, kind="stable")
@@ -235,10 +234,11 @@ def extended(lists: DataFrame, found: DataFrame) -> DataFrame:
             first, second = ids[pair[starts] // told.num_rows], ids[pair[starts] % told.num_rows]
             for name, value in zip(
                 columns,
-                (chunk, first.tobytes(), second.tobytes(), lengths.tobytes(), packed(places)),
+                (chunk, *map(packed, (first, second, lengths, places))),
                 strict=True,
             ):
                 columns[name].append(value)
+        release_memory()
         kinds = [pa.int64(), *[pa.binary()] * 4]
         return pa.table([pa.array(v, t) for v, t in zip(columns.values(), kinds, strict=True)], list(columns))
 
@@ -267,7 +267,9 @@ def candidates(docs: DataFrame, least: int = LEAST, chunk_bytes: int = CHUNK_BYT
     )
     levels = [stored(level, "phrase-level-1")]
     for k in range(2, LONGEST + 1):
-        lists = stored(extended(lists, found), f"phrase-lists-{k}")
+        longer = stored(extended(lists, found), f"phrase-lists-{k}")
+        discard(lists, found)
+        lists = longer
         found = stored(frequent(phrase_counts(lists), ["first", "second"], least), f"phrase-frequent-{k}")
         p, s = levels[-1].alias("p"), levels[-1].alias("s")
         own = found.where("phrase = id").select("id", "a", "first", "second").alias("f")
@@ -298,7 +300,7 @@ def lowest_cut(a: Column, n: Column, heads: Column, tails: Column) -> Column:
 
 def collocations(docs: DataFrame, least: int = LEAST, most: int = MOST, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each lang's best phrases that no longer one replaces."""
-    with scratch(docs.sparkSession):
+    with scratch(docs.sparkSession), shuffles_cleaned(docs.sparkSession):
         found = candidates(docs, least, chunk_bytes)
         several = found.where("words > 1")
         part = F.explode(F.array("first", "second")).alias("id")

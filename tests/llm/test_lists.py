@@ -90,7 +90,7 @@ def test_products_beyond_64_bits(spark):
 
 
 def test_lists_are_packed_without_loss():
-    places = np.array([5, 9, 2**30, 3, 4, 0, 2**31 - 1])
+    places = np.array([5, 9, 2**30, 3, 4, 0, 2**31 - 1], np.int32)
     assert (phrases.unpacked(phrases.packed(places)) == places).all()
     text = b"one. two three " * 50
     parts = list(phrases.cut_texts(text, 16))
