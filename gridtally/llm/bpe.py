@@ -37,6 +37,8 @@ LONG_WORD = 256
 #: Entries in each of a worker's two word tables: when the young one is full it
 #: becomes the old one, and what is still in use moves back on its next sight.
 WORD_TABLE = 100_000
+#: Characters of the longest piece that a table keeps, so that junk cannot fill memory.
+KEPT_PIECE = 64
 
 
 #: White space as Unicode defines it; str.split() also cuts at SEPARATORS, which are not.
@@ -230,6 +232,8 @@ class WordCodec(dict):
                 found = array("i", self.word_ids(piece)).tobytes()
             else:
                 found = b"".join([self[word] for word in words])
+        if len(piece) > KEPT_PIECE:
+            return found
         if len(self) >= WORD_TABLE:
             self.old = dict(self)
             self.clear()

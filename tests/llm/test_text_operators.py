@@ -76,6 +76,16 @@ def test_token_counts_start_afresh(byte_library, monkeypatch):
         assert machine.count([text.encode()])[0] == len(byte_library.encode(text).ids)
 
 
+def test_junk_words_are_not_kept(word_library):
+    """Whole texts of junk are encoded as the library does; the tables keep short pieces only."""
+    draw = random.Random(9)
+    own = bpe.WordCodec(WORDS)
+    for _ in range(40):
+        text = base64.b64encode(draw.randbytes(3000)).decode() + " end 日本" * 3
+        assert own.encode(text).tolist() == word_library.encode(text, add_special_tokens=False).ids
+    assert max(map(len, [*own, *own.old])) <= bpe.KEPT_PIECE and "end" in own
+
+
 def test_junk_overfills_a_small_table(byte_library):
     """Words without end make more transitions than a table holds; each run ends and is right."""
     draw = random.Random(8)
