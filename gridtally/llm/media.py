@@ -60,6 +60,8 @@ INLIERS, INLIER_SHARE, NEAR = 6, 0.4, 3.0
 LEAST_SIDE = 16
 #: Bytes of images decoded, and pixels searched for corners, side by side.
 SLICE_BYTES, BLOCK_PIXELS = 512 << 10, 300_000
+#: Corners of one picture that are described side by side.
+BLOCK_CORNERS = 2048
 #: Pairs of corners, or of matches, that consensus holds side by side.
 BLOCK_PAIRS = 1 << 18
 
@@ -98,15 +100,15 @@ def decoded_png(data: bytes) -> np.ndarray | None:
     for kind, line in zip(rows[:, 0].tolist(), rows[:, 1:].astype(np.int64)):
         if kind == 2:
             line = (line + above) & 255
-        elif kind:  # the other filters look left
+        elif kind == 1:
+            line = (line.reshape(w, depth).cumsum(0) & 255).ravel()
+        elif kind:  # the other filters look left and up
             line = line.copy()
             for i in range(len(line)):
                 left = line[i - depth] if i >= depth else 0
                 corner = above[i - depth] if i >= depth else 0
                 up = above[i]
-                if kind == 1:
-                    guess = left
-                elif kind == 3:
+                if kind == 3:
                     guess = (left + up) >> 1
                 else:
                     d = [abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)]
@@ -162,6 +164,20 @@ def test_pattern() -> np.ndarray:
 PATTERN = test_pattern()
 
 
+def descriptors(padded: np.ndarray, who: np.ndarray, y: np.ndarray, x: np.ndarray):
+    """Angle and binary tests of corners in images that are padded by PATCH."""
+    step = np.arange(-REACH, REACH + 1)
+    disc = step[:, None] ** 2 + step**2 <= REACH**2
+    who, y, x = who[:, None, None], y[:, None, None] + PATCH, x[:, None, None] + PATCH
+    patch = padded[who, y + step[:, None], x + step]
+    patch = (patch - patch.mean((1, 2), keepdims=True)) * disc
+    angle = np.arctan2((patch * step[:, None]).sum((1, 2)), (patch * step).sum((1, 2)))
+    turn = np.rint(angle * TURNS / (2 * np.pi)).astype(np.int64) % TURNS
+    ends = PATTERN[turn]  # corners, bits, ends, 2
+    values = padded[who, y + ends[..., 0], x + ends[..., 1]]
+    return angle, np.packbits(values[:, :, 0] < values[:, :, 1], axis=1)
+
+
 def corners(grids: np.ndarray):
     """Of images (N, rows, columns): owner, x, y, angle, scale and descriptor of each corner."""
     found = []
@@ -185,25 +201,11 @@ def corners(grids: np.ndarray):
         if not len(who):
             continue
         padded = np.pad(level, ((0, 0), (PATCH, PATCH), (PATCH, PATCH)), "edge")
-        step = np.arange(-REACH, REACH + 1)
-        disc = step[:, None] ** 2 + step**2 <= REACH**2
-        patch = padded[
-            who[:, None, None],
-            y[:, None, None] + PATCH + step[:, None],
-            x[:, None, None] + PATCH + step,
-        ]
-        patch = (patch - patch.mean((1, 2), keepdims=True)) * disc
-        angle = np.arctan2(
-            (patch * step[:, None]).sum((1, 2)), (patch * step).sum((1, 2))
-        )
-        turn = np.rint(angle * TURNS / (2 * np.pi)).astype(np.int64) % TURNS
-        ends = PATTERN[turn]  # corners, bits, ends, 2
-        values = padded[
-            who[:, None, None],
-            y[:, None, None] + PATCH + ends[..., 0],
-            x[:, None, None] + PATCH + ends[..., 1],
-        ]
-        bits = np.packbits(values[:, :, 0] < values[:, :, 1], axis=1)
+        angle = np.empty(len(who))
+        bits = np.empty((len(who), BITS // 8), np.uint8)
+        for start in range(0, len(who), BLOCK_CORNERS):
+            own = slice(start, start + BLOCK_CORNERS)
+            angle[own], bits[own] = descriptors(padded, who[own], y[own], x[own])
         found.append((who, x * scale, y * scale, angle, np.full(len(who), scale), bits))
     if not found:
         empty = np.empty(0)
