@@ -108,6 +108,19 @@ def incident_categories(offenses: DataFrame) -> DataFrame:
     )
 
 
+def categories_as_seen(offenses: DataFrame, order: str = "line") -> DataFrame:
+    """incident_id, categories: the distinct categories of each incident, by where each is first seen.
+
+    A category is one row per incident before they meet, so what meets is bounded by the
+    number of categories.
+    """
+    known = offenses.where(F.coalesce("source_category", F.lit("")) != "")
+    first = known.groupBy("incident_id", "source_category").agg(F.min(order).alias("at"))
+    every = F.array_sort(F.collect_list(F.struct("at", "source_category")))
+    shown = F.transform(every, lambda x: x["source_category"])
+    return first.groupBy("incident_id").agg(F.array_join(shown, ",").alias("categories"))
+
+
 def coverage(incidents: DataFrame) -> DataFrame:
     """First and last day per source."""
     return incidents.groupBy("source_id").agg(

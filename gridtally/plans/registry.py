@@ -137,6 +137,18 @@ def incident_categories_array(spark, sf_dir):
     return listing.incident_categories(offenses(spark, sf_dir))
 
 
+@query(
+    "incident_categories_as_seen",
+    """
+, first AS (SELECT incident_id, source_category, min(line) AS seen_at FROM offense
+            WHERE source_category IS NOT NULL GROUP BY ALL)
+SELECT incident_id, string_agg(source_category, ',' ORDER BY seen_at, source_category) AS categories
+FROM first GROUP BY incident_id""",
+)
+def incident_categories_as_seen(spark, sf_dir):
+    return listing.categories_as_seen(offenses(spark, sf_dir))
+
+
 @query(
     "coverage_range",
     "SELECT source_id, min(occurred_at)::DATE AS first_day, max(occurred_at)::DATE AS last_day"

@@ -107,16 +107,16 @@ def cluster_incidents(store: SnapshotStore, slabs: int = SLABS, tiles: int = TIL
     if not parts:
         return 0
     bounds = file_bounds(store.spark.read.parquet(parts[0]), parts[0])
-    store.transact(lambda _: Change({FILES: bounds.coalesce(1)}))
+    store.transact(lambda _: Change({FILES: bounds.coalesce(1)}, config={FILES: parts[0]}))
     return store.read(FILES).count()
 
 
 def bounds_of(store: SnapshotStore, pointer: dict) -> DataFrame | None:
     """The bounds of the files of the incidents, where they are those of the current part."""
-    files, parts = store.read(FILES, pointer), pointer["tables"].get("incidents")
-    if files is None or files.where(F.col("part") == F.lit(parts[0])).isEmpty():
+    parts = pointer["tables"].get("incidents")
+    if not parts or pointer["config"].get(FILES) != parts[0]:
         return None
-    return files
+    return store.read(FILES, pointer).where(F.col("part") == F.lit(parts[0]))
 
 
 def may_hold(by: Filters) -> Column:
@@ -133,15 +133,25 @@ def may_hold(by: Filters) -> Column:
     return kept
 
 
-def incidents_for(store: SnapshotStore, pointer: dict, by: Filters, since: dt.datetime | None = None) -> DataFrame:
-    """The incidents of files that a filter, and a time since, may find something in."""
+def incidents_for(store: SnapshotStore, pointer: dict, by: Filters) -> DataFrame:
+    """The incidents of files that a filter may find something in."""
     files = bounds_of(store, pointer)
     if files is None:
         return store.read("incidents", pointer)
-    kept = files.where(may_hold(by))
-    if since is not None:
-        kept = kept.where(F.col("last_at") >= F.lit(since).cast("timestamp"))
-    return store.read("incidents", pointer, [r["file"] for r in kept.select("file").collect()])
+    kept = files.where(may_hold(by)).select("file").collect()
+    return store.read("incidents", pointer, [r["file"] for r in kept])
+
+
+def files_since(files: DataFrame, need: int) -> DataFrame:
+    """file, since: the files with rows from a time on, after which there are need dated rows.
+
+    The time is the latest that enough files begin at or after.  Running sums go over a
+    row per file.
+    """
+    latest_first = Window.orderBy(F.desc("first_at"), "file").rowsBetween(Window.unboundedPreceding, 0)
+    counted = files.withColumn("after", F.sum("dated").over(latest_first))
+    enough = F.max(F.when(F.col("after") >= need, F.col("first_at"))).over(Window.partitionBy())
+    return counted.withColumn("since", enough).where("last_at >= since").select("file", "since")
 
 
 def latest_page(
@@ -156,18 +166,14 @@ def latest_page(
     files = bounds_of(store, pointer)
     need = limit + offset
     while files is not None:
-        held = files.where(may_hold(by) & (F.col("dated") > 0))
-        running = Window.orderBy(F.desc("first_at"), "file").rowsBetween(Window.unboundedPreceding, 0)
-        since = held.withColumn("after", F.sum("dated").over(running)).where(F.col("after") >= need).agg(F.max("first_at")).first()[0]
-        if since is None:
+        picked = files_since(files.where(may_hold(by) & (F.col("dated") > 0)), need).collect()
+        if not picked:
             break
-        rows = incidents_for(store, pointer, by, since)
-        rows = rows.where(F.col("occurred_at") >= F.lit(since).cast(rows.schema["occurred_at"].dataType))
+        rows = store.read("incidents", pointer, [r["file"] for r in picked])
+        kind = rows.schema["occurred_at"].dataType
+        rows = rows.where(F.col("occurred_at") >= F.lit(picked[0]["since"]).cast(kind))
         found = page(filter_incidents(rows, offenses, by), limit, offset)
         if by == Filters() or found.count() == limit:
             return found
         need *= 4
-    rows = incidents_for(store, pointer, by)
-    return page(filter_incidents(rows, offenses, by), limit, offset)
-
-
+    return page(filter_incidents(incidents_for(store, pointer, by), offenses, by), limit, offset)

@@ -12,6 +12,7 @@ from gridtally.operators.grid import rollup_parts
 from gridtally.operators.reconcile import SourceConfig
 from gridtally.sources.journal import KEY, run_row, utc_now
 from gridtally.sources.normalize import id_order, upsert_reference
+from gridtally.sources.paged import reported_total
 from gridtally.sources.schema import CITY_CONTRACT, Contract, check_schema
 from gridtally.sources.state import Change, SnapshotStore
 from gridtally.streaming.incremental import OVERLAP, changed_since, ingest_batch
@@ -59,14 +60,17 @@ def complete_run(
     reported: int | None = None,
     confirm: bool = False,
     part_records: int = PART_RECORDS,
+    total: str | None = None,
 ) -> dict:
     """All records, committed in parts; a run that stopped is taken up.
 
+    total may name, as "module:function", how the source is asked for its own count.
     Must be confirmed; the watermark moves only if the run is trusted.
     """
     if not confirm:
         raise ValueError("a complete run reads the whole source; confirm it")
     config = load_config(store, source_id)
+    reported = reported_total(total) if total else reported
     run = complete_in_parts(
         store, checked_fetch(raw), config, run_id, started, reported, part_records
     )

@@ -211,6 +211,19 @@ def test_preaggregate_follows_increments(spark, store):
     assert store.read("incidents").where(F.col("lat") == 42.0).count() == 6
 
 
+def told():
+    return 7
+
+
+def test_a_source_is_asked_for_its_count(spark, store):
+    jobs.save_config(store, SourceConfig("demo"))
+    run = jobs.complete_run(
+        store, raw(spark, record(1)), "demo", "r1", DAY, confirm=True, total=f"{__name__}:told"
+    )
+    assert run["blocking_reason"] == "source_count_mismatch"
+    assert jobs.load_config(store, "demo").watermark is None
+
+
 def test_joined_parts(spark, store, monkeypatch):
     monkeypatch.setattr(state, "MOST_DELTAS", 3)
     for n in range(30):
