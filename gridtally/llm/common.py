@@ -34,18 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
 _written: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
 
 
-def stored(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, outlive: bool = False, **options: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends here.
 
     A lost executor then costs the tasks it was running, not the whole plan.
-    With outlive the table outlives the innermost scratch() block.
+    With outlive the table outlives the innermost scratch() block.  options are the writer's.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     blocks = _written.get()[: -1 if outlive else None]
     if blocks:
         blocks[-1].append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

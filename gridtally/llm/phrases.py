@@ -43,6 +43,8 @@ LEAST, LONGEST, MOST = 100, 5, 2000
 UND = "und"
 #: Bytes of text whose lists are kept together, about.
 CHUNK_BYTES = 16 << 20
+#: How lists are written: they are read once.
+SMALLER = {"compression": "zstd"}
 #: Rows that a task hands on at once.
 ROWS = 1 << 16
 #: Bits of an id: the task, the chunk of the task, the phrase of the chunk.
@@ -256,7 +258,7 @@ def candidates(docs: DataFrame, least: int = LEAST, chunk_bytes: int = CHUNK_BYT
     Frequent words are among the rows, as phrases of one word.  An id is one among the
     phrases of as many words.
     """
-    lists = stored(first_lists(docs, chunk_bytes), "phrase-words")
+    lists = stored(first_lists(docs, chunk_bytes), "phrase-words", **SMALLER)
     sizes = lists.groupBy("lang").agg(F.sum("n_words").alias("n"))
     found = stored(frequent(word_counts(lists), ["lang", "word"], least), "phrase-frequent-1")
     none = F.array().cast("array<long>")
@@ -267,7 +269,7 @@ def candidates(docs: DataFrame, least: int = LEAST, chunk_bytes: int = CHUNK_BYT
     )
     levels = [stored(level, "phrase-level-1")]
     for k in range(2, LONGEST + 1):
-        longer = stored(extended(lists, found), f"phrase-lists-{k}")
+        longer = stored(extended(lists, found), f"phrase-lists-{k}", **SMALLER)
         discard(lists, found)
         lists = longer
         found = stored(frequent(phrase_counts(lists), ["first", "second"], least), f"phrase-frequent-{k}")
