@@ -120,9 +120,12 @@ def rollup_cells(incidents: DataFrame, offenses: DataFrame, grids=ROLLUP_GRIDS)
 
 
 def added_up(parts: DataFrame) -> DataFrame:
-    """Parts with one row per key; what has been taken back whole is gone."""
+    """Parts with one row per key; what has been taken back whole is gone.
+
+    A place that moves within its cell changes the sums and leaves the count.
+    """
     sums = [F.sum(c).cast(parts.schema[c].dataType).alias(c) for c in MEASURES]
-    return parts.groupBy(*ROLLUP_KEY).agg(*sums).where("n <> 0")
+    return parts.groupBy(*ROLLUP_KEY).agg(*sums).where(" OR ".join(f"{c} <> 0" for c in MEASURES))
 
 
 def rollup_parts(incidents: DataFrame, offenses: DataFrame, grids=ROLLUP_GRIDS) -> DataFrame:

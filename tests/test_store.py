@@ -196,9 +196,10 @@ def test_preaggregate_follows_increments(spark, store):
         [placed(i, "ARSON") for i in range(0, 60, 5)],  # offenses change their category
         [placed(i) for i in range(60, 75)] + [placed(80, case_number="C3")],  # new ones, one in an old case
         [placed(i, date="2022-12-01T00:00:00", latitude="42.0") for i in range(3, 9)] + [placed(90, latitude="")],
+        [placed(i, longitude=f"-87.6{i % 9}01") for i in range(20, 30)],  # moved within their cells
     ]
     for n, step in enumerate(steps):
-        policy = "latest_wins" if n == 2 else "first_wins"
+        policy = "latest_wins" if n >= 2 else "first_wins"
         incremental.ingest_batch(store, raw(spark, *step), config, f"i{n}", DAY, incident_policy=policy)
         pointer = store.pointer()
         kept = grid.added_up(store.read("rollup", pointer))
