@@ -8,8 +8,8 @@ some part whole.  Images that share enough keys in the tables are candidates.
 Each bucket's members are first compared with its best connected image, as
 near-duplicate texts are.  Then all candidates that are still of different
 components are enumerated by an exact prefix filter on their keys, rare keys
-first, so an unrelated hub hides no pair and a key that very many images hold is
-no meeting place.  A candidate is verified by consensus: matched corners must
+first, so an unrelated hub hides no pair; a key in which over CROWD components
+still meet is no meeting place.  A candidate is verified by consensus: matched corners must
 agree, up to a few pixels, on one similarity transform (shift, turn, scale), so
 crops and edits are found while images that share a texture only are not.
 Matched are corners whose descriptors are each other's nearest, so matches never
@@ -56,6 +56,8 @@ CORNER = 40.0  # least Harris response, in grey levels squared
 HAMMING = 26  # most differing bits of matched corners
 #: Keys that candidates share: so many, and so large a part of the smaller image's.
 SHARED, SHARE = 2, 0.05
+#: Components that may meet in a key, once they have met its hub.
+CROWD = 256
 INLIERS, INLIER_SHARE, NEAR = 6, 0.4, 3.0
 LEAST_SIDE = 16
 #: Bytes of images decoded, and pixels searched for corners, side by side.
@@ -375,12 +377,20 @@ def crowd_pairs(members: DataFrame, keys: DataFrame) -> DataFrame:
     An image must share shared_keys(n) of its n keys with a larger one.  With
     the rarest key first, the first shared one is no later than n less that
     number, so its commonest keys are looked up by nobody.
+
+    A key in which over CROWD components meet, though all its images met its hub,
+    is a mark, a frame or a plain edge, and no meeting place, so pairs grow with
+    the keys and not with their square.  A mark of INLIER_SHARE of the corners
+    joins its images to the hub; a smaller one leaves a copy most keys to meet by.
     """
     sizes = keys.select("node", F.size("bands").cast("long").alias("n_keys"))
-    held = members.groupBy("bucket").agg(F.count("*").alias("holders"))
+    held = members.groupBy("bucket", "label").agg(F.count("*").alias("holders"))
+    held = held.groupBy("bucket").agg(
+        F.count("*").alias("labels"), F.sum("holders").alias("holders")
+    )
     ranked = members.join(apart(held), "bucket").join(sizes, "node")
-    last = Window.partitionBy("node").orderBy(F.desc("holders"), "bucket")
-    ranked = ranked.withColumn("from_end", F.row_number().over(last))
+    last = Window.partitionBy("node").orderBy(F.desc("labels"), F.desc("holders"), "bucket")
+    ranked = ranked.withColumn("from_end", F.row_number().over(last)).where(F.col("labels") <= CROWD)
     ranked = stored(ranked.select("bucket", "node", "label", "n_keys", "from_end"), "media-ranked")
     x = ranked.where(F.col("from_end") >= shared_keys(F.col("n_keys"))).alias("x")
     y = ranked.alias("y")
