@@ -10,7 +10,8 @@ from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -94,6 +95,11 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a row's columns, but for maps: an order that reruns repeat."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()))
+
+
 def release_memory() -> None:
     """Give a worker's free memory back: it lives on, and the next operator runs beside it."""
     pa.default_memory_pool().release_unused()

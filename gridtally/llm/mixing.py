@@ -32,7 +32,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtally.llm.common import stored, unused
+from gridtally.llm.common import row_hash, stored, unused
 
 BLOCK_WORDS = 32
 SHARD_SLOTS = 4096
@@ -362,33 +362,39 @@ def mixed_documents(docs: DataFrame, block_words: int, seed: int = SEED) -> Data
     """
     mix = Mix(docs, block_words, seed)
     part = F.struct("epoch", "from_word", "n_words")
+    names = ("_row_key", "_text_key", "_side", "_order", "_copy", "_take", "_epoch")
+    row_key, text_key, side, order, copy, take, epoch = (unused(docs, n) for n in names)
     taken = (
         mix.shards()
         .groupBy("source_key", "first_word")
         .agg(
-            F.first("row_key").alias("row_key"),
-            F.first("text_key").alias("text_key"),
+            F.first("row_key").alias(row_key),
+            F.first("text_key").alias(text_key),
             F.first("size").alias("size"),
             F.sort_array(F.collect_list(part)).alias("parts"),
         )
-        .groupBy("row_key", "text_key")
-        .agg(F.sort_array(F.collect_list(F.struct("first_word", "size", "parts"))).alias("takes"))
+        .select(
+            row_key,
+            text_key,
+            F.lit(0).alias(side),
+            F.col("first_word").alias(order),
+            F.struct("size", "parts").alias(take),
+        )
+    )
+    keyed = docs.withColumns(
+        {**dict(zip((row_key, text_key), row_keys())), side: F.lit(1), order: row_hash(docs)}
     )
-    # Equal rows are told apart by a number; the names are none of the input's.
-    names = [unused(docs, n) for n in ("_row_key", "_text_key", "_takes", "_copy", "_take", "_epoch")]
-    row_key, text_key, takes, copy, take, epoch = names
-    keyed = docs.withColumns(dict(zip((row_key, text_key), row_keys())))
-    same = Window.partitionBy(row_key, text_key).orderBy(F.lit(1))
-    taken = taken.toDF(row_key, text_key, takes)
+    # Documents and what is taken of them meet in one shuffle.  Equal rows are numbered on
+    # both sides, and each meets what has its number, one before the other in a window, so
+    # that very many equal rows are never an array.
+    met = keyed.unionByName(taken, allowMissingColumns=True).repartition(row_key, text_key)
+    numbers = Window.partitionBy(row_key, text_key, side).orderBy(order)
+    both = Window.partitionBy(row_key, text_key, copy).orderBy(side)
+    met = met.withColumn(copy, F.row_number().over(numbers))
+    met = met.withColumn(take, F.lag(take).over(both)).where((F.col(side) == 1) & F.col(take).isNotNull())
     turns = F.array_distinct(F.transform(F.col(f"{take}.parts"), lambda p: p["epoch"]))
     chosen = F.filter(F.col(f"{take}.parts"), lambda p: p["epoch"] == F.col(epoch))
-    joined = (
-        keyed.join(taken.hint("merge"), [row_key, text_key])
-        .withColumn(copy, F.row_number().over(same))
-        .withColumn(take, F.get(takes, F.col(copy) - 1))  # a copy without words taken has none
-        .drop(takes)
-        .withColumn(epoch, F.explode(turns))
-    )
+    joined = met.withColumn(epoch, F.explode(turns))
     size = F.col(f"{take}.size")
     whole = F.aggregate(chosen, F.lit(0).cast("long"), lambda n, p: n + p["n_words"]) == size
 

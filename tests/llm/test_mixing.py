@@ -1,5 +1,8 @@
 """The mix against DuckDB, and its laws."""
 
+import re
+from collections import Counter
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +100,27 @@ def test_documents_follow_the_report(docs, report):
     assert words == report.taken.sum()
 
 
+def test_documents_equal_the_shards(docs):
+    """Every text of the mix, rebuilt from the slots' rows, equal rows of a null doc_id among them."""
+    same = docs.sparkSession.range(700).selectExpr(
+        "CAST(NULL AS BIGINT) AS doc_id", "'crowd' AS source", "repeat('a b c d e ', 30) AS text"
+    )
+    some = docs.select("doc_id", "source", "text").limit(150).unionByName(same)
+    whole = some.select("doc_id", "source", "text", F.create_map(F.lit("id"), "doc_id").alias("held"))
+    texts = {(r.row_key, r.text_key): r.text for r in some.select(*mixing.row_keys(), "text").collect()}
+    rows = mixing.Mix(whole, 32).shards().toPandas()
+    expected = Counter()
+    for (*_, epoch), own in rows.groupby(["source_key", "first_word", "epoch"]):
+        text = texts[own.row_key.iloc[0], own.text_key.iloc[0]]
+        if own.n_words.sum() < own["size"].iloc[0]:
+            words = re.findall(r"[^\x20\x09-\x0D]+", text)
+            parts = sorted(zip(own.from_word, own.n_words))
+            text = " ".join(" ".join(words[a : a + n]) for a, n in parts)
+        expected[text] += 1
+    found = Counter(r["text"] for r in mixing.mixed_documents(whole, 32).select("text").collect())
+    assert found == expected and sum(n for t, n in expected.items() if t.startswith("a b c")) > 100
+
+
 def test_empty(spark, docs):
     none = docs.limit(0)
     assert mixing.mix_report(none).count() == 0 and mixing.mixed_documents(none, 32).count() == 0
