@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtally.llm import bpe, mixing, near_dedup, pii, toxicity
-from gridtally.llm.common import stored, table, unused
+from gridtally.llm.common import row_hash, stored, table, unused
 
 #: Blocks of the mix: a training context, so most documents stay whole.
 BLOCK_WORDS = 512
@@ -29,13 +29,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class: the one with the least doc_id, one row of it.
 
-    Of several rows of that doc_id the one with the least text, by its hash, stays.
+    Of several rows of that doc_id the one with the least text, by its hash, stays,
+    and of these the one with the least hash of all columns.
     Documents without a doc_id are in no class and stay.
     """
     classes = near_dedup.near_classes(docs)
     first = classes.where("doc_id = class_id").select("doc_id").distinct()
     known = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi")
-    least = F.min_by(F.struct(*docs.columns), F.xxhash64("text"))
+    least = F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), row_hash(docs)))
     one = known.groupBy("doc_id").agg(least.alias("one"))
     one = one.select("one.*")
     return one.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
