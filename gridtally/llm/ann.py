@@ -20,7 +20,9 @@ asked for; equal queries are searched once.
 
 Defined results: vectors that are null, zero or hold null or non-finite
 components take no part, nor do vectors whose length is not that of most; a
-row counted twice is one candidate; with too few candidates all are returned.
+row counted twice is one candidate; with too few candidates all are returned;
+of equal scores the smaller id is nearer; an empty table has no neighbours; other
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,6 +9,8 @@ without white space) takes a heap over the same merges, which gives the same
 tokens in n log n steps.
 
 Null texts count as empty; an empty text has no tokens and decodes to ''.
+Repeated rows are encoded each, a very long text is encoded whole in its row, and an
+empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -22,7 +22,8 @@ context is the beginning of a text.  Keys are 64-bit hashes of words and pairs.
 
 Defined results: null texts count as empty, whose only token is the end; without
 training documents all estimates but the base are empty and the base is 1 over
-V + 1; repeated rows are scored alike and counted each.
+V + 1; repeated rows are scored alike and counted each; a very long text is read
+whole; an empty table has no scores.
 """
 
 from __future__ import annotations

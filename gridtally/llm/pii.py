@@ -16,7 +16,9 @@ Kinds: email (local part), phone, card (Luhn), iban (mod 97), ssn, ipv4, date
 candidate fails validation, shorter ends at group borders, the other kinds and
 later starts are tried; a card in an unusual grouping gives way to stricter finds
 that overlap it.  A number that fails all is not personal data and stays.  Null texts stay null;
-texts without finds stay byte for byte the same.
+texts without finds stay byte for byte the same, and so do dates outside 1900-2099.
+Repeated rows are masked alike, a very long text is read whole in its row, and an empty
+table gives an empty one.
 """
 
 from __future__ import annotations

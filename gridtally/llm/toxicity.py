@@ -17,6 +17,7 @@ Null texts count as empty.  A text without words has one window of padding, so
 it gets a score too.  Without labels of both kinds every score is the share of
 label 1.  Equal texts get equal scores, so ties need no order.  Of several texts of
 one labelled doc_id the greatest is learned from.  An empty table has no scores.
+A very long text is scored in all of its windows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ which there are FEATURES, pass through the driver.
 
 Defined results: a null url or one without "://" has an empty host and path, so
 no n-grams, and gets the verdict of the intercept.  Repeated rows are judged
-alike; an empty table gives an empty one.
+alike; an empty table gives an empty one; a very long url is one row, judged whole.
 """
 
 from __future__ import annotations

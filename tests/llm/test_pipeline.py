@@ -97,7 +97,7 @@ def test_stages_on_awkward_rows(spark):
 
 def test_registry():
     names = {n.split("_")[0] for n in registry.queries()}
-    assert names == {f"op{n}" for n in range(1, 11)}
+    assert names == {f"op{n}" for n in range(1, 14)}
     assert set(registry.queries()) | {"pipeline"} <= set(entry.queries())
 
 
