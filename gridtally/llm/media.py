@@ -384,13 +384,16 @@ def crowd_pairs(members: DataFrame, keys: DataFrame) -> DataFrame:
     joins its images to the hub; a smaller one leaves a copy most keys to meet by.
     """
     sizes = keys.select("node", F.size("bands").cast("long").alias("n_keys"))
-    held = members.groupBy("bucket", "label").agg(F.count("*").alias("holders"))
-    held = held.groupBy("bucket").agg(
-        F.count("*").alias("labels"), F.sum("holders").alias("holders")
-    )
+    held = apart(members.groupBy("bucket").agg(F.count("*").alias("holders")))
+    # Only the few keys of more holders can be crowded, so only their labels are counted.
+    large = apart(held.where(F.col("holders") > CROWD).select("bucket"))
+    labels = members.join(large, "bucket").select("bucket", "label").distinct()
+    crowds = labels.groupBy("bucket").count().where(F.col("count") > CROWD)
+    crowds = apart(crowds.select("bucket", F.lit(True).alias("crowd")))
+    held = held.join(crowds, "bucket", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
     ranked = members.join(apart(held), "bucket").join(sizes, "node")
-    last = Window.partitionBy("node").orderBy(F.desc("labels"), F.desc("holders"), "bucket")
-    ranked = ranked.withColumn("from_end", F.row_number().over(last)).where(F.col("labels") <= CROWD)
+    last = Window.partitionBy("node").orderBy(F.desc("crowd"), F.desc("holders"), "bucket")
+    ranked = ranked.withColumn("from_end", F.row_number().over(last)).where(~F.col("crowd"))
     ranked = stored(ranked.select("bucket", "node", "label", "n_keys", "from_end"), "media-ranked")
     x = ranked.where(F.col("from_end") >= shared_keys(F.col("n_keys"))).alias("x")
     y = ranked.alias("y")
