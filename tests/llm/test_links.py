@@ -318,20 +318,7 @@ def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
     assert found == {i: i - i % 3 for i in range(15)}
 
 
-def test_a_mark_on_many_pictures_is_no_meeting_place(spark):
-    """2,000 unrelated images share a third of their keys: pairs are those of the copies among them."""
-    n, mark = 2000, list(range(10))
-    rows = [(i, [*mark, *range(1000 + 20 * i, 1020 + 20 * i)]) for i in range(n)]
-    rows += [(n + i, [*mark, *range(1000 + 20 * i, 1008 + 20 * i)]) for i in range(0, n, 100)]
-    keys = spark.createDataFrame(rows, "node long, bands array<long>")
-    members = keys.select(F.explode("bands").alias("bucket"), "node", F.col("node").alias("label"))
-    met = near_dedup.open_members(members, members.select("node", "label").distinct())
-    pairs = {(r["x"], r["y"]) for r in media.crowd_pairs(met, keys).collect()}
-    assert pairs == {(n + i, i) for i in range(0, n, 100)}
-
-
-def test_copies_of_marked_pictures_join(spark, monkeypatch):
-    monkeypatch.setattr(media, "CROWD", 10)
+def test_copies_of_marked_pictures_join(spark):
     mark, rows = texture(999, 44), []
     for s in range(24):
         image = texture(s, 110)
