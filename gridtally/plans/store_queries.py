@@ -16,12 +16,12 @@ from gridtally.operators.filters import Box, Filters, filter_incidents
 from gridtally.operators.reconcile import SourceConfig, judged
 from gridtally.plans.reconcile_queries import FIRST, SECOND, SQL_SNAPSHOTS, snapshots
 from gridtally.sources import clustered, tables
-from gridtally.sources.changes import change_stream
+from gridtally.sources.changes import change_stream, lay_out
 from gridtally.sources.schema import INCIDENT, OFFENSE, RAW
 from gridtally.sources.state import SnapshotStore, work_folder
 from gridtally.streaming import incremental, keyed, resumable
 
-API = "gridtally.sources.changes:TableApi"
+API = "gridtally.sources.changes:OrderedApi"
 #: Cells of the store layout at the size of the test tables.
 SLABS, TILES = 8, 8
 WIDE = Box(-88.0005, 41.7, -87.3005, 41.95, geodesic=True)
@@ -166,9 +166,8 @@ FROM outcome""",
         """Orders as a source that is followed by its cursor, stopped in the midst of a time."""
         orders = tables.table(spark, sf_dir, "orders")
         with Home(spark) as home:
-            raw_orders(orders).select("id", "case_number", "date", "updated_on", "iucr", "primary_type").write.parquet(
-                f"{home.path}/table"
-            )
+            shown = raw_orders(orders).select("id", "case_number", "date", "updated_on", "iucr", "primary_type")
+            lay_out(shown, f"{home.path}/table")
             count = orders.count()
             for limit in (count // 3, count):
                 home.store._put_text(f"{home.path}/limit-{limit}", str(limit))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridtally.operators import reconcile as rec
 from gridtally.sources import changes, paged
-from gridtally.sources.changes import ChangeReader, TableApi, change_stream
+from gridtally.sources.changes import ChangeReader, OrderedApi, TableApi, change_stream, lay_out
 from gridtally.sources.schema import RAW, SOURCE_RECORD
 from gridtally.sources.state import SnapshotStore
 from gridtally.streaming import incremental, keyed
@@ -85,6 +85,24 @@ def test_requests_of_a_stream_are_repeated(source, monkeypatch):
     assert changes.as_cursor(changes.as_offset(("a", "b"))) == ("a", "b")
 
 
+def test_ordered_source_holds_one_file(spark, source, tmp_path):
+    """Files of 4 rows, by URI, answer as the whole table does; no more than a file is held."""
+    options, let = source
+    lay_out(spark.read.parquet(options["table"]), f"file://{tmp_path}/ordered", 4)
+    laid = options | {"table": f"file://{tmp_path}/ordered", "limit": f"file://{options['limit']}"}
+    for limit in (0, 2, 11, 30):
+        let(limit)
+        whole, ordered = TableApi(options), OrderedApi(laid)
+        assert ordered.head() == whole.head() and len(ordered.files) > 7
+        for after in (changes.START, ("2024-01-01T12:00:00", ""), ("2024-01-02T00:00:00", "10")):
+            for upto in ((whole.head(), ("2024-01-02T00:00:00", "9")) if limit else ()):
+                assert ordered.count(after, upto) == whole.count(after, upto)
+                assert ordered.page(after, upto, 7) == whole.page(after, upto, 7)
+                assert len(ordered.keys) <= 4
+                if whole.count(after, upto) > 2:
+                    assert ordered.seek(after, 2) == whole.seek(after, 2)
+
+
 SEEN = "external_record_id string, fingerprint string, run_at timestamp"
 
 
