@@ -141,3 +141,21 @@ def test_runs_caught_up_in_one_batch(spark, tmp_path):
     assert found["a"]["source_active"] and found["a"]["source_removed_at"] == DAY + dt.timedelta(days=2)
     assert found["b"]["current_fingerprint"] == "2" and found["b"]["source_removed_at"] is None
     assert found["c"]["consecutive_missing_runs"] == 0  # the run of day 3 may still bring it
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_records_of_one_bucket_live_apart(spark, tmp_path, buckets):
+    """Records that share a bucket miss, return and change each by itself; a bucket is called, not a record."""
+    runs = [{f"{i}": "1" for i in range(40)}, {f"{i}": str(i % 3) for i in range(0, 40, 2)}, {f"{i}": "1" for i in range(0, 60, 3)}]
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    state = incremental.empty(spark, SOURCE_RECORD)
+    for n, found in enumerate(runs):
+        at = DAY + dt.timedelta(days=n)
+        rows = spark.createDataFrame([(k, f, at) for k, f in found.items()], SEEN)
+        rows.write.mode("append").parquet(str(tmp_path / "runs"))
+        state = spark.createDataFrame(rec.merge_state(state, rows, "demo", at, True).collect(), SOURCE_RECORD)
+    for _ in range(2):  # all runs in one batch, then the timers that are left
+        stream = spark.readStream.schema(SEEN).parquet(str(tmp_path / "runs"))
+        keyed.follow(stream, store, "demo", str(tmp_path / "cp"), dt.timedelta(days=1), buckets=buckets)
+    show = lambda df: sorted(map(repr, df.select(*SOURCE_RECORD.names).collect()))
+    assert show(store.read("source_records")) == show(state)
