@@ -15,14 +15,23 @@ TIME_CONVENTION = "local_wall_clock"
 FINGERPRINTED = [f for f in RAW.names if f != "updated_on"]
 
 
-def local_to_utc(text: Column, zone: str = ZONE) -> Column:
+def local_to_utc(text: Column, zone: str = ZONE, repeated: str = "first") -> Column:
     """A wall-clock time with or without a fraction as an instant; anything else is null.
 
-    A time that occurs twice when clocks go back means its first occurrence.
+    A time that occurs twice when clocks go back means its first occurrence, as in the
+    source's own convention; with repeated="last" its last one, as in DuckDB.
     """
+    if repeated not in ("first", "last"):
+        raise ValueError(repeated)
     forms = ("yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss")
     parsed = F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in forms))
-    return F.to_utc_timestamp(parsed, zone)
+    first = F.to_utc_timestamp(parsed, zone)
+    if repeated == "first":
+        return first
+    # By the offset of a day later; it holds where it leads back to the same wall-clock time.
+    moved = lambda x, n: F.timestamp_micros(F.unix_micros(x) + F.lit(n * 86_400_000_000))
+    last = moved(F.to_utc_timestamp(moved(parsed, 1), zone), -1)
+    return F.when(F.from_utc_timestamp(last, zone) == parsed, last).otherwise(first)
 
 
 def lenient_double(text: Column) -> Column:

@@ -45,6 +45,24 @@ def test_local_times(spark, text, expected):
     assert shown == expected
 
 
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("2023-11-05T00:30:00", "2023-11-05 05:30:00"),
+        ("2023-11-05T01:30:00", "2023-11-05 07:30:00"),
+        ("2023-11-04T02:30:00", "2023-11-04 07:30:00"),
+        ("2023-11-05T02:30:00", "2023-11-05 08:30:00"),
+        ("2024-03-10T02:30:00", "2024-03-10 08:30:00"),
+        ("2024-03-09T02:30:00", "2024-03-09 08:30:00"),
+        ("bad", None),
+    ],
+)
+def test_last_of_repeated_times(spark, text, expected):
+    df = spark.createDataFrame([(text,)], "t string")
+    utc = nz.local_to_utc(F.col("t"), repeated="last")
+    assert df.select(F.date_format(utc, "yyyy-MM-dd HH:mm:ss")).first()[0] == expected
+
+
 def test_normalise(spark):
     rows = raw(
         spark,

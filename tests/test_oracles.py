@@ -47,3 +47,13 @@ def test_geojson_leaves_out_unplaced(spark, small):
     placed = incidents(spark, small).where("lon IS NOT NULL").count()
     assert shown.count() == placed
     assert '"type":"Point"' in shown.first()["feature"]
+
+
+def test_times_about_changes_of_clocks(spark, tmp_path):
+    """All hours of the days about two changes, so times that occur twice and times that never do."""
+    duckdb.sql(
+        f"""COPY (SELECT k AS o_orderkey, DATE '1996-10-25' + (k // 24)::INT + CASE WHEN k > 150 THEN 155 ELSE 0 END
+        AS o_orderdate FROM range(1, 500) t(k)) TO '{tmp_path}/orders.parquet'"""
+    )
+    name = "timestamp_local_to_utc"
+    compared(spark, name, registry.queries(), registry.oracle_sql(), str(tmp_path), tmp_path)
