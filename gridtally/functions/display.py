@@ -40,15 +40,18 @@ def bar_width(df: DataFrame, value: str) -> DataFrame:
     return df.withColumn("bar_width", F.greatest(F.col(value) / most * 100, F.lit(2.0)))
 
 
-def circle_radius(count: Column) -> Column:
-    """Piecewise linear between the stops, flat outside."""
-    (low, radius), *rest = RADIUS_STOPS
+def circle_radius(
+    count: Column, stops: list[tuple[int, float]] = RADIUS_STOPS, goes_on: bool = False
+) -> Column:
+    """Piecewise linear between the stops, flat outside; or beyond the last the last slope goes on."""
+    (low, radius), *rest = stops
     found = F.when(count <= low, F.lit(radius))
     for high, wider in rest:
         slope = (wider - radius) / (high - low)
-        found = found.when(count <= high, (count - low) * slope + radius)
+        between = (count - low) * slope + radius
+        found = found.when(count <= high, between)
         low, radius = high, wider
-    return found.otherwise(F.lit(radius))
+    return found.otherwise(between) if goes_on else found.otherwise(F.lit(radius))
 
 
 def geojson_points(df: DataFrame, properties: list[str]) -> DataFrame:

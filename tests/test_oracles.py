@@ -57,3 +57,18 @@ def test_times_about_changes_of_clocks(spark, tmp_path):
     )
     name = "timestamp_local_to_utc"
     compared(spark, name, registry.queries(), registry.oracle_sql(), str(tmp_path), tmp_path)
+
+
+def test_labels_of_large_areas(spark, tmp_path):
+    """An area of over 5,000 incidents, beyond the last stop that the SQL names."""
+    sizes = {0: 9000, 1: 5100, 2: 600, 3: 60, 4: 2}
+    places = " UNION ALL ".join(f"SELECT {c} AS c, unnest(range({n})) AS i" for c, n in sizes.items())
+    for name, sql in {
+        "customer": "SELECT c AS c_custkey, c AS c_nationkey FROM range(5) t(c)",
+        "nation": "SELECT c AS n_nationkey, 'N' || c AS n_name FROM range(4) t(c)",
+        "orders": f"""SELECT 41 * row_number() OVER () + 1 AS o_orderkey, c AS o_custkey,
+            TIMESTAMP '1996-01-01' AS o_orderdate, '1-URGENT' AS o_orderpriority FROM ({places})""",
+        "lineitem": "SELECT 1 AS l_orderkey, 1 AS l_linenumber, 'A' AS l_returnflag, 'F' AS l_linestatus",
+    }.items():
+        duckdb.sql(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet'")
+    compared(spark, "display_labels", registry.queries(), registry.oracle_sql(), str(tmp_path), tmp_path)
