@@ -73,6 +73,12 @@ SELECT coalesce(f.external_record_id, b.external_record_id) AS external_record_i
 FROM before b FULL JOIN fetched f USING (external_record_id)"""
 
 
+SHOWN_STATE = [
+    "external_record_id", "source_active", "removal_confidence", "consecutive_missing_runs",
+    "first_seen_at", "last_seen_at",
+]
+
+
 def shown_state(state):
     return state.select(
         "external_record_id",
@@ -120,7 +126,7 @@ def register(query, page_sql: str, rollup_sql: str):
             incremental.full_run(home.store, before, config, "r1", FIRST)
             after = raw_orders(orders.where("o_orderkey % 10 <> 0").withColumn("o_orderpriority", changed))
             taken_up(home.store, after, config)
-            return home.answer(shown_state(home.store.read("source_records")))
+            return home.answer(shown_state(home.store.read("source_records", columns=SHOWN_STATE)))
 
     @query(
         "resumed_run_counters",
@@ -156,7 +162,7 @@ FROM outcome""",
                 run.write.mode("append").parquet(f"{home.path}/runs")
                 stream = spark.readStream.schema(seen).parquet(f"{home.path}/runs")
                 keyed.follow(stream, home.store, "demo", f"{home.path}/checkpoint", dt.timedelta(days=1))
-            return home.answer(shown_state(home.store.read("source_records")))
+            return home.answer(shown_state(home.store.read("source_records", columns=SHOWN_STATE)))
 
     @query(
         "change_stream_records",
@@ -178,7 +184,7 @@ FROM outcome""",
                 incremental.run_stream(
                     stream, home.store, SourceConfig("demo"), f"{home.path}/checkpoint", "demo@changes", FIRST
                 )
-            return home.answer(home.store.read("offenses").select("external_offense_id", "source_category"))
+            return home.answer(home.store.read("offenses", columns=["external_offense_id", "source_category"]))
 
     def stored_incidents(spark, sf_dir, home):
         """The incidents of the views in a store, clustered."""

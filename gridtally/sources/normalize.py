@@ -87,9 +87,12 @@ def normalize(raw: DataFrame, source_id: str) -> tuple[DataFrame, DataFrame]:
     """
     source = F.lit(source_id)
     lat, lon = lenient_double(F.col("latitude")), lenient_double(F.col("longitude"))
-    incident_id = row_id(source, F.col("case_number"))
-    records = raw.select(
-        incident_id.alias("id"),
+    # By the case number, of which the id is a digest: what moves is the raw fields.
+    told = ["date", "latitude", "longitude", "block", "community_area", "district", "beat"]
+    first = F.min_by(F.struct(*told), id_order(F.col("id"))).alias("_first")
+    cases = raw.groupBy("case_number").agg(first).select("case_number", "_first.*")
+    incidents = cases.select(
+        row_id(source, F.col("case_number")).alias("id"),
         source.alias("source_id"),
         F.col("case_number").alias("external_incident_id"),
         local_to_utc(F.col("date")).alias("occurred_at"),
@@ -102,15 +105,24 @@ def normalize(raw: DataFrame, source_id: str) -> tuple[DataFrame, DataFrame]:
         F.col("community_area").alias("neighborhood"),
         "district",
         "beat",
-        id_order(F.col("id")).alias("_record"),
-    )
-    names = [c for c in records.columns if c != "_record"]
-    incidents = (
-        records.groupBy("id")
-        .agg(F.min_by(F.struct(*names), "_record").alias("first"))
-        .select("first.*")
     )
-    offenses = raw.select(
+    return incidents, offenses_of(raw, source_id)
+
+
+def offenses_of(raw: DataFrame, source_id: str, known: DataFrame | None = None) -> DataFrame:
+    """The offenses of records; those of known offenses of the source stay with their incident.
+
+    Records and known offenses meet by the record's id, before digests are made of it.
+    """
+    source = F.lit(source_id)
+    incident_id = row_id(source, F.col("case_number"))
+    if known is not None:
+        own = known.where(F.col("source_id") == source).select(
+            F.col("external_offense_id").alias("_record"), F.col("incident_id").alias("_incident")
+        )
+        raw = raw.join(own, F.col("id") == F.col("_record"), "left")
+        incident_id = F.coalesce("_incident", incident_id)
+    return raw.select(
         row_id(source, F.lit("offense"), F.col("id")).alias("id"),
         incident_id.alias("incident_id"),
         source.alias("source_id"),
@@ -121,7 +133,6 @@ def normalize(raw: DataFrame, source_id: str) -> tuple[DataFrame, DataFrame]:
         F.col("description").alias("source_subcategory"),
         F.when(F.col("primary_type") == "HOMICIDE", F.lit(1)).alias("victim_count"),
     )
-    return incidents, offenses
 
 
 def insert_new_incidents(known: DataFrame, found: DataFrame, policy: str = "first_wins") -> DataFrame:

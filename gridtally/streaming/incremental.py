@@ -8,6 +8,7 @@ of each stream, so it is recognised and left out.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from gridtally.operators import grid, reconcile
 from gridtally.sources import normalize as nz
 from gridtally.sources.journal import Journal
 from gridtally.sources.schema import INCIDENT, OFFENSE, SOURCE_RECORD
-from gridtally.sources.state import Change, SnapshotStore
+from gridtally.sources.state import MOST_DELTAS, Change, SnapshotStore
 
 OVERLAP = dt.timedelta(hours=1)
 
@@ -44,7 +45,7 @@ def changed_since(
 
 
 def empty(spark: SparkSession, schema: StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema).where(F.lit(False))  # so that plans leave it out
 
 
 def prepared(stage, raw: DataFrame) -> tuple[DataFrame, Column, int]:
@@ -54,7 +55,7 @@ def prepared(stage, raw: DataFrame) -> tuple[DataFrame, Column, int]:
     """
     raw = stage(raw, "raw")
     keyed = raw.where("id IS NOT NULL")
-    last = reconcile.dedupe_last(keyed, "id", F.col("updated_on"), nz.fingerprint(raw))
+    last = reconcile.dedupe_last(keyed, "id", F.col("updated_on"), F.unhex(nz.fingerprint(raw)))
     fetched = last.withColumns(
         {
             "external_record_id": F.col("id").cast("string"),
@@ -65,9 +66,14 @@ def prepared(stage, raw: DataFrame) -> tuple[DataFrame, Column, int]:
     return fetched, payload, raw.where("id IS NULL").count()
 
 
-def held_tables(store: SnapshotStore, pointer: dict) -> dict[str, DataFrame]:
+def held_tables(
+    store: SnapshotStore, pointer: dict, within: Callable[[str], Column] | None = None
+) -> dict[str, DataFrame]:
+    """The tables of pointer; with within, a condition on a record id, records and offenses so."""
     schemas = {"source_records": SOURCE_RECORD, "incidents": INCIDENT, "offenses": OFFENSE}
-    found = {name: store.read(name, pointer) for name in schemas}
+    ids = {"source_records": "external_record_id", "offenses": "external_offense_id"} if within else {}
+    asked = {name: within(column) for name, column in ids.items()}
+    found = {name: store.read(name, pointer, where=asked.get(name)) for name in schemas}
     return {n: empty(store.spark, schemas[n]) if df is None else df for n, df in found.items()}
 
 
@@ -82,31 +88,40 @@ def batch_change(
     complete: bool,
     reported: int | None,
     incident_policy: str,
-) -> tuple[Change, dict]:
-    """What prepared records change in the tables of pointer, and the run's counters.
+    within: Callable[[str], Column] | None = None,
+) -> tuple[Change, dict, reconcile.Reconciled]:
+    """What prepared records change in the tables of pointer, the run's counters, and outcomes.
 
-    Where a pre-aggregate is held, the rows that bring it up to date belong to the change.
+    within is the condition on ids that holds for all the records, if they are a part; what
+    is held is then read so, and the outcomes have what is absent there.  Where a pre-aggregate is held, the rows that bring it up to date belong to the change.
     """
     fetched, payload, nameless = records
-    held = held_tables(store, pointer)
+    held = held_tables(store, pointer, within)
     state = held["source_records"].where(F.col("source_id") == F.lit(config.source_id))
     incidents, offenses = held["incidents"], held["offenses"]
     done = reconcile.reconcile(
         state, fetched, config, run_id, observed_at, payload, complete, reported,
-        stage=lambda found: stage(found, "found"),
+        stage=lambda found: stage(found, "found"), absent=within is not None,
     )
     run = done.run
     if nameless:
         run["error_message"] = f"{nameless} records without id left out"
     fresh = done.found.where(F.col("kind").isin("created", "changed"))
-    new_incidents, new_offenses = nz.normalize(fresh, config.source_id)
-    known = offenses.join(new_offenses.select("id"), "id", "left_semi")
+    new_incidents, _ = nz.normalize(fresh, config.source_id)
+    new_offenses = nz.offenses_of(fresh, config.source_id, offenses)
     if incident_policy == "first_wins":
         new_incidents = new_incidents.join(incidents.select("id"), "id", "left_anti")
     elif incident_policy != "latest_wins":
         raise ValueError(incident_policy)
-    new_incidents = stage(new_incidents, "incidents")
-    new_offenses = stage(nz.merge_offenses(known, new_offenses), "offenses")
+    rollup = "rollup" in pointer["tables"]
+    if rollup:
+        held = held_tables(store, pointer)
+        incidents, offenses = held["incidents"], held["offenses"]
+    # What is read once is written where it stays.
+    if rollup or len(pointer["tables"].get("incidents", [])) >= MOST_DELTAS:
+        new_incidents = stage(new_incidents, "incidents")
+    if rollup or len(pointer["tables"].get("offenses", [])) >= MOST_DELTAS:
+        new_offenses = stage(new_offenses, "offenses")
     change = Change(
         appended={"versions": done.versions},
         merged={
@@ -115,10 +130,10 @@ def batch_change(
             "offenses": (new_offenses, ["id"]),
         },
     )
-    if "rollup" in pointer["tables"]:
+    if rollup:
         change.appended["rollup"] = rollup_change(incidents, offenses, new_incidents, new_offenses)
         change.reads = ["rollup"]
-    return change, run
+    return change, run, done
 
 
 def rollup_change(
@@ -176,7 +191,7 @@ def ingest_batch(
             def make(pointer: dict) -> Change:
                 base = pointer["config"].get(f"baseline:{source}", config.baseline)
                 own = reconcile.replace(config, baseline=base)
-                change, made = batch_change(
+                change, made, _ = batch_change(
                     store, pointer, stage, records, own, run_id, observed_at, complete, reported, incident_policy
                 )
                 run.clear()

@@ -8,10 +8,11 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from gridtally.operators import grid
+from gridtally.operators import grid, reconcile
 from gridtally.operators.reconcile import SourceConfig
 from gridtally.sources import state
 from gridtally.sources.journal import Journal, latest_run
+from gridtally.sources.schema import SOURCE_RECORD
 from gridtally.sources.state import Change, Conflict, SnapshotStore
 from gridtally.streaming import incremental, jobs, resumable
 from tests.test_ingestion import raw, record, states
@@ -232,3 +233,50 @@ def test_joined_parts(spark, store, monkeypatch):
         assert {r["v"] for r in store.read("t").collect()} == set(range(n + 1))
     assert len(store.pointer()["tables"]["t"]) <= 6
     assert Change().tables == {}
+
+
+def test_records_meet_state_in_one_join(spark):
+    """The last of each record is not moved again to meet its state, and all is made of what met."""
+    schema = "external_record_id string, fingerprint string, at int"
+    fetched = spark.createDataFrame([("a", "1", 1), ("a", "2", 2), ("b", "1", 1), ("d", "1", 1)], schema)
+    held = [("demo", k, True, DAY, DAY, None, "none", 0, "1") for k in "abc"]
+    state = spark.createDataFrame(held, SOURCE_RECORD)
+    last = reconcile.dedupe_last(fetched, "external_record_id", F.col("at"))
+    rows = reconcile.met(last, state, True).hint("merge")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    kinds = {r["external_record_id"]: r["kind"] for r in rows.collect()}
+    assert kinds == {"a": "changed", "b": "unchanged", "c": None, "d": "created"}
+    after = reconcile.state_after(rows, "demo", DAY, True)
+    theirs = reconcile.merge_state(state, last, "demo", DAY, True)
+    assert sorted(map(repr, after.collect())) == sorted(map(repr, theirs.select(*after.columns).collect()))
+
+
+def test_read_of_columns_and_keys(spark, store):
+    """Columns and a condition on the key leave the merged table's rows as they are."""
+    form = "k string, n int, more string"
+    for n, keys in enumerate(("abc", "bd", "c")):
+        store.commit(merged={"t": (spark.createDataFrame([(k, n, f"{k}{n}") for k in keys], form), ["k"])})
+    whole = {(r["k"], r["n"]) for r in store.read("t").collect()}
+    assert whole == {("a", 0), ("b", 1), ("c", 2), ("d", 1)}
+    assert {tuple(r) for r in store.read("t", columns=["k", "n"]).collect()} == whole
+    assert {r["n"] for r in store.read("t", columns=["n"], where=F.col("k") >= "c").collect()} == {2, 1}
+    assert store.read("t", columns=["n"]).columns == ["n"]
+    assert store.read("t", columns=["k"]).count() == 4
+
+
+def test_absence_where_another_run_came_between(spark, store):
+    config = SourceConfig("demo", most_drop_percent=90.0)
+    incremental.full_run(store, raw(spark, *(record(i) for i in range(8))), config, "r1", DAY)
+    second = raw(spark, *(record(i) for i in range(8) if i % 3))
+
+    def stop(part):
+        raise Killed
+
+    with pytest.raises(Killed):
+        resumable.complete_in_parts(store, second, config, "r2", DAY, part_records=3, after_part=stop)
+    incremental.full_run(store, raw(spark, record(3)), SourceConfig("other"), "o1", DAY)
+    run = resumable.complete_in_parts(store, second, config, "r3", DAY)
+    assert run["records_missing"] == 3
+    found = store.read("source_records").where("source_id = 'demo' AND consecutive_missing_runs = 1")
+    assert {r["external_record_id"] for r in found.collect()} == {"0", "3", "6"}
